@@ -5,19 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quillon.llm.common import documents
 from quillon.llm.exact_dedup import exact_groups
 from quillon.llm.fingerprints import fingerprint_report
 from quillon.llm.license_scan import scan_licenses
 from quillon.llm.mixing import mix
+from quillon.llm.near_dedup import near_groups
+from quillon.llm.packing import pack
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_report(documents(spark, sf_dir))
 
 
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(documents(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
@@ -30,11 +35,17 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).drop("row_no")
 
 
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_minhash_near_dedup": op2_minhash_near_dedup,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
