@@ -13,6 +13,7 @@ from quillon.llm.license_scan import scan_licenses
 from quillon.llm.mixing import mix
 from quillon.llm.near_dedup import near_groups
 from quillon.llm.packing import pack
+from quillon.llm.quality import score_quality
 from quillon.llm.toxicity import toxicity
 
 
@@ -24,6 +25,10 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir))
 
@@ -47,6 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
+    "op3_quality": op3_quality,
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
