@@ -14,6 +14,7 @@ from quillon.llm.license_scan import scan_licenses
 from quillon.llm.mixing import mix
 from quillon.llm.near_dedup import near_groups
 from quillon.llm.packing import pack
+from quillon.llm.pii import span_report
 from quillon.llm.quality import score_quality
 from quillon.llm.toxicity import toxicity
 
@@ -46,6 +47,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir)).drop("row_no")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(documents(spark, sf_dir))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_license_scan": op5_license_scan,
     "op6_mixing": op6_mixing,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
