@@ -15,7 +15,6 @@ different rules may overlap; an empty table gives an empty result; other columns
 
 from __future__ import annotations
 
-import hashlib
 import random
 import re
 from collections.abc import Iterator
@@ -24,7 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import text_of
@@ -373,10 +372,6 @@ def all_spans(text: str, model: SemiCrf, longest: int) -> tuple[list[Span], list
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def joined(spans: list[Span]) -> str:
-    return ",".join(f"{kind}:{a}:{b}" for kind, a, b in spans)
-
-
 SPANS = "doc_id long, spans array<struct<kind:string,start:long,end:long,rule:boolean>>"
 
 
@@ -402,9 +397,13 @@ def span_report(docs: DataFrame, options: PiiOptions = PiiOptions()) -> DataFram
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
     base = F.filter("spans", lambda s: s["rule"])
     coded = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return find_spans(docs, options).select(
         "doc_id",
-        *[F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS],
+        *[number(k) for k in KINDS],
         F.sha2(coded(base), 256).alias("base_sha256"),
         coded(F.col("spans")).alias("spans"),
     )
@@ -431,7 +430,3 @@ def redact(docs: DataFrame, options: PiiOptions = PiiOptions()) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(clean, docs.schema)
-
-
-def digest(spans: list[Span]) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()
