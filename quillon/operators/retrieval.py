@@ -14,6 +14,13 @@ from pyspark.sql import functions as F
 from quillon.functions import text as T
 from quillon.functions import vectors as V
 
+#: Sums of doubles depend on their order, which a cluster doesn't fix. Scores are rounded far below what matters before
+#: anything is ranked by them, so that ties are ties on every run and ids decide.
+DIGITS = 9
+
+#: Queries that may be asked at once; more go in blocks of queries.
+MOST_QUERIES = 10_000
+
 
 @dataclass(frozen=True)
 class Bm25Options:
@@ -92,7 +99,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, options: Bm25Options = Bm25Optio
         "term", "mean_terms", F.when(idf <= 0, F.lit(options.least_idf)).otherwise(idf).alias("idf")
     )
     score = bm25_score(F.col("idf"), F.col("weighted"), F.col("n_terms"), F.col("mean_terms"), options)
-    hits = used.join(weights, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.sum(score).alias("keyword_score"))
+    hits = used.join(weights, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), DIGITS).alias("keyword_score"))
     if allowed is not None:
         hits = hits.join(allowed, "chunk_id", "left_semi")
     return best(hits, ["query_id"], [F.desc("keyword_score"), F.col("chunk_id")], options.keep, "keyword_rank")
@@ -108,7 +115,7 @@ def phrase_hits(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     parts = wanted.select("query_id", "phrase", "k", F.posexplode("terms").alias("at", "term"))
     return (
         positions(chunks)
-        .join(F.broadcast(parts), "term")
+        .join(parts, "term")
         .groupBy("query_id", "phrase", "k", "chunk_id", "col", (F.col("pos") - F.col("at")).alias("start"))
         .agg(F.count(F.lit(1)).alias("votes"))
         .filter("votes = k")
@@ -126,9 +133,11 @@ def vector_top(corpus: DataFrame, queries: DataFrame, keep: int = 40) -> DataFra
     All queries meet all vectors by definition; each task reads its share of the corpus once and keeps `keep` rows for
     each query, so what is shuffled doesn't grow with the corpus rows of a task.
     """
+    if queries.count() > MOST_QUERIES:
+        raise ValueError(f"ask at most {MOST_QUERIES} vector queries at once")
     asked = queries.select("query_id", F.col("vector").alias("asked"))
     scored = corpus.select("chunk_id", "vector").crossJoin(F.broadcast(asked)).select(
-        "query_id", "chunk_id", V.cosine(F.col("vector"), F.col("asked")).alias("vector_score")
+        "query_id", "chunk_id", F.round(V.cosine(F.col("vector"), F.col("asked")), DIGITS).alias("vector_score")
     )
     return best(scored.filter("vector_score > 0"), ["query_id"], [F.desc("vector_score"), F.col("chunk_id")], keep, "vector_rank")
 
@@ -142,7 +151,7 @@ def fuse(keyword: DataFrame, vector: DataFrame, options: HybridOptions = HybridO
         vector.select("query_id", "chunk_id", F.col("vector_rank").alias("rank"), F.lit(None).cast("double").alias("keyword_score"), "vector_score")
     )
     fused = parts.groupBy("query_id", "chunk_id").agg(
-        F.sum(F.lit(1.0) / (options.rrf_k + F.col("rank"))).alias("fused_score"),
+        F.round(F.sum(F.lit(1.0) / (options.rrf_k + F.col("rank"))), DIGITS + 3).alias("fused_score"),
         F.max("keyword_score").alias("keyword_score"),
         F.max("vector_score").alias("vector_score"),
     )
@@ -164,11 +173,14 @@ def rerank_lexical(candidates: DataFrame) -> DataFrame:
         .withColumn("lexical_overlap", F.greatest("content_overlap", F.col("title_overlap") * 0.65))
         .withColumn(
             "rerank_score",
-            0.45 * F.col("content_overlap")
-            + 0.10 * F.col("title_overlap")
-            + 0.20 * against_most("fused_score")
-            + 0.15 * against_most("keyword_score")
-            + 0.10 * against_most("vector_score"),
+            F.round(
+                0.45 * F.col("content_overlap")
+                + 0.10 * F.col("title_overlap")
+                + 0.20 * against_most("fused_score")
+                + 0.15 * against_most("keyword_score")
+                + 0.10 * against_most("vector_score"),
+                DIGITS,
+            ),
         )
     )
 

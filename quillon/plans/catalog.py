@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+MODULES = ("search",)
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     """Register a query under its name, with SQL that gives the same rows where there is such SQL."""
@@ -28,9 +31,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> dict[str, Query]:
     """Import the modules that register queries."""
+    for name in MODULES:
+        importlib.import_module(f"quillon.plans.{name}")
     return QUERIES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Filtered keyword retrieval over the documents."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40)
+    """Hybrid retrieval: keywords and vectors, fused, reranked and cut."""
+    return load()["ret_18_hybrid_search"](spark, sf_dir)
