@@ -175,7 +175,7 @@ def bare(text: Column) -> Column:
 
 def safe_stem(name: Column, most: int = 80) -> Column:
     """A name that any file system takes."""
-    cleaned = F.trim(F.lit("-._ "), F.regexp_replace(name, r"[^\p{L}\p{N}_.-]+", "-"))
+    cleaned = F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}_.-]+", "-"), F.lit("-._ "))
     return F.coalesce(blank_to_null(F.substring(cleaned, 1, most)), F.lit("item"))
 
 
@@ -184,7 +184,7 @@ CANONICAL_TAG = rf"^[a-z0-9{CJK}]+(?:-[a-z0-9{CJK}]+)*$"
 
 
 def suggested_tag(tag: Column) -> Column:
-    return F.trim(F.lit("-"), F.regexp_replace(fold(F.trim(tag)), rf"[^a-z0-9{CJK}]+", "-"))
+    return F.trim(F.regexp_replace(fold(F.trim(tag)), rf"[^a-z0-9{CJK}]+", "-"), F.lit("-"))
 
 
 def join_tokens(left: Column, right: Column) -> Column:

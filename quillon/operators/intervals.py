@@ -144,12 +144,12 @@ def voice_spans(
     bridge, least = max(1, int(silence / frame + 1e-9)), max(1, int(speech / frame + 1e-9))
     loud = ranked.join(limits, by).withColumn("loud", F.col("energy") >= F.col("limit"))
     spoken = loud.filter("loud").withColumn("gap", F.col("n") - F.lag("n").over(whole.orderBy("n")) - 1)
-    runs = spoken.withColumn("run", F.sum(F.when(F.col("gap") > bridge, 1).otherwise(0)).over(whole.orderBy("n")))
-    bounds = runs.groupBy(*by, "run").agg(F.min("n").alias("a"), F.max("n").alias("z"))
+    runs = spoken.withColumn("burst", F.sum(F.when(F.col("gap") > bridge, 1).otherwise(0)).over(whole.orderBy("n")))
+    bounds = runs.groupBy(*by, "burst").agg(F.min("n").alias("a"), F.max("n").alias("z"))
     lasting = bounds.filter(F.col("z") - F.col("a") + 1 >= least)
     # The mean covers the bridged frames, too.
-    inside = loud.select(*by, F.col("n"), "energy", "total").join(lasting, by).filter("n BETWEEN a AND z")
-    spans = inside.groupBy(*by, "run", "total").agg(
+    inside = loud.select(*by, "n", "energy", "total").join(lasting, by).filter("n BETWEEN a AND z")
+    spans = inside.groupBy(*by, "burst", "total").agg(
         F.greatest(F.lit(0.0), F.min("n") * frame - pad).alias("start"),
         F.least(F.max("total") * frame, (F.max("n") + 1) * frame + pad).alias("end"),
         F.round(F.avg("energy"), 2).alias("mean_energy"),

@@ -59,7 +59,7 @@ def claim_units(markdown: Column) -> Column:
     raw = F.split(plain, r"(?<=[。！？.!?])\s+|\n+")
     lead = lambda s: F.trim(F.regexp_replace(s, r"^\s*(?:[-*+]\s+|\d+[.)]\s+|>\s*)", ""))
     bare = lambda s: F.trim(F.regexp_replace(s, r"^#{1,6}\s+", ""))
-    text = lambda s: F.trim(F.lit(" \t:：;；"), F.regexp_replace(s, r"\[S\d+\]", ""))
+    text = lambda s: F.trim(F.regexp_replace(s, r"\[S\d+\]", ""), F.lit(" \t:：;；"))
     units = F.transform(raw, lambda s: bare(lead(s)))
     return F.filter(units, lambda s: (F.length(text(s)) >= 5) & ~s.rlike(r"[:：]\s*$") & ~admits_lack(s))
 

@@ -33,17 +33,17 @@ DOCS = """d AS (SELECT doc_id AS document_id, doc_id AS chunk_id, source || ' '
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Timed segments: a user's events as a recording, the type as modality and speaker; times in seconds of the day."""
     e = table(spark, sf_dir, "events")
-    at = F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)") / 1e6
+    at = F.floor(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '2024-01-01 00:00:00', ts)") / 1000) / 1000.0
     length = F.col("event_id") % 40 - 2
     return e.select(
-        F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.col("event_type").alias("speaker"), F.round(at, 3).alias("start"),
-        F.round(at + length, 3).alias("end"), F.col("value").alias("value"), "props", "ts",
+        F.col("user_id").alias("run"), F.col("event_id").alias("seq"), F.col("event_type").alias("speaker"), at.alias("start"),
+        (at + length).alias("end"), F.col("value").alias("value"), "props", "ts",
     )
 
 
 EVENTS = """e AS (SELECT user_id AS run, event_id AS seq, event_type AS speaker,
-  round(epoch_us(ts) / 1e6 - epoch_us(TIMESTAMP '2024-01-01') / 1e6, 3) AS "start",
-  round(epoch_us(ts) / 1e6 - epoch_us(TIMESTAMP '2024-01-01') / 1e6 + (event_id % 40 - 2), 3) AS "end", value, props, ts FROM events)"""
+  floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000.0) / 1000.0::DOUBLE AS "start",
+  floor((epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) / 1000.0) / 1000.0::DOUBLE + (event_id % 40 - 2) AS "end", value, props, ts FROM events)"""
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

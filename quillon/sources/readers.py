@@ -177,7 +177,7 @@ def subtitle_cues(files: DataFrame, close: float = 0.25) -> DataFrame:
 def notes(files: DataFrame) -> DataFrame:
     """note_id, relative, title, tags, body of Markdown notes (root, relative, text): front matter, then first heading, then name."""
     front = F.regexp_extract("text", r"^---\n(?s:(.*?))\n---(?:\n|$)", 1)
-    field = lambda name: T.blank_to_null(F.trim(F.lit(" \"'"), F.regexp_extract(front, rf"(?m)^{name}:[ \t]*(.*)$", 1)))
+    field = lambda name: T.blank_to_null(F.trim(F.regexp_extract(front, rf"(?m)^{name}:[ \t]*(.*)$", 1), F.lit(" \"'")))
     heading = T.blank_to_null(F.regexp_extract("text", r"(?m)^#\s+(.+?)\s*$", 1))
     stem = F.regexp_extract("relative", r"([^/]+?)(?:\.[^./]*)?$", 1)
     tags = F.split(F.regexp_replace(F.coalesce(field("tags"), F.lit("")), r"[\[\]\"'#]", ""), r"[,\s]+")
