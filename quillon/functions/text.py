@@ -22,6 +22,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def strip(text: Column) -> Column:
+    """Without white space, line ends included, at either end."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def fold(text: Column) -> Column:
     """Lower case, with the one letter whose full case folding is longer."""
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))

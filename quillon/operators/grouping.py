@@ -162,7 +162,7 @@ def capped_groups(rows: DataFrame, by: list[str], gap: float, span: float, count
 
 def split_units(text: Column) -> Column:
     """Sentences and paragraphs."""
-    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[。！？.!?])\s+|\n{2,}"), F.trim), lambda u: u != "")
+    return F.filter(F.transform(F.split(F.trim(text), r"(?<=[。！？.!?])\s+|\n{2,}"), lambda x: F.trim(x)), lambda u: u != "")
 
 
 def _tokens(text: str) -> int:
@@ -235,7 +235,7 @@ def heading_blocks(documents: DataFrame) -> DataFrame:
 
     def step(acc: Column, line: Column) -> Column:
         n = level(line)
-        close = F.when(F.trim(acc["body"]) != "", F.concat(acc["done"], F.array(F.struct(acc["stack"].alias("path"), F.trim(acc["body"]).alias("body"))))).otherwise(acc["done"])
+        close = F.when(T.strip(acc["body"]) != "", F.concat(acc["done"], F.array(F.struct(acc["stack"].alias("path"), T.strip(acc["body"]).alias("body"))))).otherwise(acc["done"])
         # A level that was skipped leaves no place in the stack.
         stack = F.concat(F.slice(acc["stack"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.array(name(line)))
         return F.struct(
@@ -244,7 +244,7 @@ def heading_blocks(documents: DataFrame) -> DataFrame:
             F.when(n > 0, F.lit("")).otherwise(F.concat(acc["body"], line, F.lit("\n"))).alias("body"),
         )
 
-    finish = lambda acc: F.when(F.trim(acc["body"]) != "", F.concat(acc["done"], F.array(F.struct(acc["stack"].alias("path"), F.trim(acc["body"]).alias("body"))))).otherwise(acc["done"])
+    finish = lambda acc: F.when(T.strip(acc["body"]) != "", F.concat(acc["done"], F.array(F.struct(acc["stack"].alias("path"), T.strip(acc["body"]).alias("body"))))).otherwise(acc["done"])
     return (
         documents.select("document_id", F.posexplode(F.aggregate(lines, begin, step, finish)).alias("block_no", "block"))
         .select("document_id", F.col("block_no").cast("long").alias("block_no"), F.col("block.path").alias("heading_path"), F.col("block.body").alias("body"))

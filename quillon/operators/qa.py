@@ -134,7 +134,7 @@ def citation_errors(answers: DataFrame, evidence: DataFrame, chunks: DataFrame)
 def best_sentences(evidence: DataFrame, pieces: int = 4, most: int = 360) -> DataFrame:
     """query_id, evidence_id, excerpt: of the first pieces of evidence the sentence that shares most terms."""
     asked = T.rerank_terms(F.col("question"), "-")
-    sentences = F.filter(F.transform(F.split("content", r"(?<=[。！？.!?])\s+|\n+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split("content", r"(?<=[。！？.!?])\s+|\n+"), lambda x: F.trim(x)), lambda s: s != "")
     split = (
         evidence.filter(F.col("evidence_no") <= pieces)
         .withColumn("asked", asked)

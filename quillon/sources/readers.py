@@ -147,8 +147,8 @@ def subtitle_cues(files: DataFrame, close: float = 0.25) -> DataFrame:
     """file_id, start, end, text of SRT and VTT texts (file_id, text); equal neighbours that touch are one cue."""
     clean = F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "^﻿", "")
     blocks = files.select("file_id", F.posexplode(F.split(clean, r"\n\s*\n")).alias("block_no", "block"))
-    lines = F.filter(F.transform(F.split("block", "\n"), F.trim), lambda x: x != "")
-    timing = F.col("lines")[F.col("at")]
+    lines = F.filter(F.transform(F.split("block", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    timing = F.get("lines", F.col("at"))
     stamp = lambda x: x.rlike(r"^(?:\d+:)?\d+:\d+[.,]?\d*$")
     words = F.array_join(F.slice("lines", F.col("at") + 2, F.greatest(F.size("lines") - F.col("at") - 1, F.lit(0))), "\n")
     raw = (
@@ -156,7 +156,7 @@ def subtitle_cues(files: DataFrame, close: float = 0.25) -> DataFrame:
         .filter((F.size("lines") > 0) & ~F.upper(F.get("lines", F.lit(0))).rlike("^(?:WEBVTT|NOTE|STYLE|REGION)"))
         .withColumn("at", F.array_position(F.transform(F.slice("lines", 1, 3), lambda x: x.contains("-->")), F.lit(True)).cast("int") - 1)
         .filter("at >= 0")
-        .select("file_id", "block_no", F.trim(F.split(timing, "-->")[0]).alias("a"), F.regexp_extract(F.split(timing, "-->")[1], r"^\s*(\S*)", 1).alias("z"), words.alias("text"))
+        .select("file_id", "block_no", F.trim(F.get(F.split(timing, "-->"), F.lit(0))).alias("a"), F.regexp_extract(F.get(F.split(timing, "-->"), F.lit(1)), r"^\s*(\S*)", 1).alias("z"), words.alias("text"))
         .filter(stamp(F.col("a")) & stamp(F.col("z")))
         .select("file_id", "block_no", M.parse_cue_time(F.col("a")).alias("start"), M.parse_cue_time(F.col("z")).alias("end"), F.trim(T.strip_tags(F.col("text"))).alias("text"))
     )
