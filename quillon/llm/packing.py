@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -42,14 +43,23 @@ class PackOptions:
 #: Spellings whose ids a worker remembers in each of two generations; when the younger is full, it becomes the older.
 REMEMBERED = 500_000
 
-#: A full stop or comma after a letter and before white space stands by itself for the tokenizer, too.
-_MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
+#: Lower-case letters that are one word to the tokenizer: no other character stands in them, and they are normal already.
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def _byte_letters() -> list[str]:
+    """The character by which byte-level tokenizers spell each byte: itself where it can be printed, else one beyond 255."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in printable]
+    return [chr(b) if b in printable else chr(256 + rest.index(b)) for b in range(256)]
 
 
 class _Ids(dict):
     """White-space-free chunk -> its ids as little-endian unsigned 32-bit numbers.
 
-    The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks.
+    The tokenizer drops white space and never merges across it, so a text's ids are those of its chunks. A chunk of
+    letters alone goes to the tokenizer's model directly; one that ends with a full stop or comma after letters has the ids
+    of both parts; others pass the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -58,26 +68,27 @@ class _Ids(dict):
         super().__init__()
         self.older: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
+        self.spell = self.tokenizer.model.tokenize
+        self.letters = str.maketrans({i: c for i, c in enumerate(_byte_letters())})
 
     def __missing__(self, chunk: bytes) -> bytes:
-        coded = self[chunk] = self.older[chunk]
-        return coded
-
-    def learn(self, chunks: set[bytes]) -> None:
-        new = [c for c in chunks if c not in self and c not in self.older]
-        if len(self) + len(new) > REMEMBERED:
+        coded = self.older.get(chunk)
+        if coded is None:
+            if _LETTERS.fullmatch(chunk):
+                coded = _packed([t.id for t in self.spell(chunk.decode("latin-1").translate(self.letters))])
+            elif chunk[-1:] in b".," and _LETTERS.fullmatch(chunk, 0, len(chunk) - 1):
+                coded = self[chunk[:-1]] + self[chunk[-1:]]
+            else:
+                coded = _packed(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids)
+        if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
-        for i in range(0, len(new), 512):
-            part = new[i : i + 512]
-            words = [c.decode() for c in part]
-            coded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-            sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
-            begins = np.cumsum(sizes) - sizes
-            places = np.array(coded.offsets, dtype=np.int64).reshape(-1, 2)[:, 0]
-            edges = [*(4 * np.searchsorted(places, begins)).tolist(), 4 * len(places)]
-            ids = np.array(coded.ids, dtype="<u4").tobytes()
-            self.update(zip(part, map(ids.__getitem__, map(slice, edges, edges[1:])), strict=True))
+        self[chunk] = coded
+        return coded
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 @cache
@@ -94,16 +105,8 @@ def token_ids(text: bytes, ids: _Ids) -> bytes:
     """The ids of a whole text, without the end id."""
     if b"<|" not in text:  # else a special token's string might come about
         text = text.lower()
-    chunks = _MARK.sub(rb" \1", text).split()
-    out = []
-    for i in range(0, len(chunks), 100_000):
-        part = chunks[i : i + 100_000]
-        try:
-            out.append(b"".join([ids[c] for c in part]))
-        except KeyError:
-            ids.learn(set(part))
-            out.append(b"".join([ids[c] for c in part]))
-    return b"".join(out)
+    chunks = text.split()
+    return b"".join([b"".join([ids[c] for c in chunks[i : i + 100_000]]) for i in range(0, len(chunks), 100_000)])
 
 
 PIECES = pa.schema(
