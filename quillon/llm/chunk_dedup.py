@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, text_of
+from quillon.llm.common import materialise, text_of, wrapped
 from quillon.llm.wordhash import constants, texts_of
 
 
@@ -130,8 +130,8 @@ def chunks(rows: DataFrame, options: ChunkOptions) -> DataFrame:
 
 
 #: Tells texts apart that share a doc_id.
-def _tag() -> Column:
-    return F.pmod(F.xxhash64(text_of()), F.lit(1 << 16)).cast("int")
+def _tag(column: str = "text") -> Column:
+    return F.pmod(F.xxhash64(text_of(column)), F.lit(1 << 16)).cast("int")
 
 
 def repeated_passages(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
@@ -170,11 +170,11 @@ def repeated_passages(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -
 
 def cut_repeats(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
     """docs with every repeated passage but the original cut out of its text."""
-    spans = F.sort_array(F.collect_set(F.struct("start_byte", "n_bytes"))).alias("__gone")
+    spans = F.sort_array(F.collect_set(F.struct("start_byte", "n_bytes"))).alias("gone")
     gone = (
         repeated_passages(docs, options)
         .filter("NOT original")
-        .groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__of"))
+        .groupBy(F.col("doc_id").alias("id"), F.col("tag").alias("of"))
         .agg(spans)
     )
     names = docs.columns
@@ -196,5 +196,5 @@ def cut_repeats(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> Data
             columns = [pa.array(texts, type=pa.string()) if i == at_text else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    match = (F.col("doc_id") == F.col("__id")) & (_tag() == F.col("__of"))
-    return docs.join(gone, match, "left").select(*[F.col(f"`{c}`") for c in names], "__gone").mapInArrow(cut, docs.schema)
+    match = (F.col("row.doc_id") == F.col("id")) & (_tag("row.text") == F.col("of"))
+    return wrapped(docs).join(gone, match, "left").select("row.*", "gone").mapInArrow(cut, docs.schema)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import SPACE, materialise, text_of
+from quillon.llm.common import SPACE, materialise, text_of, wrapped
 
 
 @dataclass(frozen=True)
@@ -90,13 +90,14 @@ def exact_groups(docs: DataFrame, options: ExactDedupOptions = ExactDedupOptions
 def drop_exact_copies(docs: DataFrame, options: ExactDedupOptions = ExactDedupOptions()) -> DataFrame:
     """The rows of docs that stay, with their own columns. Rows that repeat (doc_id, text) stay once."""
     kept = exact_groups(docs, options).filter("kept").select(
-        F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_digest")
+        F.col("doc_id").alias("keep_id"), F.col("text_sha256").alias("keep_digest")
     )
-    again = Window.partitionBy("__digest", "__id").orderBy(F.lit(0))
+    again = Window.partitionBy("digest", "id").orderBy(F.lit(0))
     wide = (
-        docs.withColumns({"__digest": digest_of(), "__id": F.col("doc_id")})
-        .withColumn("__copy", F.row_number().over(again))
-        .filter("__copy = 1")
+        wrapped(docs)
+        .withColumns({"digest": digest_of("row.text"), "id": F.col("row.doc_id")})
+        .withColumn("copy", F.row_number().over(again))
+        .filter("copy = 1")
     )
-    match = (F.col("__digest") == F.col("__keep_digest")) & F.col("__id").eqNullSafe(F.col("__keep_id"))
-    return wide.join(kept, match, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    match = (F.col("digest") == F.col("keep_digest")) & F.col("id").eqNullSafe(F.col("keep_id"))
+    return wide.join(kept, match, "left_semi").select("row.*")

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import WORD, materialise, text_of
+from quillon.llm.common import WORD, materialise, text_of, wrapped
 
 
 @dataclass(frozen=True)
@@ -155,13 +155,12 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
 def apply_mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
     """The mix itself: every document of docs as often as the mix takes it, with its own columns."""
     plan = mix(docs, options).filter("repeats > 0")
-    plan = plan.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source")).agg(
-        F.max("repeats").alias("__repeats")
-    )
-    match = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
+    plan = plan.groupBy("doc_id", "source").agg(F.max("repeats").alias("repeats"))
+    match = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
     return (
-        docs.join(plan, match)
-        .filter(size_of() > 0)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__repeats"))))
-        .select(*[F.col(f"`{c}`") for c in docs.columns])
+        wrapped(docs)
+        .join(plan, match)
+        .filter(size_of("row.text") > 0)
+        .select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+        .select("row.*")
     )
