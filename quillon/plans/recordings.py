@@ -199,6 +199,6 @@ def external(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("str_09_glossary_hits")
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    terms = T.index_terms(F.col("text"))
-    names = d.select(F.get(terms, F.lit(0)).alias("variant")).filter("length(variant) > 5").distinct().withColumn("canonical", F.upper("variant")).withColumn("variant", F.concat("variant", F.lit("s"))).limit(50)
+    first = F.get(T.index_terms(F.col("text")), F.lit(0))
+    names = d.select(first.alias("variant")).filter("length(variant) > 9").distinct().withColumn("canonical", F.concat("variant", F.lit(" (term)")))
     return transcripts.glossary_hits(d.select(F.col("doc_id").alias("segment_id"), "text"), names)
