@@ -98,7 +98,9 @@ FUSED = """fu AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)
 ft AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS rank FROM fu QUALIFY rank <= 30)"""
 
 #: Questions whose number is also a vector's: both branches answer.
-BOTH = VECTORS.replace("chunk_id % 25 = 0", "chunk_id IN (SELECT query_id FROM q)")
+BOTH = VECTORS.replace("chunk_id % 25 = 0", "chunk_id IN (SELECT query_id FROM q)").replace(
+    "FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))"
+)
 
 
 def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
