@@ -27,13 +27,10 @@ def components(links: DataFrame) -> DataFrame:
             .groupBy(F.col("a").alias("near_node"))
             .agg(F.min("component").alias("near"))
         )
-        moved = materialise(
-            labels.join(near, F.col("node") == F.col("near_node"), "left").select(
-                "node",
-                F.col("component").alias("before"),
-                F.least("component", F.coalesce("near", "component")).alias("component"),
-            ),
-            "moved",
+        moved = labels.join(near, F.col("node") == F.col("near_node"), "left").select(
+            "node",
+            F.col("component").alias("before"),
+            F.least("component", F.coalesce("near", "component")).alias("component"),
         )
         target = moved.select(F.col("node").alias("target"), F.col("component").alias("jump"))
         labels = materialise(
