@@ -6,14 +6,15 @@ Two models, one of toxic and one of ordinary texts, share their backoff counts:
     P_c(w)     = max(n_c(w) - D, 0) / N_c     + backoff_c    P(w)
     P(w)       = distinct words before w / all of them, from both classes together
 
-An expression (word or word pair) that occurs fewer than ``rare`` times in both classes together says nothing about a
-class: its class counts are replaced by the shared ones, which cancel between the models. So the models hold no rare
-expression, and pairs need counting only where both words are frequent. Counts come from all training rows by
-map-side sums and one shuffle; histories before a word are counted in a 64-bit linear counter, which merges by OR.
+Every word and word pair of the training rows counts, however rare: their counts stay in a distributed table, and only
+its rows for the words and pairs of a block of texts are joined to that block. Counts come from all training rows by
+map-side sums and one shuffle; words and histories are summed from the pairs. A word that no training row holds has
+no probability under either model and says nothing.
 
 A text's score compares its length-normalised log-likelihoods under both models: their difference per word, the same
-against the square root of the length, and the strongest single expressions, calibrated on training rows whose own
-counts are taken out of the models first.
+against the square root of the length, and the strongest single expressions, each by P_c(w | h) and by P_c(w) alone
+because pairs of a small corpus are sparse; calibrated on training rows whose own counts are taken out of the models
+first.
 
 Defined results: a null text counts as empty; a text without words gets the calibrated score of no evidence; rows
 without a usable label don't train; a null doc_id isn't held out and never trains; without training rows of both
@@ -22,6 +23,7 @@ classes every score is the share of toxic labels; an empty table gives an empty
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,8 +40,7 @@ from quillon.llm.wordhash import grouped, mix, texts_of, word_hashes
 
 @dataclass(frozen=True)
 class ToxicityOptions:
-    rare: int = 30  # expressions with fewer occurrences take shared counts
-    expressions: int = 1_000_000  # that the models hold at most: `rare` rises until they fit
+    rare: int = 30  # has no effect any more: every expression counts
     discount: float = 0.75
     calibration_rows: int = 20_000  # labelled rows, about, on which the score is calibrated
     strongest: int = 3
@@ -54,15 +55,7 @@ def fold_of(column: str, folds: int) -> Column:
 
 #: Stands before the first word of a text.
 START = np.uint64(0x5354415254)
-FEATURES = 4
-
-
-def pair_keys(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """The key of (word before, word) for every word; begins: where texts begin."""
-    before = np.empty_like(words)
-    before[1:] = words[:-1]
-    before[begins[begins < len(words)]] = START
-    return mix(before * np.uint64(3) + words)
+FEATURES = 7
 
 
 class Counts:
@@ -71,24 +64,19 @@ class Counts:
     LARGE = 400_000
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.parts: list[tuple[np.ndarray, ...]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray, toxic: np.ndarray, history: np.ndarray) -> None:
-        self._push(keys, toxic.astype(np.int64), 1 - toxic.astype(np.int64), history)
+    def add(self, keys: np.ndarray, toxic: np.ndarray, before: np.ndarray, words: np.ndarray) -> None:
+        self._push(keys, toxic.astype(np.int64), 1 - toxic.astype(np.int64), before, words)
 
-    def _push(self, keys, toxic, ordinary, history) -> None:
+    def _push(self, keys, toxic, ordinary, before, words) -> None:
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
         first = np.flatnonzero(np.diff(keys, prepend=~keys[:1]) != 0)
-        self.parts.append(
-            (
-                keys[first],
-                np.add.reduceat(toxic[order], first),
-                np.add.reduceat(ordinary[order], first),
-                np.bitwise_or.reduceat(history[order], first),
-            )
-        )
+        one = order[first]
+        sums = (np.add.reduceat(x[order], first) for x in (toxic, ordinary))
+        self.parts.append((keys[first], *sums, before[one], words[one]))
         self.size += len(first)
 
     def merged(self) -> tuple[np.ndarray, ...]:
@@ -100,22 +88,12 @@ class Counts:
 
     def batches(self, last: bool) -> Iterator[pa.RecordBatch]:
         if self.size and (last or self.size > self.LARGE):
-            keys, toxic, ordinary, history = self.merged()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys.view(np.int64)), pa.array(toxic), pa.array(ordinary), pa.array(history.view(np.int64))],
-                names=["key", "toxic", "ordinary", "history"],
-            )
-
-
-COUNTS = "key long, toxic long, ordinary long, history long"
-
+            columns = [pa.array(x.view(np.int64)) for x in self.merged()]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "toxic", "ordinary", "before", "word"])
 
-def count_expressions(training: DataFrame, frequent: np.ndarray | None) -> DataFrame:
-    """key, toxic, ordinary, history over all training rows (text, __label).
 
-    Without ``frequent`` the words are counted; with it (a broadcast sorted array of word hashes) the pairs of such words.
-    """
-    shared = None if frequent is None else training.sparkSession.sparkContext.broadcast(frequent)
+def count_pairs(training: DataFrame) -> DataFrame:
+    """key, toxic, ordinary, before, word of every pair in all training rows (text, __label)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts()
@@ -127,96 +105,142 @@ def count_expressions(training: DataFrame, frequent: np.ndarray | None) -> DataF
                 if not len(words):
                     continue
                 toxic = np.repeat(label[first : first + len(group)], np.diff(at))
-                before = np.empty_like(words)
-                before[1:] = words[:-1]
-                before[at[:-1][at[:-1] < len(words)]] = START
-                if shared is None:
-                    bit = np.left_shift(np.uint64(1), mix(before) & np.uint64(63))
-                    counts.add(words, toxic, bit)
-                else:
-                    known = contains(shared.value, words)
-                    both = known & (contains(shared.value, before) | (before == START))
-                    if both.any():
-                        keys = mix(before[both] * np.uint64(3) + words[both])
-                        counts.add(keys, toxic[both], np.zeros(len(keys), dtype=np.uint64))
+                before = words_before(words, at[:-1])
+                counts.add(mix(before * np.uint64(3) + words), toxic, before, words)
                 yield from counts.batches(last=False)
         yield from counts.batches(last=True)
 
     return (
         training.select(text_of().alias("text"), "__label")
-        .mapInArrow(count, COUNTS)
+        .mapInArrow(count, "key long, toxic long, ordinary long, before long, word long")
         .groupBy("key")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.bit_or("history").alias("history"))
+        .agg(*[F.sum(c).alias(c) for c in ("toxic", "ordinary")], *[F.min(c).alias(c) for c in ("before", "word")])
     )
 
 
-def contains(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(table):
-        return np.zeros(len(keys), dtype=bool)
-    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-    return table[at] == keys
+@dataclass(frozen=True)
+class Shares:
+    """What the models know of a class as a whole, whatever the size of the corpus."""
 
+    totals: np.ndarray  # words of each class: ordinary, toxic
+    backoff: np.ndarray  # share of each class's mass that goes to P(w)
+    pairs: float  # distinct pairs of both classes together
+    discount: float
+    strongest: int
 
-def frequent_rows(counts: DataFrame, options: ToxicityOptions) -> tuple[np.ndarray, ...]:
-    """(keys, toxic, ordinary, history) sorted by key; at most ``expressions`` rows reach the driver."""
-    total = F.col("toxic") + F.col("ordinary")
-    rare = options.rare
-    kept = counts.filter(total >= rare)
-    while kept.count() > options.expressions:
-        rare *= 2
-        kept = counts.filter(total >= rare)
-    table = kept.select("key", "toxic", "ordinary", "history").toArrow()
-    keys = table["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    rest = [table[c].to_numpy()[order] for c in ("toxic", "ordinary")]
-    return keys[order], *rest, table["history"].to_numpy().view(np.uint64)[order]
+
+def learn(training: DataFrame, options: ToxicityOptions) -> tuple[DataFrame, Shares]:
+    """(key, toxic, ordinary, more) of all words and pairs, and the shares.
+
+    more: null for pairs; for words the distinct words before them and their counts as a history in either class.
+    """
+    pairs = materialise(count_pairs(training), "word-pairs")
+    counts = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
+    ends = pairs.groupBy(F.col("word").alias("key")).agg(*counts, F.count(F.lit(1)).alias("befores"))
+    begins = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("ordinary").alias("h0"), F.sum("toxic").alias("h1"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+    words = ends.join(begins, "key", "full").select(
+        "key", zero("toxic"), zero("ordinary"), F.array(*[zero(c) for c in MORE]).alias("more")
+    )
+    words = materialise(words, "words")
+    seen = F.col("ordinary"), F.col("toxic")
+    sums = words.agg(*[F.sum(c) for c in seen], *[F.count_if(c > 0) for c in seen], F.sum(F.col("more")[0])).first()
+    totals = np.array([sums[0] or 0, sums[1] or 0], dtype=np.float64)
+    kinds = np.array([sums[2] or 0, sums[3] or 0], dtype=np.float64)
+    backoff = np.clip(options.discount * kinds / np.maximum(totals, 1), 1e-6, 1)
+    shares = Shares(totals, backoff, max(float(sums[4] or 0), 1.0), options.discount, options.strongest)
+    none = F.lit(None).cast("array<bigint>").alias("more")
+    return words.unionByName(pairs.select("key", "toxic", "ordinary", none)), shares
+
+
+#: Of a word, beside its counts: distinct words before it, and how often it stands before another in either class.
+MORE = ("befores", "h0", "h1")
+
+
+def words_before(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """The word before every word; begins: where texts begin."""
+    before = np.empty_like(words)
+    before[1:] = words[:-1]
+    before[begins[begins < len(words)]] = START
+    return before
 
 
 @dataclass(frozen=True)
 class Models:
+    """The models as far as the texts of one block need them; keys are sorted."""
+
     words: np.ndarray
     word_counts: np.ndarray  # (2, words): ordinary, toxic
-    shared: np.ndarray  # P(w) of the frequent words
+    more: np.ndarray  # (len(MORE), words)
     pairs: np.ndarray
     pair_counts: np.ndarray
-    totals: np.ndarray  # words of each class
-    backoff: np.ndarray  # share of each class's mass that goes to P(w)
-    discount: float
-    strongest: int
+    shares: Shares
+
+    @staticmethod
+    def of(table: pa.Table, shares: Shares) -> Models:
+        """From rows (key, toxic, ordinary, more)."""
+        table = table.combine_chunks()
+        keys = table["key"].to_numpy().view(np.uint64)
+        counts = np.stack([table[c].to_numpy() for c in ("ordinary", "toxic")]).astype(np.float64)
+        is_pair = table["more"].is_null().to_numpy()
+        more = table["more"].filter(pa.array(~is_pair)).combine_chunks().flatten().to_numpy()
+        more = more.reshape(-1, len(MORE)).T.astype(np.float64)
+        words, pairs = np.flatnonzero(~is_pair), np.flatnonzero(is_pair)
+        by_word, by_pair = np.argsort(keys[words]), np.argsort(keys[pairs])
+        words, pairs = words[by_word], pairs[by_pair]
+        return Models(keys[words], counts[:, words], more[:, by_word], keys[pairs], counts[:, pairs], shares)
 
     def features(self, words: np.ndarray, own: int | None = None) -> np.ndarray:
-        """(difference per word, the same by the root of the length, sum of the strongest, log length).
+        """(difference per word, the same by the root of the length, sum of the strongest), by pairs and by words alone, and log length.
 
         own: the class in whose counts this text is contained and from which it is taken out.
         """
         n = len(words)
         if not n or not len(self.words):
-            return np.array([0.0, 0.0, 0.0, np.log1p(n)])
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        known = self.words[at] == words
-        counts = np.where(known, self.word_counts[:, at], 0).astype(np.float64)
-        keys = pair_keys(words, np.zeros(1, dtype=np.int64))
-        pair_at = np.minimum(np.searchsorted(self.pairs, keys), max(len(self.pairs) - 1, 0))
-        paired = (self.pairs[pair_at] == keys) if len(self.pairs) else np.zeros(n, dtype=bool)
-        pair = np.where(paired, self.pair_counts[:, pair_at], 0).astype(np.float64) if len(self.pairs) else np.zeros((2, n))
-        totals = self.totals.astype(np.float64).copy()
+            return np.array([0.0] * (FEATURES - 1) + [np.log1p(n)])
+        *probabilities, known = self.probabilities(words, own)
+        most = self.shares.strongest
+        out = []
+        for one in probabilities:
+            ratio = np.zeros(n)
+            ratio[known] = np.log(one[1, known]) - np.log(one[0, known])
+            top = np.partition(ratio, n - most)[-most:] if n > most else ratio
+            out += [ratio.mean(), ratio.sum() / n**0.5, np.sort(top).sum()]
+        return np.array([*out, np.log1p(n)])
+
+    def probabilities(self, words: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """P_c(w | h) and P_c(w) of a text's words in both classes, and which words the training rows hold."""
+        n = len(words)
+        before = words_before(words, np.zeros(1, dtype=np.int64))
+        keys = mix(before * np.uint64(3) + words)
+        counts, befores = _found(self.words, words, self.word_counts), _found(self.words, words, self.more[:1])[0]
+        history = _found(self.words, before, self.more[1:3])
+        pair = _found(self.pairs, keys, self.pair_counts)
+        totals, all_pairs = self.shares.totals.copy(), self.shares.pairs
         if own is not None:
-            counts[own] -= np.where(known, _times(words), 0)
-            pair[own] -= np.where(paired, _times(keys), 0)
+            counts[own] -= _times(words)
+            history[own] -= _times(before)
+            pair[own] -= _times(keys)
             totals[own] -= n
-        np.maximum(counts, 0, out=counts)
-        np.maximum(pair, 0, out=pair)
+            # Pairs that only this text holds.
+            _, first = np.unique(keys, return_index=True)
+            befores -= _among(words, words[first[pair[:, first].sum(axis=0) <= 0]])
+            all_pairs -= np.count_nonzero(pair[:, first].sum(axis=0) <= 0)
         totals = np.maximum(totals, 1)
-        single = np.maximum(counts - self.discount, 0) / totals[:, None] + self.backoff[:, None] * self.shared[at]
-        # A pair's history is the word before it; the first word of a text has none that is counted.
-        history = np.concatenate((np.zeros((2, 1)), counts[:, :-1]), axis=1)
-        history = np.maximum(history, pair)
-        taken = np.maximum(pair - self.discount, 0) / np.maximum(history, 1)
+        shared = np.maximum(befores, 0) / max(all_pairs, 1)
+        discount = self.shares.discount
+        single = np.maximum(counts - discount, 0) / totals[:, None] + self.shares.backoff[:, None] * shared
+        taken = np.maximum(pair - discount, 0) / np.maximum(history, 1)
         both = taken + (1 - taken) * single
-        ratio = np.where(known, np.log(single[1]) - np.log(single[0]), 0.0)
-        ratio = np.where(paired & known, np.log(both[1]) - np.log(both[0]), ratio)
-        top = np.sort(np.partition(ratio, n - self.strongest)[-self.strongest :]) if n > self.strongest else ratio
-        return np.array([ratio.mean(), ratio.sum() / n**0.5, top.sum(), np.log1p(n)])
+        return both, single, shared > 0
+
+
+def _found(table: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The columns of values at each key; zeros where the sorted table doesn't hold it."""
+    if not len(table):
+        return np.zeros((len(values), len(keys)))
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return np.where(table[at] == keys, values[:, at], 0.0)
 
 
 def _times(keys: np.ndarray) -> np.ndarray:
@@ -225,83 +249,119 @@ def _times(keys: np.ndarray) -> np.ndarray:
     return times[place]
 
 
-def learn(training: DataFrame, options: ToxicityOptions) -> Models:
-    words = materialise(count_expressions(training, None), "words")
-    # Distinct histories of a word from its linear counter; those of rare words only enter the sum.
-    seen = F.bit_count("history").cast("double")
-    histories = F.when(seen < 64, -64 * F.log1p(-seen / 64)).otherwise(F.lit(64 * float(np.log(128))))
-    sums = words.agg(
-        F.sum("ordinary"), F.sum("toxic"), F.count_if(F.col("ordinary") > 0), F.count_if(F.col("toxic") > 0), F.sum(histories)
-    ).first()
-    totals = np.array([sums[0] or 0, sums[1] or 0], dtype=np.float64)
-    kinds = np.array([sums[2] or 0, sums[3] or 0], dtype=np.float64)
-    keys, toxic, ordinary, history = frequent_rows(words, options)
-    set_bits = np.bitwise_count(history).astype(np.float64)
-    cont = np.where(set_bits < 64, -64 * np.log1p(-np.minimum(set_bits, 63.5) / 64), 64 * np.log(128))
-    pairs = materialise(count_expressions(training, keys), "word-pairs")
-    pair_keys_, pair_toxic, pair_ordinary, _ = frequent_rows(pairs, options)
-    return Models(
-        words=keys,
-        word_counts=np.stack((ordinary, toxic)).astype(np.float32),
-        shared=cont / max(float(sums[4] or 0), 1.0),
-        pairs=pair_keys_,
-        pair_counts=np.stack((pair_ordinary, pair_toxic)).astype(np.float32),
-        totals=totals,
-        backoff=np.clip(options.discount * kinds / np.maximum(totals, 1), 1e-6, 1),
-        discount=options.discount,
-        strongest=options.strongest,
-    )
+def _among(keys: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """How often each key occurs among some others."""
+    kinds, times = np.unique(some, return_counts=True)
+    return _found(kinds, keys, times[None, :].astype(np.float64))[0]
+
+
+#: Texts are packed to blocks of about so many words: what a task holds at once, whatever the corpus.
+BLOCK_WORDS = 1_000_000
+#: Words are numbers into the block's own sorted words; ends: where each text's words end.
+BLOCKS = "block long, doc_ids array<long>, own array<int>, ends array<int>, places binary, words binary"
+
 
+def packed(rows: DataFrame) -> DataFrame:
+    """rows (doc_id, text, own) as blocks of texts."""
+
+    def block(ids: list, own: list, sizes: list[np.ndarray], words: list[np.ndarray]) -> pa.RecordBatch:
+        kinds, places = np.unique(np.concatenate(words), return_inverse=True)
+        ends = np.cumsum(np.concatenate(sizes), dtype=np.int32)
+        values = [uuid.uuid4().int >> 65, ids, own, ends, places.astype(np.int32).tobytes(), kinds.tobytes()]
+        kinds_of = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        columns = [pa.array([v], type=t) for v, t in zip(values, kinds_of, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=[c.split(" ")[0] for c in BLOCKS.split(", ")])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list, list, list] = ([], [], [], [])
+        n = 0
+        for batch in batches:
+            ids, own = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            for first, group in grouped(texts_of(batch.column(1))):
+                words, at = word_hashes(group)
+                held[0].extend(ids[first : first + len(group)])
+                held[1].extend(own[first : first + len(group)])
+                held[2].append(np.diff(at))
+                held[3].append(words)
+                n += len(words) + len(group)
+                if n >= BLOCK_WORDS:
+                    yield block(*held)
+                    held, n = ([], [], [], []), 0
+        if held[0]:
+            yield block(*held)
 
-def text_features(texts: list[bytes], models: Models, own: list[int | None] | None = None) -> np.ndarray:
-    out = np.zeros((len(texts), FEATURES))
-    for first, group in grouped(texts):
-        words, at = word_hashes(group)
-        for i in range(len(group)):
-            out[first + i] = models.features(words[at[i] : at[i + 1]], own[first + i] if own else None)
-    return out
+    return rows.mapInArrow(pack, BLOCKS)
 
 
-def calibrate(training: DataFrame, models: Models, options: ToxicityOptions) -> Logistic:
+def wanted(blocks: DataFrame) -> DataFrame:
+    """block, key: the distinct words and pairs of each block."""
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, ends, places, kinds in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                kinds = np.frombuffer(kinds, dtype=np.uint64)
+                words = kinds[np.frombuffer(places, dtype=np.int32)]
+                before = words_before(words, np.array([0, *ends[:-1]], dtype=np.int64))
+                pairs = np.unique(mix(before * np.uint64(3) + words))
+                found = np.concatenate((kinds, np.array([START]), pairs)).view(np.int64)
+                for at in range(0, len(found), 100_000):
+                    part = pa.array(found[at : at + 100_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), part], names=["block", "key"])
+
+    return blocks.select("block", "ends", "places", "words").mapInArrow(keys, "block long, key long")
+
+
+MEASURED = "doc_id long, own int, " + ", ".join(f"{c} double" for c in "abcdefg")
+
+
+def measured(rows: DataFrame, evidence: DataFrame, shares: Shares) -> DataFrame:
+    """doc_id, own and the features a to g of every row (doc_id, text, own)."""
+    blocks = materialise(packed(rows), "text-blocks")
+    held = wanted(blocks).join(evidence, "key")
+
+    def measure(texts: pa.Table, found: pa.Table) -> pa.Table:
+        models = Models.of(found, shares)
+        ids, own, out = [], [], []
+        for row in texts.to_pylist():
+            words = np.frombuffer(row["words"], dtype=np.uint64)[np.frombuffer(row["places"], dtype=np.int32)]
+            ids += row["doc_ids"]
+            own += row["own"]
+            out += [models.features(words[a:b], c) for a, b, c in zip([0, *row["ends"]], row["ends"], row["own"], strict=False)]
+        features = np.array(out).reshape(-1, FEATURES)
+        columns = [pa.array(ids, type=pa.int64()), pa.array(own, type=pa.int32()), *[pa.array(x) for x in features.T.copy()]]
+        return pa.table(columns, names=[c.split(" ")[0] for c in MEASURED.split(", ")])
+
+    return blocks.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(measure, MEASURED)
+
+
+def calibrate(training: DataFrame, evidence: DataFrame, shares: Shares, options: ToxicityOptions) -> Logistic:
     """Fit the score on about ``calibration_rows`` training rows, drawn by the hash of their ids."""
     rows = training.count()
     share = min(1.0, options.calibration_rows / max(rows, 1))
     drawn = training.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(1_000_000 * share))
-    shared = training.sparkSession.sparkContext.broadcast(models)
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label = batch.column(1).to_pylist()
-            found = text_features(texts_of(batch.column(0)), shared.value, label)
-            columns = [pa.array(found[:, i]) for i in range(FEATURES)]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], names=[*"abcd", "label"])
-
-    table = (
-        drawn.select(text_of().alias("text"), "__label")
-        .mapInArrow(measure, "a double, b double, c double, d double, label int")
-        .toArrow()
-    )
-    features = np.column_stack([table[c].to_numpy() for c in "abcd"]) if len(table) else np.zeros((0, FEATURES))
-    return fit(features, table["label"].to_numpy())
+    own = F.col("__label").cast("int").alias("own")
+    texts = drawn.select(F.lit(None).cast("long").alias("doc_id"), text_of().alias("text"), own)
+    table = measured(texts, evidence, shares).drop("doc_id").toArrow()
+    features = np.column_stack([table[c].to_numpy() for c in "abcdefg"]) if len(table) else np.zeros((0, FEATURES))
+    order = np.lexsort(features.T)  # sums don't depend on the order in which blocks arrive
+    return fit(features[order], table["own"].to_numpy()[order])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs."""
     narrow = docs.select("doc_id", "text")
     training = with_labels(narrow, labels, "toxic").filter(fold_of("doc_id", options.folds) != options.held_out)
-    models = learn(training, options)
-    model = calibrate(training, models, options)
-    shared = docs.sparkSession.sparkContext.broadcast((models, model))
+    evidence, shares = learn(training, options)
+    model = calibrate(training, evidence, shares, options)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            models, model = shared.value
-            found = model.scores(text_features(texts_of(batch.column(1)), models))
+            found = model.scores(np.column_stack([batch.column(i).to_numpy() for i in range(1, FEATURES + 1)]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
-    scored = narrow.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        score, "doc_id long, score double"
-    )
+    own = F.lit(None).cast("int").alias("own")
+    texts = narrow.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), own)
+    scored = measured(texts, evidence, shares).drop("own").mapInArrow(score, "doc_id long, score double")
     return scored.select(
         "doc_id",
         F.coalesce(fold_of("doc_id", options.folds) == options.held_out, F.lit(False)).alias("held_out"),
