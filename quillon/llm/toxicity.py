@@ -12,7 +12,7 @@ map-side sums and one shuffle; words and histories are summed from the pairs. A
 no probability under either model and says nothing.
 
 A text's score compares its length-normalised log-likelihoods under both models: their difference per word, the same
-against the square root of the length, and the strongest single expressions, each by P_c(w | h) and by P_c(w) alone
+against the square root of the length, and the strongest single expressions, weighed by how surely their counts differ, each by P_c(w | h) and by P_c(w) alone
 because pairs of a small corpus are sparse; calibrated on training rows whose own counts are taken out of the models
 first.
 
@@ -56,6 +56,8 @@ def fold_of(column: str, folds: int) -> Column:
 #: Stands before the first word of a text.
 START = np.uint64(0x5354415254)
 FEATURES = 7
+#: Expressions whose counts deviate by so much count half among the strongest.
+DEVIANCE = 20.0
 
 
 class Counts:
@@ -123,7 +125,7 @@ class Shares:
     """What the models know of a class as a whole, whatever the size of the corpus."""
 
     totals: np.ndarray  # words of each class: ordinary, toxic
-    backoff: np.ndarray  # share of each class's mass that goes to P(w)
+    kinds: np.ndarray  # distinct words of each class
     pairs: float  # distinct pairs of both classes together
     discount: float
     strongest: int
@@ -132,12 +134,12 @@ class Shares:
 def learn(training: DataFrame, options: ToxicityOptions) -> tuple[DataFrame, Shares]:
     """(key, toxic, ordinary, more) of all words and pairs, and the shares.
 
-    more: null for pairs; for words the distinct words before them and their counts as a history in either class.
+    more: null for pairs; for words the distinct words before them and, in either class, their counts and followers as a history.
     """
     pairs = materialise(count_pairs(training), "word-pairs")
     counts = [F.sum(c).alias(c) for c in ("toxic", "ordinary")]
     ends = pairs.groupBy(F.col("word").alias("key")).agg(*counts, F.count(F.lit(1)).alias("befores"))
-    begins = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("ordinary").alias("h0"), F.sum("toxic").alias("h1"))
+    begins = pairs.groupBy(F.col("before").alias("key")).agg(F.sum("ordinary").alias("h0"), F.sum("toxic").alias("h1"), F.count_if(F.col("ordinary") > 0).alias("f0"), F.count_if(F.col("toxic") > 0).alias("f1"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     words = ends.join(begins, "key", "full").select(
         "key", zero("toxic"), zero("ordinary"), F.array(*[zero(c) for c in MORE]).alias("more")
@@ -147,14 +149,14 @@ def learn(training: DataFrame, options: ToxicityOptions) -> tuple[DataFrame, Sha
     sums = words.agg(*[F.sum(c) for c in seen], *[F.count_if(c > 0) for c in seen], F.sum(F.col("more")[0])).first()
     totals = np.array([sums[0] or 0, sums[1] or 0], dtype=np.float64)
     kinds = np.array([sums[2] or 0, sums[3] or 0], dtype=np.float64)
-    backoff = np.clip(options.discount * kinds / np.maximum(totals, 1), 1e-6, 1)
-    shares = Shares(totals, backoff, max(float(sums[4] or 0), 1.0), options.discount, options.strongest)
+    shares = Shares(totals, kinds, max(float(sums[4] or 0), 1.0), options.discount, options.strongest)
     none = F.lit(None).cast("array<bigint>").alias("more")
     return words.unionByName(pairs.select("key", "toxic", "ordinary", none)), shares
 
 
-#: Of a word, beside its counts: distinct words before it, and how often it stands before another in either class.
-MORE = ("befores", "h0", "h1")
+#: Of a word, beside its counts: distinct words before it, and in either class how often and before how many distinct
+#: words it stands.
+MORE = ("befores", "h0", "h1", "f0", "f1")
 
 
 def words_before(words: np.ndarray, begins: np.ndarray) -> np.ndarray:
@@ -198,41 +200,57 @@ class Models:
         n = len(words)
         if not n or not len(self.words):
             return np.array([0.0] * (FEATURES - 1) + [np.log1p(n)])
-        *probabilities, known = self.probabilities(words, own)
+        both, single, known, pair, counts, totals = self.probabilities(words, own)
         most = self.shares.strongest
         out = []
-        for one in probabilities:
+        # A pair that no training row holds has the evidence of its word.
+        for one, seen in ((both, np.where(pair.sum(axis=0) > 0, pair, counts)), (single, counts)):
             ratio = np.zeros(n)
             ratio[known] = np.log(one[1, known]) - np.log(one[0, known])
-            top = np.partition(ratio, n - most)[-most:] if n > most else ratio
+            sure = ratio * _certainty(seen, totals)
+            top = np.partition(sure, n - most)[-most:] if n > most else sure
             out += [ratio.mean(), ratio.sum() / n**0.5, np.sort(top).sum()]
         return np.array([*out, np.log1p(n)])
 
-    def probabilities(self, words: np.ndarray, own: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """P_c(w | h) and P_c(w) of a text's words in both classes, and which words the training rows hold."""
+    def probabilities(self, words: np.ndarray, own: int | None = None) -> tuple[np.ndarray, ...]:
+        """P_c(w | h) and P_c(w) of a text's words in both classes, which words the training rows hold, and the counts of
+        pairs, of words and of all words in either class.
+        """
         n = len(words)
         before = words_before(words, np.zeros(1, dtype=np.int64))
         keys = mix(before * np.uint64(3) + words)
         counts, befores = _found(self.words, words, self.word_counts), _found(self.words, words, self.more[:1])[0]
-        history = _found(self.words, before, self.more[1:3])
+        history, followers = _found(self.words, before, self.more[1:3]), _found(self.words, before, self.more[3:5])
         pair = _found(self.pairs, keys, self.pair_counts)
-        totals, all_pairs = self.shares.totals.copy(), self.shares.pairs
+        totals, kinds, all_pairs = self.shares.totals.copy(), self.shares.kinds.copy(), self.shares.pairs
         if own is not None:
             counts[own] -= _times(words)
             history[own] -= _times(before)
             pair[own] -= _times(keys)
             totals[own] -= n
-            # Pairs that only this text holds.
+            # Pairs that only this text holds, in its class or at all.
             _, first = np.unique(keys, return_index=True)
-            befores -= _among(words, words[first[pair[:, first].sum(axis=0) <= 0]])
-            all_pairs -= np.count_nonzero(pair[:, first].sum(axis=0) <= 0)
+            followers[own] -= _among(before, before[first[pair[own, first] <= 0]])
+            alone = first[pair[:, first].sum(axis=0) <= 0]
+            befores -= _among(words, words[alone])
+            all_pairs -= len(alone)
+            kinds[own] -= len(np.unique(words[counts[own] <= 0]))
         totals = np.maximum(totals, 1)
+        backoff = np.clip(self.shares.discount * kinds / totals, 1e-6, 1)
         shared = np.maximum(befores, 0) / max(all_pairs, 1)
         discount = self.shares.discount
-        single = np.maximum(counts - discount, 0) / totals[:, None] + self.shares.backoff[:, None] * shared
+        single = np.maximum(counts - discount, 0) / totals[:, None] + backoff[:, None] * shared
         taken = np.maximum(pair - discount, 0) / np.maximum(history, 1)
-        both = taken + (1 - taken) * single
-        return both, single, shared > 0
+        left = np.where(history > 0, discount * followers / np.maximum(history, 1), 1.0)
+        both = taken + left * single
+        return both, single, shared > 0, pair, counts, totals
+
+
+def _certainty(counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """From 0 to 1, by the deviance of an expression's counts from the sizes of the classes: a few occurrences prove little."""
+    expected = counts.sum(axis=0) * (totals / totals.sum())[:, None]
+    deviance = 2 * (counts * np.log(np.maximum(counts, 1e-9) / np.maximum(expected, 1e-9))).sum(axis=0)
+    return np.maximum(deviance, 0) / (np.maximum(deviance, 0) + DEVIANCE)
 
 
 def _found(table: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:

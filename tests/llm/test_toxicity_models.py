@@ -1,8 +1,13 @@
-"""Toxicity: expressions of any rarity count."""
+"""Toxicity: expressions of any rarity count, and the models are Kneser-Ney."""
 
 import zlib
+from collections import Counter
 
-from quillon.llm.toxicity import toxicity
+import numpy as np
+import pytest
+
+from quillon.llm.toxicity import Models, ToxicityOptions, learn, toxicity
+from quillon.llm.wordhash import word_hashes
 from tests.llm.test_learned import toxic_corpus
 
 
@@ -16,3 +21,41 @@ def test_rare_words_are_evidence(spark):
     plain = [r.score for r in held if not truth[r.doc_id]]
     above = sum(a > b for a in bad for b in plain) / (len(bad) * len(plain))
     assert above >= 0.95
+
+
+def test_probabilities_of_a_history_are_kneser_ney(spark):
+    texts = [("a b a c", 0), ("b a b b d", 0), ("a b e", 1), ("e e a b", 1), ("c", 1)]
+    training = spark.createDataFrame(texts, "text string, __label int")
+    options = ToxicityOptions()
+    evidence, shares = learn(training, options)
+    models = Models.of(evidence.toArrow(), shares)
+    pairs = [Counter(), Counter()]
+    for text, c in texts:
+        found = text.split()
+        pairs[c].update(zip(["", *found], found))
+    vocabulary, both = sorted({w for text, _ in texts for w in text.split()}), set(pairs[0]) | set(pairs[1])
+    d = options.discount
+    for h in ["", *vocabulary]:
+        total = np.zeros(2)
+        for w in vocabulary:
+            code = word_hashes([f"{h} {w}".strip().encode()])[0]
+            got = models.probabilities(code)[0][:, -1]
+            for c in (0, 1):
+                n = sum(pairs[c].values())
+                of_word = sum(v for (_, x), v in pairs[c].items() if x == w)
+                kinds = len({x for _, x in pairs[c]})
+                single = max(of_word - d, 0) / n + d * kinds / n * sum(x == w for _, x in both) / len(both)
+                after = {x: v for (y, x), v in pairs[c].items() if y == h}
+                size = sum(after.values())
+                want = max(after.get(w, 0) - d, 0) / size + d * len(after) / size * single if size else single
+                assert got[c] == pytest.approx(want)
+            total += got
+        assert total == pytest.approx([1, 1])
+
+
+def test_histories_are_counted_without_limit(spark):
+    """One word after 1,000 different ones: all of them count."""
+    training = spark.createDataFrame([(f"h{i} common", i % 2) for i in range(1000)], "text string, __label int")
+    evidence, shares = learn(training, ToxicityOptions())
+    models = Models.of(evidence.toArrow(), shares)
+    assert models.more[0].max() == 1000 and shares.pairs == 2000
