@@ -1,23 +1,23 @@
-"""Substring deduplication by content-defined chunking.
+"""Substring deduplication by content-defined runs of words.
 
-A gear hash rolls over the UTF-8 bytes of a text: it doubles at each byte and adds that byte's gear value, so it depends
-on the last 16 bytes only. A chunk ends where the hash's masked bits are zero, at the earliest after ``shortest`` and at
-the latest after ``longest`` bytes; so an insertion shifts the chunks around it and no others. Chunks are deduplicated by
-a 128-bit digest over the whole table: a digest's first place, by (doc_id, byte), is the original. Neighbouring chunks of
-a text that stand elsewhere too are joined to passages; passages of ``passage_words`` words or more are reported, and
-those places that aren't originals can be cut out.
+Every run of ``passage_words`` words has a hash, and of any ``window`` runs that follow each other the one with the least
+hash is chosen, besides the first and the last of a text. The choice depends on these words only: texts that share a passage
+of passage_words + window - 1 words or more share a chosen run of it, wherever it stands. Chosen runs are deduplicated by a
+128-bit digest over the whole table: a digest's first place, by (doc_id, byte), is the original. Chosen runs that follow
+each other in a text and stand elsewhere too are joined to passages; those places that aren't originals can be cut out.
+Words are compared as they are written, whatever white space separates them. A passage may reach up to window - 1 words
+further on either side than what is reported.
 
 A digest's places are only counted and compared for the smallest, never gathered, so a passage that very many
 documents share costs no more than as many different ones.
 
-Defined results: a null text counts as empty; empty texts have no chunks; a chunk that repeats within one text
+Defined results: a null text counts as empty; texts of fewer words than a run have no passages; a run that repeats within one text
 counts as repeated; rows that repeat a doc_id with the same text are one document and keep it, with different texts
 they are told apart by a hash of the text; an empty table gives an empty result; ``repeated_passages`` ignores other columns, ``cut_repeats`` carries them.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.common import materialise, text_of, wrapped
-from quillon.llm.wordhash import constants, texts_of
+from quillon.llm.wordhash import constants, grouped, mix, texts_of, word_hashes
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,8 @@ class ChunkOptions:
     shortest: int = 24  # bytes
     longest: int = 160
     mask_bits: int = 5  # a chunk's expected length is shortest + 2 ** mask_bits
-    passage_words: int = 20  # of repeated neighbouring chunks together
+    passage_words: int = 20  # that a run has
+    window: int = 20  # at most passage_words: neighbouring runs touch
 
 
 _GEAR = (constants(256, 41) >> np.uint64(48)).astype(np.uint16)
@@ -78,53 +79,64 @@ def cut_points(raw: np.ndarray, options: ChunkOptions) -> list[int]:
     return ends
 
 
-CHUNKS = "doc_id long, tag int, nth int, start int, size int, words int, again boolean, d1 long, d2 long"
+def chosen_runs(words: np.ndarray, options: ChunkOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chosen runs of one text begin, as word numbers, and two hashes of each."""
+    width, n = options.passage_words, len(words) - options.passage_words + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.int64), np.empty((2, 0), dtype=np.uint64)
+    sums = np.zeros((2, n), dtype=np.uint64)
+    for j in range(width):
+        sums += words[j : j + n] * _PLACES[:, j % 64, None]
+    hashes = mix(sums)
+    window = min(options.window, n)
+    least = np.lib.stride_tricks.sliding_window_view(hashes[0], window).argmin(axis=1) + np.arange(n - window + 1)
+    at = np.unique(np.concatenate((least, [0, n - 1])))
+    return at, hashes[:, at]
+
+
+_PLACES = constants(128, 43).reshape(2, 64)
+_SPACES = np.zeros(256, dtype=bool)
+_SPACES[[0x20, *range(0x09, 0x0E)]] = True
+
+CHUNKS = "doc_id long, tag int, nth int, start int, size int, word int, again boolean, d1 long, d2 long"
 
 
 def chunks(rows: DataFrame, options: ChunkOptions) -> DataFrame:
-    """rows (doc_id, tag, text) -> the chunks of every text; start and size in bytes.
+    """rows (doc_id, tag, text) -> the chosen runs of every text; start and size in bytes, word: the number of the first.
 
-    again: the chunk stands earlier in the same text, too.
+    again: the run stands earlier in the same text, too.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = texts_of(batch.column(2))
-            counts, starts, sizes, nths, words, again, digests = [], [], [], [], [], [], []
-            first = 0
-            for i, text in enumerate(texts):
-                ends = cut_points(np.frombuffer(text, dtype=np.uint8), options)
-                seen: set[bytes] = set()
-                at = 0
-                for end in ends:
-                    piece = text[at:end]
-                    digest = hashlib.blake2b(piece, digest_size=16).digest()
-                    starts.append(at)
-                    words.append(len(piece.split()))
-                    again.append(digest in seen)
-                    seen.add(digest)
-                    digests.append(digest)
-                    at = end
-                sizes += map(int.__sub__, ends, [0, *ends[:-1]])
-                nths += range(len(ends))
-                counts.append(len(ends))
-                if len(digests) > 50_000 or i == len(texts) - 1:
-                    part = batch.slice(first, i + 1 - first)
-                    owner = np.repeat(np.arange(len(counts)), counts)
-                    both = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            part.column(0).take(pa.array(owner)),
-                            part.column(1).take(pa.array(owner)),
-                            *[pa.array(x, type=pa.int32()) for x in (nths, starts, sizes, words)],
-                            pa.array(again, type=pa.bool_()),
-                            pa.array(both[:, 0]),
-                            pa.array(both[:, 1]),
-                        ],
-                        names=[c.split(" ")[0] for c in CHUNKS.split(", ")],
-                    )
-                    first = i + 1
-                    counts, starts, sizes, nths, words, again, digests = [], [], [], [], [], [], []
+            for first, group in grouped(texts_of(batch.column(2))):
+                words, bounds = word_hashes(group, lower=False)
+                counts, found = [], []
+                for i, text in enumerate(group):
+                    at, hashes = chosen_runs(words[bounds[i] : bounds[i + 1]], options)
+                    counts.append(len(at))
+                    if not len(at):
+                        continue
+                    edge = np.flatnonzero(np.diff(_SPACES[np.frombuffer(text, dtype=np.uint8)].view(np.int8), prepend=1, append=1))
+                    starts, ends = edge[0::2], edge[1::2]
+                    again = np.ones(len(at), dtype=bool)
+                    again[np.unique(hashes[0], return_index=True)[1]] = False
+                    start = starts[at]
+                    found.append((np.arange(len(at)), start, ends[at + options.passage_words - 1] - start, at, again, *hashes.view(np.int64)))
+                if not found:
+                    continue
+                part = batch.slice(first, len(group))
+                owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+                *numbers, again, d1, d2 = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0).take(owner),
+                        part.column(1).take(owner),
+                        *[pa.array(x.astype(np.int32)) for x in numbers],
+                        *[pa.array(x) for x in (again, d1, d2)],
+                    ],
+                    names=[c.split(" ")[0] for c in CHUNKS.split(", ")],
+                )
 
     return rows.mapInArrow(cut, CHUNKS)
 
@@ -137,8 +149,8 @@ def _tag(column: str = "text") -> Column:
 def repeated_passages(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:
     """doc_id, tag, start_byte, n_bytes, n_words, n_places, first_doc_id, original of every repeated passage.
 
-    n_places: the most places that one of its chunks has; first_doc_id: the smallest document that holds one of them;
-    original: all its chunks stand here first.
+    n_places: the most places that one of its runs has; first_doc_id: the smallest document that holds one of them;
+    original: all its runs stand here first.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _tag().alias("tag"), text_of().alias("text"))
     cut = materialise(chunks(rows, options), "chunks")
@@ -151,19 +163,18 @@ def repeated_passages(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -
     marked = cut.join(repeated, ["d1", "d2"]).drop("d1", "d2")
     along = Window.partitionBy("doc_id", "tag").orderBy("nth")
     here = F.col("doc_id").eqNullSafe(F.col("first_doc_id")) & ~F.col("again")
-    # Chunks that follow each other have the same difference between their number and their rank.
+    # Runs that follow each other have the same difference between their number and their rank.
     return (
         marked.withColumn("run", F.col("nth") - F.dense_rank().over(along))
         .groupBy("doc_id", "tag", "run")
         .agg(
             F.min("start").cast("long").alias("start_byte"),
             (F.max(F.col("start") + F.col("size")) - F.min("start")).cast("long").alias("n_bytes"),
-            F.sum("words").alias("n_words"),
+            (F.max("word") - F.min("word") + options.passage_words).cast("long").alias("n_words"),
             F.max("places").alias("n_places"),
             F.min("first_doc_id").alias("first_doc_id"),
             F.every(here).alias("original"),
         )
-        .filter(F.col("n_words") >= options.passage_words)
         .drop("run")
     )
 
