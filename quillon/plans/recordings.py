@@ -192,7 +192,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rul_09_external_queries")
 def external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.upper(F.substring("text", 1, 200)).alias("text"))
+    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.upper("text").alias("text"))
     return transcripts.external_queries(texts)
 
 
