@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, text_of, wrapped
+from quillon.llm.common import lean, materialise, text_of, wrapped
 from quillon.llm.wordhash import constants, grouped, mix, texts_of, word_hashes
 
 
@@ -138,7 +138,7 @@ def chunks(rows: DataFrame, options: ChunkOptions) -> DataFrame:
                     names=[c.split(" ")[0] for c in CHUNKS.split(", ")],
                 )
 
-    return rows.mapInArrow(cut, CHUNKS)
+    return lean(rows).mapInArrow(cut, CHUNKS)
 
 
 #: Tells texts apart that share a doc_id.

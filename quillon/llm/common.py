@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="quillon-")
@@ -38,16 +39,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Actions inside pass at most so many rows at once to Python: what holds whole sets needs small batches."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
+def lean(df: DataFrame, megabytes: int = 4, rows: int = 10_000) -> DataFrame:
+    """df in a session of its own whose Arrow batches hold at most so many MB and rows.
+
+    Both ends of a Python worker's pipe hold a batch more than once, so its size decides what a task needs beside the
+    JVM's heap. The caller's session keeps its settings, and so do jobs that run in it meanwhile.
+    """
+    spark = df.sparkSession
+    inner = spark._jsparkSession.cloneSession()
+    own = type(spark)(spark.sparkContext, inner)
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{megabytes}m")
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    plan = df._jdf.queryExecution().analyzed()
+    return DataFrame(spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(inner, plan), own)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

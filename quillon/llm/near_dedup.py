@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import arrow_rows, materialise, text_of, wrapped
+from quillon.llm.common import lean, materialise, text_of, wrapped
 from quillon.llm.components import components
 from quillon.llm.wordhash import constants, mix, shingle_sets, texts_of
 
@@ -174,11 +174,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, options: NearDedupOptions) -> Dat
 
 def near_groups(docs: DataFrame, options: NearDedupOptions = NearDedupOptions()) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
-    with arrow_rows(docs.sparkSession, options.batch_rows):
-        return _near_groups(docs, options)
-
-
-def _near_groups(docs: DataFrame, options: NearDedupOptions) -> DataFrame:
+    docs = lean(docs, rows=options.batch_rows)
     signed = materialise(signatures(docs, options), "signatures")
     filled = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialise(filled.groupBy("n_shingles", "set_key").agg(F.min("doc_id").alias("rep")), "classes")

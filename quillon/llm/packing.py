@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import materialise, text_of
+from quillon.llm.common import lean, materialise, text_of
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,7 @@ def pieces(docs: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:
             columns = zip(*rows, strict=True) if rows else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, PIECES, strict=True)], schema=PIECES)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
+    return lean(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))).mapInArrow(
         cut, "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 

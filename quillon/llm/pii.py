@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_of
+from quillon.llm.common import lean, text_of
 
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone")
@@ -390,7 +390,8 @@ def find_spans(docs: DataFrame, options: PiiOptions = PiiOptions()) -> DataFrame
                 out.append([{"kind": k, "start": a, "end": b, "rule": (k, a, b) in of_rules} for k, a, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, type=pa.list_(item))], names=["doc_id", "spans"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(find, SPANS)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return lean(narrow).mapInArrow(find, SPANS)
 
 
 def span_report(docs: DataFrame, options: PiiOptions = PiiOptions()) -> DataFrame:
