@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
-def with_labels(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """docs with `label` (0 or 1); of several labels for a doc_id the largest counts, others than 0 and 1 don't."""
+def with_labels(docs: DataFrame, labels: DataFrame, label: str, how: str = "inner") -> DataFrame:
+    """docs with `__label` (0 or 1; how "left": null for rows without a label).
+
+    Of several labels for a doc_id the largest counts, others than 0 and 1 don't.
+    """
     known = (
         labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
         .groupBy(F.col("doc_id").alias("__labelled"))
@@ -18,4 +21,4 @@ def with_labels(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     )
     if labels.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
-    return docs.join(known, F.col("doc_id") == F.col("__labelled")).drop("__labelled")
+    return docs.join(known, F.col("doc_id") == F.col("__labelled"), how).drop("__labelled")

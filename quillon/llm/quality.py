@@ -2,12 +2,15 @@
 
 The text view sees what is written: shares of letters, symbols, capitals and digits, how often words repeat, how words
 are built. The metadata view sees how the page is described and laid out: language, source, length, lines and their
-lengths; it never sees a word. Each view has a classifier. Over some rounds each classifier labels the pool documents of
-which it is most certain, and these pseudo-labels train the other one. Both are then calibrated on labelled
-documents kept aside, and a last small model combines the calibrated views. Every document is scored.
+lengths; it never sees a word, and the text view sees no length. Each view has a classifier. Over some rounds each
+classifier labels the unlabelled documents of which it is most certain, and these pseudo-labels train the other one. Both
+are then calibrated on labelled documents kept aside, and a last small model combines the calibrated views. Every document
+is scored.
 
-Fitting uses at most about ``labelled_rows`` labelled and ``pool_rows`` unlabelled documents, drawn by the hash of their
-ids; scoring covers all.
+Both views of every document are measured once and written as 200 bytes. The pool is all documents without a label,
+copies with the same views counted once: each round scores all of it where it lies. A histogram of the scores names the
+bucket at which a round's number of pseudo-labels ends, and only the rows beyond it, about that number, reach the
+driver. Fitting uses at most about ``labelled_rows`` labelled documents, drawn by the hash of their ids and views.
 
 Defined results: a null text counts as empty, other nulls are values of their own; rows without a usable label are part
 of the pool; without labels of both kinds every score is the share of good labels; an empty table gives an empty
@@ -16,7 +19,7 @@ result; ``score_quality`` ignores other columns, ``drop_low_quality`` carries th
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import text_of
+from quillon.llm.common import lean, materialise, text_of
 from quillon.llm.labelled import with_labels
 from quillon.llm.logistic import Logistic, fit, sigmoid
 from quillon.llm.wordhash import constants, grouped, mix, texts_of, word_hashes
@@ -33,9 +36,9 @@ from quillon.llm.wordhash import constants, grouped, mix, texts_of, word_hashes
 @dataclass(frozen=True)
 class QualityOptions:
     labelled_rows: int = 20_000
-    pool_rows: int = 10_000
     rounds: int = 4
-    per_round: int = 300  # pseudo-labels that a view gives in a round
+    per_round: int = 300  # pseudo-labels that a view gives in a round: the method's step, as in its publication
+    certain: float = 2.0  # logit beyond which a view may give one
     pseudo_weight: float = 0.3  # against a real label
     kept_aside: int = 4  # every so many labelled documents calibrate instead of training
     reject_below: float = 0.5
@@ -53,7 +56,7 @@ _FINAL[[ord(c) for c in ".!?"]] = 1
 _CODES = np.argmax(_KIND, axis=0)
 _CODES[_KIND.sum(axis=0) == 0] = 5
 
-TEXT_FEATURES = 14
+TEXT_FEATURES = 13
 PAGE_HASHES = 16
 PAGE_FEATURES = 7 + 2 * PAGE_HASHES
 
@@ -83,7 +86,6 @@ def text_features(text: bytes, words: np.ndarray) -> list[float]:
         runs / n,
         _FINAL[raw].sum() / count,
         upper / (upper + lower + 1e-9),
-        np.log1p(count),
     ]
 
 
@@ -133,40 +135,35 @@ class Views:
         return sigmoid(a), sigmoid(b), self.joint.scores(np.column_stack((a, b)))
 
 
-def co_train(
-    seen: np.ndarray, told: np.ndarray, good: np.ndarray, pool_seen: np.ndarray, pool_told: np.ndarray, options: QualityOptions
-) -> Views:
-    """seen, told: both views of the labelled rows; pool_*: of the unlabelled ones."""
+#: Gives, for both views' models and the keys that each view has given before, the pseudo-labels of a round:
+#: (key, label, features) of either view.
+Chooser = Callable[[list[Logistic], list[set[int]], float], list[list[tuple[int, int, np.ndarray]]]]
+
+
+def co_train(features: np.ndarray, good: np.ndarray, choose: Chooser, options: QualityOptions) -> Views:
+    """features: both views of the labelled rows, side by side; choose: from the pool."""
     aside = np.arange(len(good)) % options.kept_aside == 0
-    views = [(seen[~aside], pool_seen), (told[~aside], pool_told)]
     truth = good[~aside].astype(np.float64)
     share = float(truth.mean()) if len(truth) else 0.5
-    given: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, dtype=np.int64), np.empty(0))] * 2  # pool rows, labels
+    width = features.shape[1]
+    given = [(np.empty((0, width)), np.empty(0)), (np.empty((0, width)), np.empty(0))]  # to each view
+    keys: list[set[int]] = [set(), set()]  # that each view has given
 
     def train(v: int) -> Logistic:
-        x, pool = views[v]
         rows, labels = given[v]
         weight = np.concatenate((np.ones(len(truth)), np.full(len(rows), options.pseudo_weight)))
-        return fit(np.concatenate((x, pool[rows])), np.concatenate((truth, labels)), weight)
-
-    for _ in range(options.rounds if len(pool_seen) else 0):
-        models = [train(0), train(1)]
-        for v, other in ((0, 1), (1, 0)):
-            logits = models[v].logits(views[v][1])
-            free = np.setdiff1d(np.arange(len(logits)), given[other][0])
-            order = free[np.argsort(logits[free], kind="stable")]
-            # Of each kind as many as its share among the labels; certain ones only.
-            bad = order[: round(options.per_round * (1 - share))]
-            fine = order[::-1][: round(options.per_round * share)]
-            bad, fine = bad[logits[bad] < -2], fine[logits[fine] > 2]
-            rows, labels = given[other]
-            given[other] = (
-                np.concatenate((rows, bad, fine)),
-                np.concatenate((labels, np.zeros(len(bad)), np.ones(len(fine)))),
-            )
+        x = np.concatenate((features[~aside][:, _SIDES[v]], rows[:, _SIDES[v]]))
+        return fit(x, np.concatenate((truth, labels)), weight)
+
+    for _ in range(options.rounds if len(np.unique(truth)) == 2 else 0):
+        for v, chosen in enumerate(choose([train(0), train(1)], keys, share)):
+            keys[v] |= {key for key, _, _ in chosen}
+            rows, labels = given[1 - v]
+            more = np.array([x for _, _, x in chosen], dtype=np.float64).reshape(-1, width)
+            given[1 - v] = np.concatenate((rows, more)), np.append(labels, [float(y) for _, y, _ in chosen])
     text, page = train(0), train(1)
     kept = good[aside]
-    a, b = text.logits(seen[aside])[:, None], page.logits(told[aside])[:, None]
+    a, b = (m.logits(features[aside][:, side])[:, None] for m, side in zip((text, page), _SIDES, strict=True))
     text_scale, page_scale = fit(a, kept), fit(b, kept)
     logits = np.column_stack((text_scale.logits(a), page_scale.logits(b)))
     joint = fit(logits, kept)
@@ -176,73 +173,130 @@ def co_train(
     return Views(text, page, text_scale, page_scale, joint)
 
 
-def _measured(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both views and the label (or -1) of a bounded number of rows, in the order of their ids' hashes."""
-    width = TEXT_FEATURES + PAGE_FEATURES
+_SIDES = (slice(0, TEXT_FEATURES), slice(TEXT_FEATURES, TEXT_FEATURES + PAGE_FEATURES))
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both = np.column_stack(both_views(batch)).astype(np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x.tobytes() for x in both], type=pa.binary()), batch.column(3), batch.column(4)],
-                names=["features", "label", "drawn"],
-            )
 
-    table = (
-        rows.select(text_of().alias("text"), F.col("lang").cast("string"), F.col("source").cast("string"), "__label", "__drawn")
-        .mapInArrow(measure, "features binary, label int, drawn long")
-        .toArrow()
-        .sort_by("drawn")
-    )
-    features = np.frombuffer(b"".join(table["features"].to_pylist()), dtype=np.float64).reshape(-1, width)
-    return features[:, :TEXT_FEATURES], features[:, TEXT_FEATURES:], table["label"].to_numpy()
+def _as_rows(column: pa.Array) -> np.ndarray:
+    """The views of a binary column, one row for each."""
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, dtype=np.float32).reshape(-1, TEXT_FEATURES + PAGE_FEATURES).astype(np.float64)
 
 
-def _draw(rows: DataFrame, wanted: int, of: int, seed: int) -> DataFrame:
-    """About ``wanted`` of ``of`` rows, by the hash of their ids."""
-    drawn = rows.withColumn("__drawn", F.xxhash64(F.lit(seed), "doc_id"))
-    return drawn.filter(F.pmod("__drawn", F.lit(1_000_000)) < int(1_000_000 * min(1.0, wanted / max(of, 1))))
+def views_of(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, label (or null), features: both views of every row."""
 
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = np.column_stack(both_views(batch)).astype(np.float32)
+            packed = pa.array([x.tobytes() for x in both], type=pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), packed], names=["doc_id", "label", "features"])
 
-def learn(docs: DataFrame, labels: DataFrame, options: QualityOptions) -> Views:
-    narrow = docs.select("doc_id", "text", "lang", "source")
-    known = labels.filter(F.col("quality").isin(0, 1))
-    labelled = _draw(with_labels(narrow, labels, "quality"), options.labelled_rows, known.count(), 31)
-    pool = _draw(narrow, options.pool_rows, docs.count(), 37).withColumn("__label", F.lit(-1))
-    seen, told, good = _measured(labelled)
-    pool_seen, pool_told, _ = _measured(pool)
-    return co_train(seen, told, good, pool_seen, pool_told, options)
+    narrow = with_labels(docs.select("doc_id", "text", "lang", "source"), labels, "quality", "left").select(
+        text_of().alias("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("doc_id").cast("long"), "__label"
+    )
+    return lean(narrow).mapInArrow(measure, "doc_id long, label int, features binary")
+
+
+#: Buckets of a logit's unit; a logit lies between -30 and 30.
+_STEPS = 16
+
+
+def choose_from(pool: DataFrame, options: QualityOptions) -> Chooser:
+    """pool: key, features, each row once."""
+
+    def choose(models: list[Logistic], keys: list[set[int]], share: float) -> list[list[tuple[int, int, np.ndarray]]]:
+        gone = [np.array(sorted(k), dtype=np.int64) for k in keys]
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows, key = _as_rows(batch.column(1)), batch.column(0).to_numpy()
+                for v in (0, 1):
+                    logits = models[v].logits(rows[:, _SIDES[v]])
+                    some = pa.array((np.abs(logits) > options.certain) & ~np.isin(key, gone[v]))
+                    logit, part = pa.array(logits).filter(some), batch.filter(some)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), v, dtype=np.int32)), logit, part.column(0), part.column(1)], names=["view", "logit", "key", "features"]
+                    )
+
+        scored = pool.mapInArrow(score, "view int, logit double, key long, features binary")
+        # Distance of a row's bucket from the most certain one, of its kind.
+        fine = F.col("logit") > 0
+        bucket = F.floor((30 - F.abs("logit")) * _STEPS).cast("int")
+        marked = scored.select("view", fine.cast("int").alias("fine"), bucket.alias("bucket"), F.pmod("key", F.lit(1 << 20)).alias("at"), "key", "features")
+        counts = marked.groupBy("view", "fine", "bucket").count().collect()  # at most 2 * 2 * 30 * 16 rows
+        # Of each kind as many as its share among the labels.
+        wanted = {0: round(options.per_round * (1 - share)), 1: round(options.per_round * share)}
+        beyond = F.lit(False)
+        for v, kind in ((v, kind) for v in (0, 1) for kind in (0, 1)):
+            for last, below, n in [x for x in _running(counts, v, kind) if x[1] < wanted[kind]][-1:]:
+                # The last bucket may hold very many: of its rows, in the order of their keys' remainders, a few more than are wanted.
+                edge = min(1 << 20, int((1 << 20) * (2 * (wanted[kind] - below) + 64) / n))
+                here = (F.col("view") == v) & (F.col("fine") == kind)
+                beyond = beyond | (here & ((F.col("bucket") < last) | ((F.col("bucket") == last) & (F.col("at") < edge))))
+        table = marked.filter(beyond).toArrow()
+        rows = _as_rows(table["features"].combine_chunks()) if len(table) else np.empty((0, TEXT_FEATURES + PAGE_FEATURES))
+        order = sorted(range(len(table)), key=list(zip(*(table[c].to_pylist() for c in ("bucket", "at", "key")), strict=True)).__getitem__)
+        view, kinds, names = (table[c].to_pylist() for c in ("view", "fine", "key"))
+        out: list[list[tuple[int, int, np.ndarray]]] = [[], []]
+        for v, kind in ((v, kind) for v in (0, 1) for kind in (0, 1)):
+            mine = [i for i in order if view[i] == v and kinds[i] == kind][: wanted[kind]]
+            out[v] += [(names[i], kind, rows[i]) for i in mine]
+        return out
+
+    return choose
+
+
+def _running(counts: list, view: int, fine: int) -> Iterator[tuple[int, int, int]]:
+    """(bucket, rows in the buckets before it, rows in it), from the most certain bucket on."""
+    below = 0
+    for bucket, n in sorted((r["bucket"], r["count"]) for r in counts if (r["view"], r["fine"]) == (view, fine)):
+        yield bucket, below, n
+        below += n
+
+
+def learn(views: DataFrame, labels: DataFrame, options: QualityOptions) -> Views:
+    """views: of all documents, as ``views_of`` gives them, written."""
+    known = labels.filter(F.col("quality").isin(0, 1)).count()
+    drawn = F.xxhash64(F.lit(31), "doc_id", "features")
+    share = F.lit(int(1_000_000 * min(1.0, options.labelled_rows / max(known, 1))))
+    table = (
+        views.filter("label IS NOT NULL").distinct().select("label", "features", drawn.alias("drawn"))
+        .filter(F.pmod("drawn", F.lit(1_000_000)) < share)
+        .toArrow().sort_by([("drawn", "ascending"), ("features", "ascending")])
+    )
+    features = _as_rows(table["features"].combine_chunks()) if len(table) else np.empty((0, TEXT_FEATURES + PAGE_FEATURES))
+    pool = views.filter("label IS NULL").select("features").distinct().select(F.xxhash64(F.lit(37), "features").alias("key"), "features")
+    return co_train(features, table["label"].to_numpy(), choose_from(materialise(pool, "pool"), options), options)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
     """doc_id, content_score, page_score, score, kept for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, options))
+    views = materialise(views_of(docs, labels), "views")
+    shared = docs.sparkSession.sparkContext.broadcast(learn(views, labels, options))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.scores(*both_views(batch))
+            rows = _as_rows(batch.column(1))
+            found = shared.value.scores(*(rows[:, side] for side in _SIDES))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(3), *[pa.array(x) for x in found]], names=["doc_id", "content_score", "page_score", "score"]
+                [batch.column(0), *[pa.array(x) for x in found]], names=["doc_id", "content_score", "page_score", "score"]
             )
 
-    narrow = docs.select(
-        text_of().alias("text"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("doc_id").cast("long")
-    )
-    return narrow.mapInArrow(score, "doc_id long, content_score double, page_score double, score double").withColumn(
-        "kept", F.col("score") >= options.reject_below
-    )
+    return views.select("doc_id", "features").mapInArrow(
+        score, "doc_id long, content_score double, page_score double, score double"
+    ).withColumn("kept", F.col("score") >= options.reject_below)
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
     """The rows of docs that the classifier keeps, with their own columns; each row is scored where it lies."""
-    shared = docs.sparkSession.sparkContext.broadcast(learn(docs, labels, options))
-    limit = options.reject_below
-    views = [F.coalesce(F.col("text"), F.lit("")).alias("__text"), F.col("lang").cast("string").alias("__lang")]
-    wide = docs.select(*views, F.col("source").cast("string").alias("__source"), *[F.col(f"`{c}`") for c in docs.columns])
+    views = materialise(views_of(docs, labels), "views")
+    shared = docs.sparkSession.sparkContext.broadcast(learn(views, labels, options))
+    limit, at = options.reject_below, [docs.columns.index(c) for c in ("text", "lang", "source")]
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = shared.value.scores(*both_views(batch))[2] >= limit
-            yield batch.select(list(range(3, batch.num_columns))).filter(pa.array(kept))
+            told = [batch.column(i).cast(pa.string()) for i in at]
+            both = (x.astype(np.float32).astype(np.float64) for x in both_views(pa.RecordBatch.from_arrays(told, names=list("abc"))))
+            yield batch.filter(pa.array(shared.value.scores(*both)[2] >= limit))
 
-    return wide.mapInArrow(choose, docs.schema)
+    return lean(docs).mapInArrow(choose, docs.schema)
