@@ -118,16 +118,19 @@ def thresholds(narrow: DataFrame, targets: DataFrame, options: MixOptions) -> Da
     )
 
 
-def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, repeats, taken."""
-    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("null"))
+def _key(column: str) -> Column:
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit("null"))
+
+
+def _limits(docs: DataFrame, options: MixOptions) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, source, size, hash, key of every document; key, source_size, target, passes, threshold of every source)."""
     narrow = materialise(
         docs.select(
             "doc_id",
             F.col("source").cast("string").alias("source"),
             size_of().alias("size"),
             hash_of("doc_id", options.seed).alias("hash"),
-            key.alias("key"),
+            _key("source").alias("key"),
         ),
         "sizes",
     )
@@ -140,11 +143,20 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("passes"),
         F.coalesce("threshold", F.lit(-1)).alias("threshold"),
     )
+    return narrow, materialise(limits, "limits")
+
+
+#: How often a document with columns size and hash is taken, beside its source's limits.
+_REPEATS = "cast(IF(size > 0, passes + IF(hash <= threshold, 1, 0), 0) AS long)"
+
+
+def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, repeats, taken."""
+    narrow, limits = _limits(docs, options)
     # One row per source: Spark broadcasts it while its size allows, and splits a skewed join beyond that.
-    repeats = F.col("passes") + (F.col("hash") <= F.col("threshold")).cast("long")
     return (
-        narrow.join(materialise(limits, "limits"), "key")
-        .withColumn("repeats", F.when(F.col("size") > 0, repeats).otherwise(0).cast("long"))
+        narrow.join(limits, "key")
+        .withColumn("repeats", F.expr(_REPEATS))
         .select(
             "doc_id", "source", "size", "source_size", "target", "repeats",
             (F.col("size") * F.col("repeats")).alias("taken"),
@@ -153,14 +165,18 @@ def mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
 
 
 def apply_mix(docs: DataFrame, options: MixOptions = MixOptions()) -> DataFrame:
-    """The mix itself: every document of docs as often as the mix takes it, with its own columns."""
-    plan = mix(docs, options).filter("repeats > 0")
-    plan = plan.groupBy("doc_id", "source").agg(F.max("repeats").alias("repeats"))
-    match = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").eqNullSafe(F.col("source"))
+    """The mix itself: every document of docs as often as the mix takes it, with its own columns.
+
+    A document's repeats follow from itself and its source's limits, so texts stay where they lie.
+    """
+    _, limits = _limits(docs, options)
+    own = [size_of("row.text").alias("size"), hash_of("row.doc_id", options.seed).alias("hash"), _key("row.source").alias("key")]
     return (
         wrapped(docs)
-        .join(plan, match)
-        .filter(size_of("row.text") > 0)
-        .select("row", F.explode(F.sequence(F.lit(1), F.col("repeats"))))
+        .select("row", *own)
+        .join(limits, "key")
+        .withColumn("repeats", F.expr(_REPEATS))
+        .filter("repeats > 0")
+        .select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("repeats"))))
         .select("row.*")
     )
