@@ -5,8 +5,10 @@
    be frequent; an exact count verifies them.
 3. The verified winners, at most ``winners`` rows, are broadcast: rows of frequent texts are settled on the
    map side and never meet in one task.
-4. The remaining digests are infrequent by the counters' guarantee and are settled by an ordinary shuffle
-   of (digest, id) pairs; texts are never shuffled.
+4. The remaining digests are settled by an ordinary shuffle of (digest, id) pairs: a sum and a minimum that combine
+   before the shuffle, then a join that Spark splits where a digest is frequent though no counter named it (a shard
+   names its 16 most frequent only). ``exact_groups`` never shuffles texts; ``drop_exact_copies`` shuffles each
+   row once, to find the rows that stay.
 
 Defined results: a null text counts as empty; empty texts equal each other; rows that repeat a doc_id with the
 same text are copies of which one row is kept; null doc_ids sort last; an empty table gives an empty result;
@@ -73,10 +75,8 @@ def exact_groups(docs: DataFrame, options: ExactDedupOptions = ExactDedupOptions
     heavy = materialise(frequent_digests(rows, options), "frequent")
     settled = rows.join(F.broadcast(heavy), "digest")
     rest = rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-    same = Window.partitionBy("digest")
-    ordinary = rest.withColumns(
-        {"first": F.min(_order()).over(same), "group_size": F.count(F.lit(1)).over(same)}
-    ).select(settled.columns)
+    groups = rest.groupBy("digest").agg(F.min(_order()).alias("first"), F.count(F.lit(1)).alias("group_size"))
+    ordinary = rest.join(groups, "digest").select(settled.columns)
     return settled.unionAll(ordinary).select(
         "doc_id",
         F.col("first.doc_id").alias("keep_id"),
