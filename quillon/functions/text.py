@@ -41,6 +41,16 @@ def blank_to_null(text: Column) -> Column:
     return F.when(F.trim(text) != "", text)
 
 
+def count_words(text: Column) -> Column:
+    """Words of ASCII letters, digits and underscores, and Chinese characters."""
+    return F.regexp_count(text, F.lit(rf"[A-Za-z0-9_]+|[{CJK}]"))
+
+
+def count_others(text: Column) -> Column:
+    """Characters outside such words."""
+    return F.length(F.regexp_replace(text, rf"[A-Za-z0-9_{CJK}]", ""))
+
+
 def estimate_tokens(text: Column) -> Column:
     """Words of ASCII letters, digits and underscores, each Chinese character, and one for eight other characters."""
     words = F.regexp_extract_all(text, F.lit(rf"([A-Za-z0-9_]+|[{CJK}])"), 1)

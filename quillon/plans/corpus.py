@@ -275,18 +275,33 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.heading_blocks(documents(spark, sf_dir).select("document_id", F.array_join(lines, "\n").alias("text")))
 
 
+@query("chk_01_media_chunks")
+def media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as media of five kinds, seven of a source together: pages, slides, cues, images or texts."""
+    d = table(spark, sf_dir, "documents")
+    kinds = F.array(*[F.lit(k) for k in ("pdf", "pptx", "video", "image", "text")])
+    null = F.lit(None).cast("string")
+    segments = d.select(
+        F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / 7)).alias("document_id"), F.get(kinds, (F.floor(F.col("doc_id") / 7) % 5).cast("int")).alias("media_type"),
+        F.concat(F.lit("seg-"), "doc_id").alias("segment_id"), F.col("doc_id").alias("seq"), F.lit("speech").alias("modality"), F.col("text").alias("retrieval_text"), "text",
+        F.array().cast("array<string>").alias("heading_path"), (F.col("doc_id") % 3).alias("page"), (F.col("doc_id") % 2).alias("slide"), F.lit("").alias("section"),
+        (F.col("doc_id") * 1.0).alias("start"), (F.col("doc_id") + 0.5).alias("end"), F.col("lang").alias("speaker"), F.lit("pass").alias("quality"), null.alias("asset"),
+    )
+    return grouping.media_chunks(segments)
+
+
 @query(
     "chk_06_locator_chunks",
-    """SELECT source AS document_id, (doc_id // 7) AS page, '' AS section, min(doc_id)::BIGINT AS seq, string_agg(left(text, 40), chr(10) ORDER BY doc_id) AS content, count(*)::BIGINT AS n_segments
+    """SELECT source AS document_id, (doc_id // 7) AS page, '' AS section, min(doc_id)::BIGINT AS seq, string_agg(text, chr(10) ORDER BY doc_id) AS content, count(*)::BIGINT AS n_segments
        FROM documents GROUP BY source, doc_id // 7""",
 )
 def locator_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     segments = d.select(
         F.col("source").alias("document_id"), F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("segment_id"), F.floor(F.col("doc_id") / 7).alias("page"),
-        F.lit("").alias("section"), F.substring("text", 1, 40).alias("text"),
+        F.lit("").alias("section"), "text",
     )
-    return grouping.locator_chunks(segments, "page")
+    return grouping.locator_chunks(segments, "page").drop("segment_ids")
 
 
 GATE = """g AS (SELECT doc_id, 1 AS n_segments, length(text) AS n, CASE WHEN doc_id % 31 = 0 THEN 'metadata_only' ELSE 'full_source' END AS scope, CASE WHEN doc_id % 5 = 0 THEN 'video' WHEN doc_id % 3 = 0 THEN 'pdf' ELSE 'text' END AS m,

@@ -218,29 +218,82 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("chk_07_temporal_chunks")
+def _fold_sql(first: str, later: str, breaks: str) -> str:
+    """Rows o (k: 1, 2, ... within a run) folded to f with group g; later: what is remembered, with p for the row's predecessor in f."""
+    return f"""o AS (SELECT run, seq, speaker, "start" AS s, greatest("end", "start" + 1) AS z, props AS text,
+      len(regexp_extract_all(props, '[A-Za-z0-9_]+'))::BIGINT AS words, length(regexp_replace(props, '[A-Za-z0-9_]', '', 'g'))::BIGINT AS others,
+      row_number() OVER (PARTITION BY run ORDER BY seq) AS k FROM e),
+    f AS (SELECT run, k, seq, s, z, speaker, text, 0::BIGINT AS g, s AS begun, {first} FROM o WHERE k = 1
+      UNION ALL SELECT run, k, seq, s, z, speaker, text, CASE WHEN b THEN g + 1 ELSE g END, CASE WHEN b THEN s ELSE begun END, {later}
+      FROM (SELECT o.*, p.g, p.begun, p.size, p.words AS w, ({breaks}) AS b FROM f p JOIN o ON o.run = p.run AND o.k = p.k + 1))"""
+
+
+@query(
+    "chk_07_temporal_chunks",
+    f"""WITH RECURSIVE {EVENTS}, {_fold_sql("words, others AS size", "CASE WHEN b THEN words ELSE w + words END, CASE WHEN b THEN others ELSE size + 1 + others END",
+    "o.speaker <> p.speaker OR o.s - p.z > 7200 OR o.s - p.begun > 36000 OR p.words + o.words + (p.size + 1 + o.others) // 8 > 320")},
+    c AS (SELECT run, g, min_by(s, seq) AS "start", max_by(z, seq) AS "end", min(speaker) AS speakers, min(speaker) || '：' || string_agg(text, chr(10) ORDER BY seq) AS content, count(*)::BIGINT AS n_segments FROM f GROUP BY run, g)
+    SELECT run, g::INT AS group_no, "start", "end", speakers, content, n_segments,
+      (len(regexp_extract_all(content, '[A-Za-z0-9_]+')) + length(regexp_replace(content, '[A-Za-z0-9_]', '', 'g')) // 8)::BIGINT AS token_count FROM c""",
+)
 def temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.temporal_chunks(grouping.temporal_groups(_segments(spark, sf_dir), ["run"], gap=7200.0, span=36_000.0), ["run"])
+    chunks = grouping.temporal_chunks(grouping.temporal_groups(_segments(spark, sf_dir), ["run"], gap=7200.0, span=36_000.0), ["run"])
+    return chunks.withColumn("speakers", F.array_join("speakers", ","))
 
 
-@query("chk_11_cues")
+@query(
+    "chk_11_cues",
+    f"""WITH RECURSIVE {EVENTS}, {_fold_sql("words, length(text)::BIGINT AS size", "words, CASE WHEN b THEN length(text) ELSE size + length(text) END",
+    "o.speaker <> p.speaker OR o.s - p.z > 3600 OR o.z - p.begun > 20000 OR p.size + length(o.text) > 60")}
+    SELECT run, g::INT AS group_no, min(s) AS "start", max(z) AS "end", count(*)::BIGINT AS n FROM f GROUP BY run, g""",
+)
 def cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.cue_groups(_segments(spark, sf_dir), ["run"], pause=3600.0, longest=20_000.0).groupBy("run", "group_no").agg(
         F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n")
     )
 
 
-@query("chk_13_correction_cores")
+@query(
+    "chk_12_speaker_cues",
+    f"""WITH RECURSIVE {EVENTS}, {_fold_sql("words, length(text)::BIGINT AS size", "words, CASE WHEN b THEN length(text) ELSE size + length(text) END",
+    "o.speaker <> p.speaker OR (o.seq // 9) % 2 <> (p.seq // 9) % 2 OR (o.seq // 30) % 2 <> (p.seq // 30) % 2 OR o.s - p.z > 3600 OR o.z - p.begun > 20000 OR p.size + length(o.text) > 60")}
+    SELECT run, g::INT AS group_no, min(seq)::BIGINT AS first_seq, count(*)::BIGINT AS n FROM f GROUP BY run, g""",
+)
+def speaker_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality changes every nine events, overlap every thirty."""
+    words = _segments(spark, sf_dir).withColumns(
+        {"quality": F.when(F.floor(F.col("seq") / 9) % 2 == 0, "pass").otherwise("review"), "overlap": F.floor(F.col("seq") / 30) % 2 == 0}
+    )
+    found = grouping.cue_groups(words, ["run"], pause=3600.0, longest=20_000.0, quality=True)
+    return found.groupBy("run", "group_no").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "chk_13_correction_cores",
+    f"""WITH RECURSIVE {EVENTS}, {_fold_sql("words, 1::BIGINT AS size", "words, CASE WHEN b THEN 1 ELSE size + 1 END", "p.size >= 48 OR o.z - p.begun > 86400")},
+    c AS (SELECT run, g, min(k) - 1 AS core_first, max(k) - 1 AS core_last, min_by(s, k) AS core_start, max_by(z, k) AS core_end FROM f GROUP BY run, g),
+    n AS (SELECT run, max(k) - 1 AS most FROM o GROUP BY run),
+    l AS (SELECT c.run, c.g, max(o.k) AS beyond FROM c JOIN o ON o.run = c.run AND o.k - 1 < c.core_first - 2 AND c.core_start - o.z > 3600 GROUP BY c.run, c.g),
+    h AS (SELECT c.run, c.g, min(o.k) - 2 AS beyond FROM c JOIN o ON o.run = c.run AND o.k - 1 > c.core_last + 2 AND o.s - c.core_end > 3600 GROUP BY c.run, c.g)
+    SELECT c.run, c.g::INT AS ordinal, core_first, core_last, core_start, core_end, least(greatest(0, core_first - 2), coalesce(l.beyond, 0))::BIGINT AS context_first,
+      greatest(least(most, core_last + 2), coalesce(h.beyond, most))::BIGINT AS context_last
+    FROM c JOIN n USING (run) LEFT JOIN l ON l.run = c.run AND l.g = c.g LEFT JOIN h ON h.run = c.run AND h.g = c.g""",
+)
 def cores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segments(spark, sf_dir).withColumn("size", F.length("text").cast("long"))
-    grouped = grouping.capped_groups(rows, ["run"], float("inf"), 86_400.0, count=48)
-    return grouped.groupBy("run", "group_no").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
+    cored = grouping.core_groups(_segments(spark, sf_dir), ["run"], 86_400.0)
+    return grouping.correction_plan(cored, ["run"], reach=3600.0)
 
 
-@query("chk_14_paragraphs")
+@query(
+    "chk_14_paragraphs",
+    f"""WITH RECURSIVE {EVENTS}, {_fold_sql("words, length(text)::BIGINT AS size", "words, CASE WHEN b THEN length(text) ELSE size + length(text) END",
+    "o.seq % 50 = 0 OR o.speaker <> p.speaker OR o.s - p.z > 3600 OR o.z - p.begun > 86400 OR p.size + length(o.text) > 700")}
+    SELECT run, g::INT AS group_no, count(*)::BIGINT AS n, min(seq)::BIGINT AS first_seq FROM f GROUP BY run, g""",
+)
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _segments(spark, sf_dir).withColumn("size", F.length("text").cast("long"))
-    grouped = grouping.capped_groups(rows, ["run"], 3600.0, 86_400.0, characters=700)
+    """Every fiftieth event begins a chapter."""
+    rows = _segments(spark, sf_dir).withColumns({"size": F.length("text").cast("long"), "chapter": F.col("seq") % 50 == 0})
+    grouped = grouping.paragraph_groups(rows, ["run"], 3600.0, 86_400.0, 700)
     return grouped.groupBy("run", "group_no").agg(F.count(F.lit(1)).alias("n"), F.min("seq").alias("first_seq"))
 
 
@@ -309,13 +362,13 @@ def status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snk_12_subtitles",
-    f"""WITH {EVENTS}, s AS (SELECT run, seq, ("start" * 1000)::BIGINT AS a, speaker FROM e WHERE "start" >= 0 AND run % 20 = 0)
+    f"""WITH {EVENTS}, s AS (SELECT run, seq, ("start" * 1000)::BIGINT AS a, speaker FROM e WHERE "start" >= 0)
     SELECT run, 'WEBVTT' || chr(10) || chr(10) || string_agg(printf('%02d:%02d:%02d.%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' ||
       printf('%02d:%02d:%02d.%03d', (a + 1500) // 3600000, (a + 1500) // 60000 % 60, (a + 1500) // 1000 % 60, (a + 1500) % 1000) || chr(10) || speaker, chr(10) || chr(10) ORDER BY seq) AS subtitles FROM s GROUP BY run""",
 )
 def subtitles(spark: SparkSession, sf_dir: str) -> DataFrame:
     ms = F.round(F.col("start") * 1000).cast("long")
-    rows = events(spark, sf_dir).filter("`start` >= 0 AND run % 20 = 0").select("run", F.col("seq").alias("ordinal"), ms.alias("start_ms"), (ms + 1500).alias("end_ms"), F.col("speaker").alias("text"))
+    rows = events(spark, sf_dir).filter("`start` >= 0").select("run", F.col("seq").alias("ordinal"), ms.alias("start_ms"), (ms + 1500).alias("end_ms"), F.col("speaker").alias("text"))
     return sinks.subtitles(rows, ["run"], "vtt")
 
 
