@@ -6,15 +6,28 @@ letters as separators, question keywords keep case. Patterns are spelled out, so
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Chinese characters that count as words by themselves (a fixed value, as a regular-expression range).
 CJK = r"\x{3400}-\x{9fff}"
 
-#: Letters whose accents index terms fold (fixed values; each goes to the letter below it).
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _folding() -> tuple[str, str]:
+    """Lower-case letters that are a plain letter with one mark, and those plain letters; then the marks, which go."""
+    letters = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        parts = unicodedata.normalize("NFD", c)
+        if c == c.lower() and len(parts) == 2 and unicodedata.category(parts[1]) == "Mn":
+            letters[c] = parts[0]
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(letters.values())
+
+
+#: What index terms fold: letters with accents to plain ones; combining marks have no counterpart and vanish.
+ACCENTED, PLAIN = _folding()
 
 
 def collapse(text: Column) -> Column:

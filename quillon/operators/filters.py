@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -65,6 +65,39 @@ def search_conversations(conversations: DataFrame, messages: DataFrame, text: st
     return conversations.join(titled.unionAll(said).distinct(), "conv_id", "left_semi")
 
 
+def belonging(rows: DataFrame, owners: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows whose keys together stand in owners."""
+    return rows.join(owners.select(*keys), list(keys), "left_semi")
+
+
+def folder_counts(documents: DataFrame, most: int = 30) -> DataFrame:
+    """folder, n, newest of the folders with most documents (path, updated_at)."""
+    folder = F.regexp_replace("path", "/[^/]*$", "").alias("folder")
+    counted = documents.groupBy(folder).agg(F.count(F.lit(1)).alias("n"), F.max("updated_at").alias("newest"))
+    return counted.orderBy(F.desc("n"), "folder").limit(most)
+
+
+def bootstrap(documents: DataFrame, tags: DataFrame, top_tags: int = 40, recent: int = 12) -> DataFrame:
+    """kind, name, n, rank of what a first screen shows: collections, most used tags, media types, folders, newest documents.
+
+    documents: document_id, title, collection, media_type, path, updated_at; tags: document_id, name.
+    """
+    def counted(rows: DataFrame, kind: str, name: str, most: int | None) -> DataFrame:
+        sums = rows.groupBy(F.col(name).alias("name")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(kind))
+        ranked = sums.withColumn("rank", F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("n"), "name")))
+        return (ranked if most is None else ranked.filter(F.col("rank") <= most)).select("kind", "name", "n", "rank")
+
+    newest = documents.orderBy(F.desc("updated_at"), "document_id").limit(recent)
+    last = Window.partitionBy(F.lit(0)).orderBy(F.desc("updated_at"), "document_id")
+    folders = folder_counts(documents).select(F.lit("folder").alias("kind"), F.col("folder").alias("name"), "n")
+    placed = Window.partitionBy("kind").orderBy(F.desc("n"), "name")
+    return (
+        counted(documents, "collection", "collection", None).unionAll(counted(tags, "tag", "name", top_tags)).unionAll(counted(documents, "media_type", "media_type", None))
+        .unionAll(folders.withColumn("rank", F.row_number().over(placed)))
+        .unionAll(newest.select(F.lit("recent").alias("kind"), F.col("title").alias("name"), F.lit(1).cast("long").alias("n"), F.row_number().over(last).alias("rank")))
+    )
+
+
 def page(rows: DataFrame, order: Sequence[Column], limit: int = 50, offset: int = 0, most: int = 200) -> DataFrame:
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
 

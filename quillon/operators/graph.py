@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _table(df: DataFrame) -> DataFrame:
-    """Cut lineage where the cluster names a folder for that; else, in tests, keep the plan."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        return df.cache()
-    path = f"{root.rstrip('/')}/quillon-graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from quillon.sources.storage import written
 
 
 def neighbours(relations: DataFrame, direction: str = "both") -> DataFrame:
@@ -35,17 +25,18 @@ def ancestors(relations: DataFrame, kinds: tuple[str, ...] = ("supports", "exten
     Each round joins only the pairs that the last round found, and drops those known already, so cycles end. Distances are
     not doubled: a chain of n links takes n rounds of shrinking size.
     """
-    edges = _table(
-        relations.filter(F.col("relation_type").isin(*kinds)).select(F.col("target_id").alias("item_id"), F.col("source_id").alias("ancestor_id")).distinct()
+    edges = written(
+        relations.filter(F.col("relation_type").isin(*kinds)).select(F.col("target_id").alias("item_id"), F.col("source_id").alias("ancestor_id")).distinct(),
+        "edges",
     )
-    known = frontier = edges
+    step = edges.select(F.col("item_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"))
+    known = frontier = edges  # known: the written pairs of all rounds, side by side
     while True:
-        step = edges.select(F.col("item_id").alias("ancestor_id"), F.col("ancestor_id").alias("next_id"))
         found = frontier.join(step, "ancestor_id").select("item_id", F.col("next_id").alias("ancestor_id")).distinct()
-        frontier = _table(found.join(known, ["item_id", "ancestor_id"], "left_anti"))
+        frontier = written(found.join(known, ["item_id", "ancestor_id"], "left_anti"), "ancestors")
         if frontier.isEmpty():
             return known
-        known = _table(known.unionAll(frontier))
+        known = known.unionAll(frontier)
 
 
 def sourced_items(items: DataFrame, relations: DataFrame) -> DataFrame:

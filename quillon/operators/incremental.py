@@ -105,6 +105,18 @@ def job_status(items: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def import_summary(items: DataFrame, by: Sequence[str], status: Column) -> DataFrame:
+    """succeeded, failed, cancelled of imports, by the status of their items."""
+    n = lambda s: F.count_if(status == s).alias(s)
+    return items.groupBy(*by).agg(n("succeeded"), n("failed"), n("cancelled"))
+
+
+def merge_metadata(old: Column, new: Column, allowed: Sequence[str]) -> Column:
+    """Two maps as one: a key's newer value wins where it isn't null, and only allowed keys stay."""
+    both = F.map_zip_with(old, new, lambda k, a, b: F.coalesce(b, a))
+    return F.map_filter(both, lambda k, v: k.isin(*allowed))
+
+
 def missing(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of left without a partner."""
     return left.join(right.select(*keys), list(keys), "left_anti")

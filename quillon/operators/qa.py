@@ -44,11 +44,14 @@ def locator(page: Column, slide: Column, start: Column, end: Column, section: Co
     return F.concat_ws(", ", F.concat(F.lit("page "), page), F.concat(F.lit("slide "), slide), time, T.blank_to_null(section))
 
 
+def evidence_line(most: int = 3600) -> Column:
+    """A piece of evidence (content, evidence_id, instruction_risk, title) as JSON; its content up to so many characters."""
+    return F.to_json(F.struct(F.substring("content", 1, most).alias("content"), "evidence_id", "instruction_risk", "title"))
+
+
 def evidence_context(evidence: DataFrame, most: int = 3600) -> DataFrame:
     """query_id, context: one JSON line for each piece of evidence, in order."""
-    line = F.to_json(
-        F.struct(F.substring("content", 1, most).alias("content"), "evidence_id", "instruction_risk", "title")
-    )
+    line = evidence_line(most)
     lines = F.sort_array(F.collect_list(F.struct("evidence_no", line.alias("line"))))
     return evidence.groupBy("query_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("context"))
 

@@ -6,21 +6,23 @@ replicated: queries are the small side of each join.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.functions import vectors as V
+from quillon.operators.index import LiveIndex, TextIndex
+from quillon.sources.storage import written
 
 #: Sums of doubles depend on their order, which a cluster doesn't fix. Scores are rounded far below what matters before
 #: anything is ranked by them, so that ties are ties on every run and ids decide.
 DIGITS = 9
 
-#: Queries that may be asked at once; more go in blocks of queries.
-MOST_QUERIES = 10_000
-
 
 @dataclass(frozen=True)
 class Bm25Options:
@@ -47,99 +49,154 @@ def best(df: DataFrame, by: list[str], order: list[Column], keep: int, name: str
     return ranked.filter(F.col(name) <= keep)
 
 
-# --- Inverted index --------------------------------------------------------------------------------------------------
+# --- Keywords --------------------------------------------------------------------------------------------------------
 
+#: What BM25 and phrases are asked of: an index that is kept, or chunks (chunk_id, title, content) as they are.
+Index = TextIndex | LiveIndex | DataFrame
 
-def postings(chunks: DataFrame, options: Bm25Options = Bm25Options()) -> DataFrame:
-    """chunk_id, term, weighted (occurrences by column weight), n_terms of the chunk; needs title and content."""
-    terms = chunks.select(
-        "chunk_id", T.index_terms(F.coalesce("title", F.lit(""))).alias("in_title"),
-        T.index_terms(F.coalesce("content", F.lit(""))).alias("in_content"),
-    ).withColumn("n_terms", F.size("in_title") + F.size("in_content"))
-    weigh = lambda column, weight: F.transform(column, lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
-    both = F.concat(weigh("in_title", options.title_weight), weigh("in_content", options.content_weight))
-    return (
-        terms.select("chunk_id", "n_terms", F.explode(both).alias("one"))
-        .groupBy("chunk_id", "n_terms", F.col("one.term").alias("term"))
-        .agg(F.sum("one.w").alias("weighted"))
-    )
 
+def _index(index: Index) -> TextIndex | LiveIndex:
+    return LiveIndex(index) if isinstance(index, DataFrame) else index
 
-def positions(chunks: DataFrame) -> DataFrame:
-    """chunk_id, col, pos, term of every term: what phrases need."""
-    spots = [
-        chunks.select("chunk_id", F.lit(c).alias("col"), F.posexplode(T.index_terms(F.coalesce(c, F.lit("")))).alias("pos", "term"))
-        for c in ("title", "content")
-    ]
-    return spots[0].unionAll(spots[1])
 
+def postings(index: Index, options: Bm25Options = Bm25Options()) -> DataFrame:
+    """chunk_id, term, weighted (occurrences by column weight), n_terms of the chunk."""
+    return _index(index).postings().select("chunk_id", "n_terms", "term", _weighted(F.size("in_title"), F.size("in_content"), options).alias("weighted"))
 
-def corpus_statistics(chunks: DataFrame) -> DataFrame:
-    """One row: how many chunks, and their mean number of terms; over the whole index, before any filter."""
-    size = F.size(T.index_terms(F.coalesce("title", F.lit("")))) + F.size(T.index_terms(F.coalesce("content", F.lit(""))))
-    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(size).alias("mean_terms"))
+
+def _weighted(in_title: Column, in_content: Column, options: Bm25Options) -> Column:
+    return in_title * F.lit(options.title_weight) + in_content * F.lit(options.content_weight)
 
 
 def bm25_score(idf: Column, f: Column, terms: Column, mean: Column, o: Bm25Options) -> Column:
     return idf * f * (o.k1 + 1) / (f + o.k1 * (1 - o.b + o.b * terms / mean))
 
 
-def bm25(chunks: DataFrame, queries: DataFrame, options: Bm25Options = Bm25Options(), allowed: DataFrame | None = None) -> DataFrame:
+def phrase_places(index: Index, phrases: DataFrame) -> DataFrame:
+    """phrase, chunk_id, n_terms, in_title, in_content: how often each phrase (phrase, terms) stands in a chunk's columns.
+
+    A phrase of one term stands where the term does. Of a longer one each hit of term number k votes for the place where the
+    phrase would begin, and it stands where all its terms vote.
+    """
+    asked = phrases.select("phrase", "terms").distinct().withColumn("k", F.size("terms"))
+    parts = asked.select("phrase", "k", F.posexplode("terms").alias("at", "term"))
+    # Postings of the asked terms only, written once: single terms and phrases both read them.
+    found = written(_index(index).postings(parts.select("term").distinct()), "asked-postings")
+    hits = found.join(parts, "term")
+    single = hits.filter("k = 1").select("phrase", "chunk_id", "n_terms", F.size("in_title").alias("in_title"), F.size("in_content").alias("in_content"))
+    spots = lambda c: F.transform(f"in_{c}", lambda p: F.struct(F.lit(c).alias("col"), (p - F.col("at")).alias("start")))
+    longer = (
+        hits.filter("k > 1")
+        .select("phrase", "k", "chunk_id", "n_terms", F.explode(F.concat(spots("title"), spots("content"))).alias("s"))
+        .groupBy("phrase", "k", "chunk_id", "n_terms", "s")
+        .agg(F.count(F.lit(1)).alias("votes"))
+        .filter("votes = k")
+        .groupBy("phrase", "chunk_id", "n_terms")
+        .agg(F.count_if(F.col("s.col") == "title").cast("int").alias("in_title"), F.count_if(F.col("s.col") == "content").cast("int").alias("in_content"))
+    )
+    return single.unionAll(longer)
+
+
+def bm25(index: Index, queries: DataFrame, options: Bm25Options = Bm25Options(), allowed: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, keyword_score, keyword_rank of the best chunks for each query (query_id, question).
 
-    Only the postings of the queries' terms are kept, before anything is aggregated. allowed: chunk_ids that may be
-    returned; statistics are those of the whole index either way.
+    A question asks for phrases: what it joins by hyphens or underscores must stand together. A phrase has its own inverse
+    document frequency. Only postings of asked terms are read. allowed: chunk_ids that may be returned; statistics are
+    those of the whole index either way. Questions are the small side of each join; Spark broadcasts them while their size allows.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.index_terms(F.col("question")))).alias("term"))
-    index = postings(chunks, options)
-    used = index.join(asked.select("term").distinct(), "term", "left_semi")
-    holding = used.groupBy("term").agg(F.count(F.lit(1)).alias("n_holding"))
+    asked = queries.select("query_id", F.explode(F.array_distinct(T.query_phrases(F.col("question")))).alias("text")).select(
+        "query_id", T.index_terms(F.col("text")).alias("terms")
+    )
+    asked = asked.filter(F.size("terms") > 0).select("query_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
+    used = phrase_places(index, asked)
+    holding = used.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_holding"))
     idf = F.log((F.col("n_chunks") - F.col("n_holding") + 0.5) / (F.col("n_holding") + 0.5))
-    weights = holding.crossJoin(F.broadcast(corpus_statistics(chunks))).select(
-        "term", "mean_terms", F.when(idf <= 0, F.lit(options.least_idf)).otherwise(idf).alias("idf")
+    weights = holding.crossJoin(F.broadcast(_index(index).statistics())).select(
+        "phrase", "mean_terms", F.when(idf <= 0, F.lit(options.least_idf)).otherwise(idf).alias("idf")
     )
-    score = bm25_score(F.col("idf"), F.col("weighted"), F.col("n_terms"), F.col("mean_terms"), options)
-    hits = used.join(weights, "term").join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), DIGITS).alias("keyword_score"))
+    score = bm25_score(F.col("idf"), _weighted(F.col("in_title"), F.col("in_content"), options), F.col("n_terms"), F.col("mean_terms"), options)
+    hits = used.join(weights, "phrase").join(asked.select("query_id", "phrase"), "phrase").groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), DIGITS).alias("keyword_score"))
     if allowed is not None:
         hits = hits.join(allowed, "chunk_id", "left_semi")
     return best(hits, ["query_id"], [F.desc("keyword_score"), F.col("chunk_id")], options.keep, "keyword_rank")
 
 
-def phrase_hits(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """query_id, phrase, chunk_id, n: how often each phrase (query_id, phrase) stands in a chunk, term after term.
-
-    Each hit of a phrase's term number k votes for the place where the phrase would begin; a phrase stands where
-    all its terms vote.
-    """
-    wanted = phrases.select("query_id", "phrase", T.index_terms(F.col("phrase")).alias("terms")).withColumn("k", F.size("terms"))
-    parts = wanted.select("query_id", "phrase", "k", F.posexplode("terms").alias("at", "term"))
-    return (
-        positions(chunks)
-        .join(parts, "term")
-        .groupBy("query_id", "phrase", "k", "chunk_id", "col", (F.col("pos") - F.col("at")).alias("start"))
-        .agg(F.count(F.lit(1)).alias("votes"))
-        .filter("votes = k")
-        .groupBy("query_id", "phrase", "chunk_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
+    """query_id, phrase, chunk_id, n: how often each phrase (query_id, phrase) stands in a chunk, term after term."""
+    asked = phrases.select("query_id", "phrase", T.index_terms(F.col("phrase")).alias("terms")).withColumn("key", F.array_join("terms", " "))
+    found = phrase_places(index, asked.select(F.col("key").alias("phrase"), "terms")).select(F.col("phrase").alias("key"), "chunk_id", (F.col("in_title") + F.col("in_content")).cast("long").alias("n"))
+    return asked.select("query_id", "phrase", "key").join(found, "key").filter("n > 0").drop("key")
 
 
 # --- Vectors ---------------------------------------------------------------------------------------------------------
 
 
-def vector_top(corpus: DataFrame, queries: DataFrame, keep: int = 40) -> DataFrame:
+def vector_top(corpus: DataFrame, queries: DataFrame, keep: int = 40, block: int = 4096) -> DataFrame:
     """query_id, chunk_id, vector_score, vector_rank: exact cosine above 0 over (chunk_id, vector) and (query_id, vector).
 
-    All queries meet all vectors by definition; each task reads its share of the corpus once and keeps `keep` rows for
-    each query, so what is shuffled doesn't grow with the corpus rows of a task.
+    All queries meet all vectors by definition. A block of queries is normalised once and broadcast as a matrix; a batch of the
+    corpus is multiplied with it, and a task keeps ``keep`` rows for each query, so what is shuffled doesn't grow with the rows
+    of a task. More queries than a block go in blocks, each written before the next, so the broadcast stays bounded.
     """
-    if queries.count() > MOST_QUERIES:
-        raise ValueError(f"ask at most {MOST_QUERIES} vector queries at once")
-    asked = queries.select("query_id", F.col("vector").alias("asked"))
-    scored = corpus.select("chunk_id", "vector").crossJoin(F.broadcast(asked)).select(
-        "query_id", "chunk_id", F.round(V.cosine(F.col("vector"), F.col("asked")), DIGITS).alias("vector_score")
-    )
-    return best(scored.filter("vector_score > 0"), ["query_id"], [F.desc("vector_score"), F.col("chunk_id")], keep, "vector_rank")
+    n = -(-queries.count() // block)
+    if n <= 1:
+        return best(_nearest(corpus, queries, keep), ["query_id"], [F.desc("vector_score"), F.col("chunk_id")], keep, "vector_rank")
+    number = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    parts = [written(_nearest(corpus, queries.filter(number == i), keep), "nearest") for i in range(n)]
+    found = parts[0]
+    for one in parts[1:]:
+        found = found.unionAll(one)
+    return best(found, ["query_id"], [F.desc("vector_score"), F.col("chunk_id")], keep, "vector_rank")
+
+
+def _matrix(vectors: pa.ChunkedArray | pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By length: row numbers, and rows of length 1; null vectors and those without direction are left out."""
+    out: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    array = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    sizes = pc.fill_null(pc.list_value_length(array), 0).to_numpy(zero_copy_only=False)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        flat = array.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        rows = np.nan_to_num(flat.reshape(-1, size), nan=0.0)
+        norms = np.sqrt((rows * rows).sum(axis=1))
+        out[size] = at[norms > 0], rows[norms > 0] / norms[norms > 0, None]
+    return out
+
+
+def _nearest(corpus: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
+    """query_id, chunk_id, vector_score: at least the best ``keep`` of each query, from each task its own."""
+    table = queries.select("query_id", "vector").toArrow()
+    ids, asked = table["query_id"].combine_chunks(), _matrix(table["vector"])
+    shared = corpus.sparkSession.sparkContext.broadcast((ids, asked))
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, chunk_id {corpus.schema['chunk_id'].dataType.simpleString()}, vector_score double"
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, wanted = shared.value
+        held: dict[int, tuple[np.ndarray, pa.Array]] = {}  # query row -> scores, chunks
+        for batch in batches:
+            for size, (at, rows) in _matrix(batch.column(1)).items():
+                if size not in wanted:
+                    continue
+                query_rows, queries = wanted[size]
+                products = np.round(queries @ rows.T, DIGITS)
+                for q, scores in zip(query_rows.tolist(), products, strict=True):
+                    some = np.flatnonzero(scores > 0)
+                    if len(some) > keep:
+                        # Ties with the last one stay: ids decide among them later.
+                        some = some[scores[some] >= np.partition(scores[some], len(some) - keep)[len(some) - keep]]
+                    if not len(some):
+                        continue
+                    score, chunk = scores[some], batch.column(0).take(pa.array(at[some]))
+                    if q in held:
+                        score, chunk = np.concatenate((held[q][0], score)), pa.concat_arrays([held[q][1], chunk])
+                    if len(score) > keep:
+                        order = pc.sort_indices(pa.table({"s": -score, "c": chunk}), [("s", "ascending"), ("c", "ascending")])[:keep]
+                        score, chunk = score[order.to_numpy()], chunk.take(order)
+                    held[q] = score, chunk
+        for q, (score, chunk) in held.items():
+            yield pa.RecordBatch.from_arrays([names.take(pa.array([q] * len(score))), chunk, pa.array(score)], names=["query_id", "chunk_id", "vector_score"])
+
+    return corpus.select("chunk_id", "vector").mapInArrow(multiply, kinds)
 
 
 # --- Fusion, reranking, relevance ------------------------------------------------------------------------------------
@@ -158,16 +215,16 @@ def fuse(keyword: DataFrame, vector: DataFrame, options: HybridOptions = HybridO
     return best(fused, ["query_id"], [F.desc("fused_score"), F.col("chunk_id")], options.fused, "fused_rank")
 
 
+def share_of_most(column: str, by: list[str] | None = None) -> Column:
+    """A value as a share of the largest of its group (a query's, by default); null counts as 0."""
+    most = F.max(F.coalesce(column, F.lit(0.0))).over(Window.partitionBy(*(by or ["query_id"])))
+    return F.coalesce(column, F.lit(0.0)) / F.when(most == 0, F.lit(1.0)).otherwise(most)
+
+
 def rerank_lexical(candidates: DataFrame) -> DataFrame:
     """Adds lexical_overlap and rerank_score; needs question, title, content and the three scores."""
     asked = T.rerank_terms(F.col("question"))
     share = lambda c: F.size(F.array_intersect(asked, T.rerank_terms(F.coalesce(c, F.lit(""))))) / F.greatest(F.lit(1), F.size(asked))
-    per_query = Window.partitionBy("query_id")
-
-    def against_most(column: str) -> Column:
-        most = F.max(F.coalesce(column, F.lit(0.0))).over(per_query)
-        return F.coalesce(column, F.lit(0.0)) / F.when(most == 0, F.lit(1.0)).otherwise(most)
-
     return (
         candidates.withColumns({"content_overlap": share("content"), "title_overlap": share("title")})
         .withColumn("lexical_overlap", F.greatest("content_overlap", F.col("title_overlap") * 0.65))
@@ -176,9 +233,9 @@ def rerank_lexical(candidates: DataFrame) -> DataFrame:
             F.round(
                 0.45 * F.col("content_overlap")
                 + 0.10 * F.col("title_overlap")
-                + 0.20 * against_most("fused_score")
-                + 0.15 * against_most("keyword_score")
-                + 0.10 * against_most("vector_score"),
+                + 0.20 * share_of_most("fused_score")
+                + 0.15 * share_of_most("keyword_score")
+                + 0.10 * share_of_most("vector_score"),
                 DIGITS,
             ),
         )
@@ -213,15 +270,15 @@ def cut_relevant(ranked: DataFrame, options: HybridOptions = HybridOptions(), re
 
 
 def hybrid_search(
-    chunks: DataFrame, queries: DataFrame, options: HybridOptions = HybridOptions(), allowed: DataFrame | None = None
+    chunks: DataFrame, queries: DataFrame, options: HybridOptions = HybridOptions(), allowed: DataFrame | None = None, index: Index | None = None
 ) -> DataFrame:
     """query_id, rank, chunk_id, title, content and scores; chunks: chunk_id, title, content, vector; queries:
-    query_id, question, vector. Wide columns are fetched for the fused candidates only."""
-    keyword = bm25(chunks, queries, Bm25Options(keep=options.candidates), allowed)
+    query_id, question, vector. Wide columns are fetched for the fused candidates only; index: of chunks, where one is kept."""
+    keyword = bm25(chunks if index is None else index, queries, Bm25Options(keep=options.candidates), allowed)
     searched = chunks if allowed is None else chunks.join(allowed, "chunk_id", "left_semi")
     vector = vector_top(searched, queries, options.candidates)
     fused = fuse(keyword, vector, options)
-    wide = fused.join(chunks.select("chunk_id", "title", "content"), "chunk_id").join(queries.select("query_id", "question"), "query_id")
+    wide = chunks.select("chunk_id", "title", "content").join(fused, "chunk_id").join(queries.select("query_id", "question"), "query_id")
     return cut_relevant(rerank_lexical(wide), options)
 
 

@@ -91,6 +91,14 @@ def alias_collisions(aliases: DataFrame) -> DataFrame:
     )
 
 
+def health_rollup(documents: DataFrame, assessments: DataFrame, thin: int = 80) -> DataFrame:
+    """One row: documents (document_id, n_chars) without an assessment (document_id, low), assessed as low, and thin ones."""
+    rated = documents.join(assessments.groupBy("document_id").agg(F.bool_or("low").alias("low")), "document_id", "left")
+    return rated.agg(
+        F.count_if(F.col("low").isNull()).alias("unassessed"), F.count_if("low").alias("low"), F.count_if(F.col("n_chars") < thin).alias("thin")
+    )
+
+
 def source_issues(assessments: DataFrame, today: Column) -> DataFrame:
     """document_id, code, severity of documents left-joined with their assessments (reliability, completeness, valid_until)."""
     state = M.expired(F.col("valid_until"), today)

@@ -126,10 +126,22 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {DOCS} SELECT regexp_replace(path, '/[^/]*$', '') AS folder, count(*)::BIGINT AS n, max(updated_at) AS newest FROM d GROUP BY 1 ORDER BY n DESC, folder LIMIT 30",
 )
 def folders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        documents(spark, sf_dir).groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
-        .agg(F.count(F.lit(1)).alias("n"), F.max("updated_at").alias("newest")).orderBy(F.desc("n"), "folder").limit(30)
-    )
+    return filters.folder_counts(documents(spark, sf_dir))
+
+
+@query(
+    "agg_06_bootstrap",
+    f"""WITH {DOCS}, g AS (SELECT lang AS name FROM d UNION ALL SELECT source FROM d),
+    c AS (SELECT 'collection' AS kind, lang AS name, count(*)::BIGINT AS n FROM d GROUP BY lang UNION ALL SELECT 'tag', name, count(*) FROM g GROUP BY name
+      UNION ALL SELECT 'media_type', media_type, count(*) FROM d GROUP BY media_type
+      UNION ALL SELECT 'folder', regexp_replace(path, '/[^/]*$', ''), count(*) FROM d GROUP BY 2),
+    k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, name) AS rank FROM c)
+    SELECT kind, name, n, rank::INT AS rank FROM k WHERE (kind <> 'tag' OR rank <= 40) AND (kind <> 'folder' OR rank <= 30)
+    UNION ALL SELECT 'recent', title, 1, row_number() OVER (ORDER BY updated_at DESC, document_id)::INT FROM d QUALIFY row_number() OVER (ORDER BY updated_at DESC, document_id) <= 12""",
+)
+def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = documents(spark, sf_dir).withColumn("collection", F.col("lang"))
+    return filters.bootstrap(d, d.select("document_id", F.explode(F.array("lang", "source")).alias("name")))
 
 
 @query("flt_04_all_tags", f"WITH {DOCS} SELECT document_id FROM d WHERE lang = 'en' AND source = 'src3'")
@@ -347,7 +359,7 @@ def source_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_22_term_frequency",
-    r"""SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(translate(lower(text), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'), '[\p{L}\p{N}]+')) AS term FROM documents)
+    r"""SELECT term, count(*)::BIGINT AS n FROM (SELECT unnest(regexp_extract_all(""" + f"translate(lower(text), '{T.ACCENTED}', '{T.PLAIN}')" + r""", '[\p{L}\p{N}]+')) AS term FROM documents)
         GROUP BY term ORDER BY n DESC, term LIMIT 100""",
 )
 def term_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import ids
 from quillon.functions import text as T
-from quillon.operators import graph, rules
+from quillon.operators import graph, retrieval, rules
 from quillon.plans.catalog import query
 from quillon.plans.tables import EDGES, ITEMS, items, relations, table
 from quillon.sources import sinks
@@ -191,12 +191,11 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "win_13_global_max",
-    """SELECT l_orderkey, l_linenumber, round(l_extendedprice / max(l_extendedprice) OVER (PARTITION BY l_orderkey), 6) AS share FROM lineitem WHERE l_orderkey % 10 = 0""",
+    """SELECT l_orderkey, l_linenumber, round(l_extendedprice / max(l_extendedprice) OVER (PARTITION BY l_orderkey), 6) AS share FROM lineitem""",
 )
 def share_of_most(spark: SparkSession, sf_dir: str) -> DataFrame:
-    most = F.max("l_extendedprice").over(Window.partitionBy("l_orderkey"))
-    rows = table(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0")
-    return rows.select("l_orderkey", "l_linenumber", F.round(F.col("l_extendedprice") / most, 6).alias("share"))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", retrieval.share_of_most("l_extendedprice", ["l_orderkey"]).alias("share"))
+    return rows.withColumn("share", F.round("share", 6))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import intervals, transcripts
+from quillon.operators import filters, incremental, intervals, qa, rules, transcripts
 from quillon.plans.catalog import query
 from quillon.plans.tables import DOCS, EVENTS, documents, events, messages, table
 from quillon.sources import readers
@@ -55,10 +55,10 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "src_07_ocr_summary",
     """SELECT l_orderkey AS document_id, count(DISTINCT l_linenumber)::BIGINT AS n_pages, count(*)::BIGINT AS n_lines, round(avg(l_discount), 6) AS mean_confidence, round(min(l_discount), 6) AS min_confidence,
-       count_if(l_discount < 0.05)::BIGINT AS n_low FROM lineitem WHERE l_orderkey % 4 = 0 GROUP BY l_orderkey""",
+       count_if(l_discount < 0.05)::BIGINT AS n_low FROM lineitem GROUP BY l_orderkey""",
 )
 def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").filter("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.col("l_discount").alias("confidence"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("page"), F.col("l_discount").alias("confidence"))
     return transcripts.ocr_summary(lines, 0.05)
 
 
@@ -133,20 +133,20 @@ def targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join_23_belongs",
-    "SELECT l_orderkey, l_partkey FROM lineitem WHERE l_orderkey % 50 = 0 AND EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = l_linestatus)",
+    "SELECT l_orderkey, l_partkey FROM lineitem WHERE EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = l_linestatus)",
 )
 def belongs(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_orderstatus").alias("l_linestatus"))
-    return table(spark, sf_dir, "lineitem").filter("l_orderkey % 50 = 0").join(o, ["l_orderkey", "l_linestatus"], "left_semi").select("l_orderkey", "l_partkey")
+    return filters.belonging(table(spark, sf_dir, "lineitem"), o, ["l_orderkey", "l_linestatus"]).select("l_orderkey", "l_partkey")
 
 
 @query(
     "join_24_answers_with_questions",
-    "SELECT a.conv_id, a.turn, left(q.text, 60) AS question FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1 WHERE a.role = 'assistant' AND q.role = 'user'",
+    "SELECT a.conv_id, a.turn, q.text AS question FROM conversations a JOIN conversations q ON q.conv_id = a.conv_id AND q.turn = a.turn - 1 WHERE a.role = 'assistant' AND q.role = 'user'",
 )
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = messages(spark, sf_dir)
-    asked = m.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.substring("text", 1, 60).alias("question"))
+    asked = m.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
     return m.filter("role = 'assistant'").join(asked, ["conv_id", "turn"]).select("conv_id", "turn", "question")
 
 
@@ -155,8 +155,9 @@ def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT user_id AS run, count_if(event_type = 'purchase')::BIGINT AS succeeded, count_if(event_type = 'error')::BIGINT AS failed, count_if(event_type = 'view')::BIGINT AS cancelled FROM events GROUP BY user_id",
 )
 def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = lambda s: F.count_if(F.col("event_type") == s)
-    return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("run")).agg(n("purchase").alias("succeeded"), n("error").alias("failed"), n("view").alias("cancelled"))
+    kind = F.col("event_type")
+    status = F.when(kind == "purchase", "succeeded").when(kind == "error", "failed").when(kind == "view", "cancelled")
+    return incremental.import_summary(table(spark, sf_dir, "events").withColumn("run", F.col("user_id")), ["run"], status)
 
 
 @query(
@@ -165,8 +166,8 @@ def imports(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    rated = d.join(labels.select("doc_id", "quality").dropDuplicates(["doc_id"]), "doc_id", "left")
-    return rated.agg(F.count_if(F.col("quality").isNull()).alias("unassessed"), F.count_if(F.col("quality") == 0).alias("low"), F.count_if(F.length("text") < 80).alias("thin"))
+    assessed = labels.select(F.col("doc_id").alias("document_id"), (F.col("quality") == 0).alias("low"))
+    return rules.health_rollup(d.select(F.col("doc_id").alias("document_id"), F.length("text").alias("n_chars")), assessed)
 
 
 @query(
@@ -177,17 +178,18 @@ def metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newer map wins; only allowed keys stay."""
     old = F.create_map(F.lit("a"), "lang", F.lit("b"), F.lit("old"), F.lit("x"), F.lit("dropped"))
     new = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("b"), "source")).otherwise(F.create_map(F.lit("b"), F.lit("old")))
-    merged = F.map_filter(F.map_zip_with(old, new, lambda k, a, b: F.coalesce(b, a)), lambda k, v: k.isin("a", "b"))
-    return table(spark, sf_dir, "documents").select("doc_id", merged.alias("m")).select("doc_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+    merged = incremental.merge_metadata(old, new, ["a", "b"]).alias("m")
+    return table(spark, sf_dir, "documents").select("doc_id", merged).select("doc_id", F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
 
 
 @query(
     "jsn_05_evidence_lines",
-    """SELECT doc_id, length('{"content":"' || replace(replace(left(regexp_replace(text, '[^a-z ]', '', 'g'), 100), '"', ''), chr(10), '') || '","id":"S' || doc_id || '"}')::BIGINT AS n FROM documents""",
+    """SELECT doc_id, length('{"content":"' || left(regexp_replace(text, '[^a-z ]', '', 'g'), 3600) || '","evidence_id":"S' || doc_id || '","instruction_risk":false,"title":"' || source || '"}')::BIGINT AS n FROM documents""",
 )
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.to_json(F.struct(F.substring(F.regexp_replace("text", "[^a-z ]", ""), 1, 100).alias("content"), F.concat(F.lit("S"), "doc_id").alias("id")))
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(line).cast("long").alias("n"))
+    d = table(spark, sf_dir, "documents")
+    evidence = d.select("doc_id", F.regexp_replace("text", "[^a-z ]", "").alias("content"), F.concat(F.lit("S"), "doc_id").alias("evidence_id"), F.lit(False).alias("instruction_risk"), F.col("source").alias("title"))
+    return evidence.select("doc_id", F.length(qa.evidence_line()).cast("long").alias("n"))
 
 
 @query("rul_09_external_queries")

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import qa, retrieval
+from quillon.operators import index, qa, retrieval
 from quillon.operators.filters import SearchFilters, filter_documents
 from quillon.plans.catalog import query
 from quillon.plans.tables import DOCS, ITEMS, QUESTIONS, documents, items, questions, table
+from quillon.sources import readers, storage
 
 #: Folding of accents as the index does it, and its terms.
-FOLD = "translate(lower({}), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy')"
+FOLD = f"translate(lower({{}}), '{T.ACCENTED}', '{T.PLAIN}')"
 TERMS = r"regexp_extract_all(" + FOLD + r", '[\p{{L}}\p{{N}}]+')"
+#: What a question asks for; in the given tables each is one term.
+PHRASES = r"regexp_extract_all({}, '[A-Za-z0-9_+-]+|[\x{{3400}}-\x{{9fff}}]+')"
 
 BM25 = rf"""
 t AS (SELECT document_id AS chunk_id, {TERMS.format("title")} AS a, {TERMS.format("content")} AS b FROM d),
@@ -22,22 +27,30 @@ p AS (SELECT chunk_id, any_value(k) AS k, term, sum(w) AS f FROM (
   SELECT chunk_id, len(a) + len(b) AS k, unnest(a) AS term, 1.5::DOUBLE AS w FROM t
   UNION ALL SELECT chunk_id, len(a) + len(b), unnest(b), 1.0::DOUBLE FROM t) GROUP BY chunk_id, term),
 g AS (SELECT term, count(*) AS holding FROM p GROUP BY term),
-u AS (SELECT DISTINCT query_id, unnest({TERMS.format("question")}) AS term FROM q),
+u AS (SELECT DISTINCT query_id, {TERMS.format("ph")}[1] AS term FROM (SELECT query_id, unnest({PHRASES.format("question")}) AS ph FROM q) WHERE len({TERMS.format("ph")}) = 1),
 s AS (SELECT query_id, chunk_id, round(sum(CASE WHEN ln((n_chunks - holding + 0.5) / (holding + 0.5)) <= 0 THEN 1e-6
         ELSE ln((n_chunks - holding + 0.5) / (holding + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * k / mean)))::DOUBLE, 9) AS score
       FROM u JOIN p USING (term) JOIN g USING (term), n GROUP BY query_id, chunk_id),
 kw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 40)"""
 
 
+def _index(spark: SparkSession, sf_dir: str) -> index.TextIndex:
+    """The documents' index, kept in the shared folder from one query to the next."""
+    files = readers.folder_state(spark, f"{sf_dir}/documents.parquet")
+    chunks = documents(spark, sf_dir).withColumn("content_hash", F.sha2(F.concat_ws("|", "title", F.coalesce("content", F.lit(""))), 256))
+    name = hashlib.sha256(sf_dir.encode()).hexdigest()[:16]
+    return index.kept_index(files, chunks, f"{storage.shared_dir(spark)}/quillon-index-{name}")
+
+
 @query("ret_04_bm25", f"WITH {DOCS}, {QUESTIONS}, {BM25} SELECT query_id, chunk_id, rank::BIGINT AS rank, round(score, 6) AS score FROM kw")
 def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.bm25(documents(spark, sf_dir), questions(spark, sf_dir))
+    out = retrieval.bm25(_index(spark, sf_dir), questions(spark, sf_dir))
     return out.select("query_id", "chunk_id", F.col("keyword_rank").cast("long").alias("rank"), F.round("keyword_score", 6).alias("score"))
 
 
 @query("ret_03_postings", f"WITH {DOCS}, {QUESTIONS}, {BM25} SELECT term, count(*)::BIGINT AS n_chunks, sum(f)::DOUBLE AS weighted FROM p GROUP BY term")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.postings(documents(spark, sf_dir))
+    out = retrieval.postings(_index(spark, sf_dir))
     return out.groupBy("term").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("weighted").alias("weighted"))
 
 
@@ -62,6 +75,39 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.phrase_hits(documents(spark, sf_dir).withColumn("title", F.lit("")), phrases)
 
 
+PHRASED = rf"""
+tt AS (SELECT document_id AS chunk_id, ' ' || array_to_string({TERMS.format("content")}, '  ') || ' ' AS body, ' ' || array_to_string({TERMS.format("title")}, '  ') || ' ' AS head,
+  len({TERMS.format("content")}) + len({TERMS.format("title")}) AS k FROM d),
+n AS (SELECT count(*) AS n_chunks, avg(k) AS mean FROM tt),
+pr AS (SELECT query_id, concat_ws('-', string_split(question, ' ')[1], string_split(question, ' ')[2]) AS pair, string_split(question, ' ')[3] AS third FROM q),
+pt AS (SELECT query_id, concat_ws(' ', CASE WHEN len(list_distinct({TERMS.format("pair")})) = len({TERMS.format("pair")}) THEN pair END, third) AS question FROM pr),
+ph AS (SELECT DISTINCT query_id, ' ' || array_to_string({TERMS.format("phrase")}, '  ') || ' ' AS inside FROM (SELECT query_id, unnest({PHRASES.format("question")}) AS phrase FROM pt)
+  WHERE len({TERMS.format("phrase")}) > 0),
+hits AS (SELECT inside, chunk_id, k, 1.5::DOUBLE * (length(head) - length(replace(head, inside, ''))) / length(inside) + 1.0::DOUBLE * (length(body) - length(replace(body, inside, ''))) / length(inside) AS f
+  FROM (SELECT DISTINCT inside FROM ph), tt WHERE contains(body, inside) OR contains(head, inside)),
+g AS (SELECT inside, count(*) AS holding FROM hits GROUP BY inside),
+s AS (SELECT query_id, chunk_id, round(sum(CASE WHEN ln((n_chunks - holding + 0.5) / (holding + 0.5)) <= 0 THEN 1e-6
+        ELSE ln((n_chunks - holding + 0.5) / (holding + 0.5)) END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * k / mean)))::DOUBLE, 9) AS score
+      FROM ph JOIN hits USING (inside) JOIN g USING (inside), n GROUP BY query_id, chunk_id)"""
+
+
+@query(
+    "ret_02_phrase_search",
+    f"""WITH {DOCS}, {QUESTIONS}, {PHRASED} SELECT query_id, chunk_id, round(score, 6) AS score FROM s
+    QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 40""",
+)
+def phrase_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions whose first two words are joined by a hyphen: they must stand together. Phrases that repeat a word are left to tests."""
+    words = F.split("question", " ")
+    q = questions(spark, sf_dir)
+    pair = F.concat_ws("-", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
+    parts = T.index_terms(pair)
+    pair = F.when(F.size(F.array_distinct(parts)) == F.size(parts), pair)
+    asked = q.select("query_id", F.concat_ws(" ", pair, F.get(words, F.lit(2))).alias("question"))
+    found = retrieval.bm25(_index(spark, sf_dir), asked)
+    return found.select("query_id", "chunk_id", F.round("keyword_score", 6).alias("score"))
+
+
 VECTORS = """v AS (SELECT vec_id AS chunk_id, embedding::DOUBLE[] AS x FROM embeddings),
 qv AS (SELECT chunk_id AS query_id, x AS y FROM v WHERE chunk_id % 25 = 0),
 vs AS (SELECT query_id, chunk_id, list_dot_product(x, y) / (sqrt(list_dot_product(x, x)) * sqrt(list_dot_product(y, y))) AS raw FROM v, qv),
@@ -119,7 +165,7 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = _hybrid(spark, sf_dir)
     fused = retrieval.fuse(
-        retrieval.bm25(chunks, asked), retrieval.vector_top(chunks.filter("vector IS NOT NULL"), asked)
+        retrieval.bm25(_index(spark, sf_dir), asked), retrieval.vector_top(chunks.filter("vector IS NOT NULL"), asked)
     )
     return fused.select("query_id", "chunk_id", F.col("fused_rank").cast("long").alias("rank"), F.round("fused_score", 9).alias("fused"))
 
@@ -147,7 +193,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, fuse
 )
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks, asked = _hybrid(spark, sf_dir)
-    found = retrieval.hybrid_search(chunks, asked)
+    found = retrieval.hybrid_search(chunks, asked, index=_index(spark, sf_dir))
     return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("rerank_score", 6).alias("score"), F.round("lexical_overlap", 6).alias("overlap"))
 
 
@@ -174,7 +220,7 @@ def search_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) <= 40""",
 )
 def bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = retrieval.bm25(documents(spark, sf_dir), questions(spark, sf_dir), allowed=_allowed(spark, sf_dir).select("chunk_id"))
+    out = retrieval.bm25(_index(spark, sf_dir), questions(spark, sf_dir), allowed=_allowed(spark, sf_dir).select("chunk_id"))
     return out.select("query_id", "chunk_id", F.round("keyword_score", 6).alias("score"))
 
 
@@ -191,30 +237,26 @@ SELECT round(hit_rate, 6)::DOUBLE AS hit_rate, round(mrr, 6) AS mrr,
 
 
 def _relevant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark passage whole: the passage's first index terms narrow the pairs."""
-    q, d = questions(spark, sf_dir), documents(spark, sf_dir)
-    first = lambda c, n: F.array_join(F.slice(T.index_terms(F.col(c)), 1, n), " ")
-    wanted = q.select("query_id", "text", first("text", 4).alias("gram"))
-    terms = T.index_terms(F.col("content"))
-    grams = d.withColumn("terms", terms).select(
-        "document_id", "content",
-        F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("terms"), F.lit(1))), lambda i: F.array_join(F.slice("terms", i, 4), " ")))).alias("gram"),
-    )
-    hits = grams.join(wanted, "gram").filter(F.col("content").contains(F.col("text")))
+    """Documents that contain a benchmark passage whole: the index finds the passage's first terms, and only texts found are read."""
+    q = questions(spark, sf_dir)
+    begins = q.select("query_id", F.array_join(F.slice(T.index_terms(F.col("text")), 1, 4), " ").alias("phrase"))
+    found = retrieval.phrase_hits(_index(spark, sf_dir), begins).select("query_id", "chunk_id")
+    texts = documents(spark, sf_dir).select("chunk_id", "document_id", "content")
+    hits = texts.join(found, "chunk_id").join(q.select("query_id", "text"), "query_id").filter(F.col("content").contains(F.col("text")))
     return hits.select(F.col("query_id").alias("case_id"), F.col("document_id").alias("id")).distinct()
 
 
 @query("agg_12_golden_metrics", GOLDEN)
 def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = retrieval.bm25(documents(spark, sf_dir), questions(spark, sf_dir), retrieval.Bm25Options(keep=10))
+    top = retrieval.bm25(_index(spark, sf_dir), questions(spark, sf_dir), retrieval.Bm25Options(keep=10))
     results = top.select(F.col("query_id").alias("case_id"), F.col("keyword_rank").alias("rank"), F.col("chunk_id").alias("id"))
-    relevant = _relevant(spark, sf_dir)
+    results, relevant = storage.written(results, "golden-results"), storage.written(_relevant(spark, sf_dir), "golden-relevant")
     targets = relevant.withColumn("target_id", F.col("case_id"))
     return qa.golden_metrics(results, relevant, results.filter("rank <= 4"), targets)
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    top = retrieval.bm25(documents(spark, sf_dir), questions(spark, sf_dir), retrieval.Bm25Options(keep=8))
+    top = retrieval.bm25(_index(spark, sf_dir), questions(spark, sf_dir), retrieval.Bm25Options(keep=8))
     d = documents(spark, sf_dir).select("chunk_id", "title", "content", F.col("path").alias("source_id"))
     wide = top.join(d, "chunk_id").join(questions(spark, sf_dir).select("query_id", "question"), "query_id")
     return qa.number_evidence(wide.withColumn("score", F.round("keyword_score", 6)))
@@ -318,11 +360,11 @@ def hierarchical(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "ret_19_strategy",
     r"""WITH s AS (SELECT source, sum(greatest(1, len(w) + ((length(text) - length(array_to_string(w, ''))) // 8)))::BIGINT AS tokens,
-        count(*)::BIGINT AS n FROM (SELECT source, text, regexp_extract_all(text, '[A-Za-z0-9_]+|[\x{3400}-\x{9fff}]') AS w FROM documents WHERE doc_id % 5 = 0) GROUP BY source)
+        count(*)::BIGINT AS n FROM (SELECT source, text, regexp_extract_all(text, '[A-Za-z0-9_]+|[\x{3400}-\x{9fff}]') AS w FROM documents) GROUP BY source)
     SELECT source, tokens, CASE WHEN tokens <= 12000 THEN 'full_context' ELSE 'hierarchical' END AS strategy FROM s""",
 )
 def strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = documents(spark, sf_dir).filter("document_id % 5 = 0")
+    d = documents(spark, sf_dir)
     sums = d.groupBy("source").agg(F.sum(T.estimate_tokens(F.col("content"))).alias("tokens"))
     return sums.select("source", "tokens", qa.retrieval_strategy(F.lit("synthesis"), F.lit(1), F.lit(1), F.col("tokens")).alias("strategy"))
 
@@ -332,7 +374,7 @@ def hashed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quillon.functions import ids
 
     d = documents(spark, sf_dir)
-    return d.select("document_id", ids.hashed_vector(T.features(F.col("content")), 64).alias("vector"))
+    return d.select("document_id", ids.hashed_vector(T.features(F.col("content"))).alias("vector"))
 
 
 @query(
