@@ -70,6 +70,39 @@ def url_identity(address: Column) -> Column:
     return F.when(scheme != "", F.concat(F.lower(scheme), F.lit("://"), F.lower(host), rest)).otherwise(address)
 
 
+#: Other names of recognisers, and the profiles that there are (fixed values).
+PROVIDER_ALIASES = {
+    "auto": None,
+    "qwen": "qwen3-mlx",
+    "qwen3": "qwen3-mlx",
+    "qwen3-asr": "qwen3-mlx",
+    "mlx": "mlx-whisper",
+    "whisper-mlx": "mlx-whisper",
+    "faster": "faster-whisper",
+    "cpu": "faster-whisper",
+    "cuda": "faster-whisper",
+}
+
+
+def _folded_name(value: Column) -> Column:
+    return F.replace(F.lower(F.trim(value)), F.lit("_"), F.lit("-"))
+
+
+def provider_id(value: Column) -> Column:
+    """The name of a recogniser; null where any will do."""
+    name = _folded_name(F.coalesce(value, F.lit("")))
+    out = F.when(name != "", name)
+    for alias, provider in PROVIDER_ALIASES.items():
+        out = F.when(name == alias, F.lit(provider)).otherwise(out)
+    return out
+
+
+def profile_id(value: Column, known: tuple[str, ...]) -> Column:
+    """A known profile's name, else ``custom``."""
+    name = _folded_name(F.coalesce(value, F.lit("custom")))
+    return F.when(name.isin(*known), name).otherwise(F.lit("custom"))
+
+
 def hashed_vector(features: Column, dimensions: int = 384) -> Column:
     """Signed feature hashing with BLAKE2b, normalised to length 1; no features give the null vector.
 

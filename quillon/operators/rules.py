@@ -153,6 +153,26 @@ def segment_issues(segments: DataFrame, silent: DataFrame | None = None, low_con
     )
 
 
+#: Grades of extractions, from the best (fixed values).
+GRADES = ("优秀", "良好", "可用", "不合格")
+
+
+def _ocr_doubts(rows: DataFrame) -> tuple[Column, Column, Column, Column]:
+    """Of lines read by OCR: badly read, partly unsure, without confidences; and whether a vision model helped.
+
+    Optional columns: ocr_lines, ocr_mean, ocr_min, ocr_threshold (0.65), ocr_low (lines), ocr_vision.
+    """
+    has = lambda c, kind: F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    lines, mean, least = F.coalesce(has("ocr_lines", "long"), F.lit(0)), has("ocr_mean", "double"), has("ocr_min", "double")
+    threshold = F.least(F.greatest(F.coalesce(has("ocr_threshold", "double"), F.lit(0.65)), F.lit(0.0)), F.lit(1.0))
+    share = F.when(lines > 0, F.least(F.lit(1.0), F.coalesce(has("ocr_low", "long"), F.lit(0)) / lines)).otherwise(0.0)
+    told = (lines > 0) & mean.isNotNull() & least.isNotNull()
+    severe = told & ((mean < 0.35) | (share >= 0.8))
+    unsure = told & ((mean < threshold) | (least < threshold) | (share >= 0.35))
+    flat = lambda c: F.coalesce(c, F.lit(False))
+    return flat(severe), flat(unsure), (lines > 0) & ~told, flat(has("ocr_vision", "boolean"))
+
+
 def extraction_gate(rows: DataFrame) -> DataFrame:
     """Adds quality_score, accepted and grade to extractions (n_segments, n_characters, scope, media_type, n_speech, n_visual,
     expected_pages, covered_pages, has_checksum, n_warnings): penalties from 100, caps and hard failures."""
@@ -165,19 +185,24 @@ def extraction_gate(rows: DataFrame) -> DataFrame:
     thin = share < 0.5
     score = F.when(nothing, 0).otherwise(100)
     score = F.when(poor, F.least(score, F.lit(20))).otherwise(score)
+    severe, unsure, unknown, helped = _ocr_doubts(rows)
+    score = F.when(severe & ~helped, F.least(score, F.lit(45))).when(severe, score - 20).when(unsure, score - 12).when(unknown, score - 5).otherwise(score)
+    checks = F.col("integrity") if "integrity" in rows.columns else F.array().cast("array<string>")
+    checks = F.when(av & (F.col("n_speech") > 0), F.coalesce(checks, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+    score = F.aggregate(checks, score, lambda s, c: F.when(c == "fail", F.least(s, F.lit(45))).when(c == "warn", s - 5).otherwise(s))
     score = score - F.when(silent_video, 20).otherwise(0)
     score = F.when(mute, F.least(score, F.lit(30))).otherwise(score)
     score = F.when(thin, F.least(score, F.lit(45))).otherwise(score) - F.when((share >= 0.5) & (share < 0.85), 15).otherwise(0)
     score = score - F.when(F.col("has_checksum"), 0).otherwise(10)
     score = score - F.when((F.col("n_characters") < 80) & (F.col("media_type") != "image"), 10).otherwise(0)
     score = score - F.least(F.lit(15), F.col("n_warnings") * 3)
-    hard = nothing | poor | mute | F.coalesce(thin, F.lit(False))
+    hard = nothing | poor | mute | F.coalesce(thin, F.lit(False)) | (severe & ~helped) | F.array_contains(checks, "fail")
     final = F.greatest(F.lit(0), F.least(F.lit(100), score)).cast("long")
     accepted = ~hard & (F.col("quality_score") >= 60)
     return rows.withColumn("quality_score", final).withColumns(
         {
             "accepted": accepted,
-            "grade": F.when(F.col("quality_score") >= 90, "A").when(F.col("quality_score") >= 75, "B").when(accepted, "C").otherwise("F"),
+            "grade": F.when(F.col("quality_score") >= 90, GRADES[0]).when(F.col("quality_score") >= 75, GRADES[1]).when(accepted, GRADES[2]).otherwise(GRADES[3]),
         }
     )
 
@@ -205,19 +230,23 @@ PRIVATE = {
 
 #: Names of files that are likely to hold secrets (fixed values).
 SECRET_SUFFIX = r"\.(?:key|keystore|jks|p12|pem|pfx)$"
+CONFIG_SUFFIXES = ("", "cfg", "conf", "ini", "json", "toml", "yaml", "yml")
+COOKIE_SUFFIXES = ("", "db", "json", "sqlite", "txt")
+SECRET_STEMS = ("api_key", "api_keys", "credential", "credentials", "secret", "secrets", "service_account", "settings", "token", "tokens")
 SECRET_NAMES = (".env", ".git-credentials", ".netrc", ".npmrc", ".pypirc", "id_dsa", "id_ed25519", "id_ecdsa", "id_rsa", "providers.json")
-SECRET_STEMS = r"^(?:api_keys?|credentials?|secrets?|service_account|settings|tokens?)(?:\.(?:cfg|conf|ini|json|toml|yaml|yml))?$"
 
 
 def secret_name(name: Column) -> Column:
     low = F.lower(name)
+    suffix = F.regexp_extract(low, r"[^.]\.([^.]+)$", 1)
+    stem = F.replace(F.regexp_replace(low, r"(?<=[^.])\.[^.]+$", ""), F.lit("-"), F.lit("_"))
     return (
         low.isin(*SECRET_NAMES)
         | low.startswith(".env.")
         | low.rlike(SECRET_SUFFIX)
-        | F.replace(low, F.lit("-"), F.lit("_")).rlike(SECRET_STEMS)
-        | low.rlike(r"^service-account.*\.json$")
-        | low.rlike(r"^cookies[^.]*(?:\.(?:db|json|sqlite|txt))?$")
+        | (suffix.isin(*CONFIG_SUFFIXES) & stem.isin(*SECRET_STEMS))
+        | (low.startswith("service-account") & (suffix == "json"))
+        | (low.startswith("cookies") & suffix.isin(*COOKIE_SUFFIXES))
     )
 
 
@@ -231,11 +260,21 @@ def private_findings(files: DataFrame, most_lines: int = 20) -> DataFrame:
         for name, pattern in PRIVATE.items()
     ])
     hits = files.select("path", "text", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("x"))
-    numbered = F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("no"), line.alias("line")))
-    lines = F.transform(F.filter(numbered, lambda x: F.regexp_like(x["line"], F.col("x.pattern"))), lambda x: x["no"])
+    # What stands before each match tells its line, wherever the match ends: the text is split at the matches.
+    mark = "\ue000"
+    before = F.slice(F.split(F.regexp_replace("text", F.col("x.pattern"), F.lit(mark)), mark, -1), F.lit(1), F.col("x.n"))
+    # A replaced match may have held line ends; those are its own count less what is left.
+    inside = F.transform(F.regexp_extract_all("text", F.col("x.pattern"), F.lit(0)), lambda m: F.length(m) - F.length(F.replace(m, F.lit("\n"), F.lit(""))))
+    ends = F.transform(before, lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))))
+    at = F.aggregate(
+        F.arrays_zip(ends.alias("own"), inside.alias("held")),
+        F.struct(F.lit(1).alias("line"), F.array().cast("array<int>").alias("lines")),
+        lambda a, x: F.struct((a["line"] + x["own"] + x["held"]).alias("line"), F.concat(a["lines"], F.array(a["line"] + x["own"])).alias("lines")),
+        lambda a: F.array_distinct(a["lines"]),
+    )
     return hits.select(
         "path", F.col("x.category").alias("category"), F.lit("blocked").alias("severity"), F.col("x.n").cast("long").alias("n"),
-        F.slice(lines, 1, most_lines).alias("lines"),
+        F.slice(at, 1, most_lines).alias("lines"),
     )
 
 
@@ -252,6 +291,86 @@ def share_status(files: DataFrame, found: DataFrame) -> DataFrame:
     return files.select("path").join(worst_of, "path", "left").select("path", status.alias("status"))
 
 
+#: Classes of files by suffix (fixed values).
+FILE_CLASSES = {
+    "image": ("avif", "bmp", "gif", "heic", "heif", "jpeg", "jpg", "png", "tif", "tiff", "webp"),
+    "pdf": ("pdf",),
+    "media": ("aac", "aiff", "amr", "flac", "m4a", "mp3", "ogg", "opus", "wav", "wma", "avi", "flv", "m4v", "mkv", "mov", "mp4", "mpeg", "mpg", "webm", "wmv"),
+    "office": ("doc", "docm", "docx", "odp", "ods", "odt", "ppt", "pptm", "pptx", "xls", "xlsb", "xlsm", "xlsx"),
+    "archive": ("7z", "bz2", "gz", "rar", "tar", "tgz", "xz", "zip"),
+}
+#: Findings about files whose contents no rule reads (fixed values).
+UNREAD = {"media": "media_content_unscanned", "archive": "archive_content_unscanned", "too_large": "text_too_large", "binary": "binary_content_unscanned"}
+#: Folders, names and suffixes that a shared copy leaves out (fixed values).
+FORBIDDEN_FOLDERS = (".cache", ".git", ".obsidian", "backups", "cache", "caches", "chat", "chat_history", "chats", "conversation", "conversations", "keyring", "providers", "trash")
+FORBIDDEN_NAMES = (".ds_store", "knowledge.db", "providers.json", "settings.json")
+FORBIDDEN_STEMS = ("chat_history", "conversation", "conversations")
+DATABASE_SUFFIXES = ("db", "sqlite", "sqlite3")
+
+
+def _suffix(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"[^./]\.([^./]+)$", 1))
+
+
+def file_class(path: Column, size: Column, textual: Column, most: int = 8 << 20) -> Column:
+    """image, pdf, media, office or archive by suffix; of other files too_large, binary or text."""
+    suffix = _suffix(path)
+    out = F.when(size > most, "too_large").when(~F.coalesce(textual, F.lit(False)), "binary").otherwise("text")
+    for kind, suffixes in FILE_CLASSES.items():
+        out = F.when(suffix.isin(*suffixes), kind).otherwise(out)
+    return out
+
+
+def file_findings(files: DataFrame) -> DataFrame:
+    """path, category, severity of files (path, size, textual): secret names, sensitive paths, and contents that aren't scanned."""
+    kind = file_class(F.col("path"), F.col("size"), F.col("textual"))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    sensitive = F.col("path").rlike(PRIVATE["email_address"]) | F.col("path").rlike(PRIVATE["aws_access_key"])
+    unread = F.lit(None).cast("string")
+    for of, category in UNREAD.items():
+        unread = F.when(kind == of, category).otherwise(unread)
+    one = lambda when, category, severity: F.when(when, F.struct(category.alias("category"), F.lit(severity).alias("severity")))
+    found = F.array(one(sensitive, F.lit("sensitive_path"), "blocked"), one(secret_name(name), F.lit("secret_like_file"), "blocked"), one(unread.isNotNull(), unread, "review"))
+    return files.select("path", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("f")).select("path", "f.category", "f.severity")
+
+
+def forbidden_share(path: Column) -> Column:
+    """What never goes into a shared copy, by its path."""
+    low = F.lower(path)
+    name = F.regexp_extract(low, r"([^/]*)$", 1)
+    stem = F.replace(F.regexp_replace(name, r"(?<=[^.])\.[^.]+$", ""), F.lit("-"), F.lit("_"))
+    folders = F.split(low, "/")
+    return (
+        F.arrays_overlap(folders, F.array(*[F.lit(x) for x in FORBIDDEN_FOLDERS]))
+        | name.isin(*FORBIDDEN_NAMES)
+        | stem.isin(*FORBIDDEN_STEMS)
+        | _suffix(path).isin(*DATABASE_SUFFIXES)
+        | secret_name(name)
+        | path.rlike(PRIVATE["email_address"])
+        | path.rlike(PRIVATE["aws_access_key"])
+    )
+
+
+def share_copy(files: DataFrame) -> DataFrame:
+    """path, text of the files (path, text) that a shared copy holds: allowed by path, and without private findings."""
+    allowed = files.filter(~forbidden_share(F.col("path")))
+    clean = F.lit(True)
+    for pattern in PRIVATE.values():
+        clean = clean & ~F.coalesce(F.col("text").rlike(pattern), F.lit(False))
+    return allowed.filter(clean)
+
+
+def copy_errors(files: DataFrame, copy: DataFrame) -> DataFrame:
+    """path, error of a shared copy scanned again: what is forbidden or private, and what differs from its source (path, text)."""
+    hit = F.lit(False)
+    for pattern in PRIVATE.values():
+        hit = hit | F.coalesce(F.col("text").rlike(pattern), F.lit(False))
+    source = files.select("path", F.sha2("text", 256).alias("own"))
+    rows = copy.join(source, "path", "left")
+    error = F.when(forbidden_share(F.col("path")), "forbidden_path").when(hit, "private_content").when(F.col("own").isNull(), "unexpected").when(F.col("own") != F.sha2("text", 256), "different")
+    return rows.select("path", error.alias("error")).filter("error IS NOT NULL")
+
+
 def path_collisions(files: DataFrame) -> DataFrame:
     """folded, n_paths of paths that differ only in case."""
     return files.groupBy(F.lower("path").alias("folded")).agg(F.countDistinct("path").alias("n_paths")).filter("n_paths > 1")

@@ -14,6 +14,10 @@ GENERIC_WORDS = ("the", "and", "for", "with", "official", "docs", "documentation
 LAYOUT_SIGNS = r"[∑√≈≠≤≥|＝]"
 
 
+#: Flags that a recogniser sets on segments and that are issues of the run (fixed values).
+MODEL_FLAGS = ("generated_loop", "professional_term", "number_unit", "speaker_alignment_unavailable")
+
+
 def mean_confidence(segment: Column, words: Column) -> Column:
     """Mean of a segment's confidence and its words', of those that are known."""
     known = F.filter(F.concat(F.array(segment), F.coalesce(words, F.array().cast("array<double>"))), lambda x: x.isNotNull())
@@ -24,13 +28,16 @@ def run_quality(segments: DataFrame, runs: DataFrame) -> DataFrame:
     """run_id, code, severity of whole recordings.
 
     segments: run_id, ordinal, start_ms, end_ms, speaker_id, text, flags, streak; runs: run_id, duration_ms,
-    expected_speakers, diarized, language, silence_ratio, clipping_ratio, loudness.
+    expected_speakers, diarized, language, silence_ratio, clipping_ratio, loudness. Optional: silent_share of segments (0 to 1), and
+    decode_ok, probed_ms, corrupt of runs.
     """
     w = Window.partitionBy("run_id").orderBy("ordinal")
     length = F.greatest(F.col("end_ms") - F.col("start_ms"), F.lit(0))
     text = F.trim(F.coalesce("text", F.lit("")))
     unknown = F.coalesce(F.col("speaker_id"), F.lit("")).isin("", "speaker_unknown")
     flagged = lambda *names: F.arrays_overlap("flags", F.array(*[F.lit(n) for n in names]))
+    silent = F.coalesce("silent_share", F.lit(0.0)) if "silent_share" in segments.columns else F.lit(0.0)
+    told = lambda c, kind, other: F.coalesce(F.col(c) if c in runs.columns else F.lit(None).cast(kind), F.lit(other))
     rows = segments.withColumns({"length": length, "text": text, "before": F.lag("start_ms").over(w)})
     sums = rows.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -40,10 +47,13 @@ def run_quality(segments: DataFrame, runs: DataFrame) -> DataFrame:
         F.count_if((F.col("streak") >= 3) | T.repeats_phrase(F.col("text"))).alias("n_repeated"),
         F.count_if(flagged("truncated", "finish_reason_truncated")).alias("n_truncated"),
         F.count_if((F.col("length") > 0) & (F.length(F.regexp_replace("text", r"\s+", "")) * 1000 / F.greatest(F.col("length"), F.lit(1)) > 30)).alias("n_fast"),
+        F.count_if((silent >= 0.8) & (F.col("length") > 0) & (F.length("text") >= 8)).alias("n_silent"),
+        *[F.count_if(flagged(code)).alias(f"n_{code}") for code in MODEL_FLAGS],
         F.count_if((F.col("length") < 1000) & (F.coalesce("speaker_id", F.lit("")) != "")).alias("n_short"),
         F.sum("length").alias("speech"),
         F.sum(F.when(unknown, F.col("length")).otherwise(0)).alias("unknown"),
         F.sum(F.when(flagged("overlap"), F.col("length")).otherwise(0)).alias("overlap"),
+        F.count_if(flagged("language_mismatch")).alias("n_flagged_language"),
         F.countDistinct(F.when(~unknown, F.col("speaker_id"))).alias("n_speakers"),
         F.max("end_ms").alias("last"),
         F.sum(F.length(F.regexp_replace("text", rf"[^A-Za-z{T.CJK}]", ""))).alias("letters"),
@@ -62,6 +72,11 @@ def run_quality(segments: DataFrame, runs: DataFrame) -> DataFrame:
             Rule("timestamp_reversal", "error", F.col("n_reversed") > 0),
             Rule("empty_segments", "warning", (F.col("n_empty") > 0) & (F.col("n_empty") >= F.greatest(F.lit(1), F.floor(F.col("n") / 3)))),
             Rule("repetition", "warning", F.col("n_repeated") > 0),
+            Rule("silence_hallucination", "warning", F.col("n_silent") > 0),
+            *[Rule(code, "warning", F.col(f"n_{code}") > 0) for code in MODEL_FLAGS],
+            Rule("audio_decode_failed", "error", ~told("decode_ok", "boolean", True)),
+            Rule("audio_zero_duration", "error", told("probed_ms", "long", 1) == 0),
+            Rule("audio_corrupt", "error", told("corrupt", "boolean", False)),
             Rule("truncated", "warning", F.col("n_truncated") > 0),
             Rule("abnormal_character_rate", "warning", F.col("n_fast") > 0),
             Rule("audio_long_silence", "warning", F.col("silence_ratio") >= 0.85),
@@ -71,7 +86,7 @@ def run_quality(segments: DataFrame, runs: DataFrame) -> DataFrame:
             Rule("speaker_fragmentation", "warning", F.col("diarized") & (F.col("n") >= 4) & (F.col("n_short") / F.col("n") > 0.5)),
             Rule("speaker_unknown", "warning", F.col("diarized") & (share("unknown") > 0.2)),
             Rule("speaker_overlap", "warning", F.col("diarized") & (share("overlap") > 0.15)),
-            Rule("language_mismatch", "warning", (F.col("language") == "zh") & (F.col("letters") >= 20) & (F.col("chinese") / F.col("letters") < 0.15)),
+            Rule("language_mismatch", "warning", (F.col("n_flagged_language") > 0) | (F.lower("language").isin("zh", "chinese", "中文", "zh-cn")) & (F.col("letters") >= 20) & (F.col("chinese") / F.col("letters") < 0.15)),
         ],
     ).drop("detail")
 

@@ -327,7 +327,7 @@ v AS (SELECT *, greatest(0, least(100, c))::BIGINT AS quality_score, NOT (poor O
 
 @query(
     "agg_16_extraction_gate",
-    f"WITH {GATE} SELECT doc_id, quality_score, accepted, CASE WHEN quality_score >= 90 THEN 'A' WHEN quality_score >= 75 THEN 'B' WHEN accepted THEN 'C' ELSE 'F' END AS grade FROM v",
+    f"WITH {GATE} SELECT doc_id, quality_score, accepted, CASE WHEN quality_score >= 90 THEN '优秀' WHEN quality_score >= 75 THEN '良好' WHEN accepted THEN '可用' ELSE '不合格' END AS grade FROM v",
 )
 def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("doc_id")

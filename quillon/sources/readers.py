@@ -205,6 +205,49 @@ def transcript_segments(read: DataFrame) -> DataFrame:
     )
 
 
+#: What a vault walk leaves out, and the suffixes of notes (fixed values).
+VAULT_EXCLUDED = (".git", ".obsidian", ".trash", "_assets")
+VAULT_EXCLUDED_PREFIX = "10_Knowledge/AI Answers/"
+NOTE_SUFFIXES = ("md", "markdown")
+
+
+def vault_notes(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(notes, errors) of a vault's files (root, relative, resolved): notes in its visible folders; an error for each note that a link
+    leads outside the vault."""
+    parts = F.split("relative", "/")
+    folders = F.slice(parts, F.lit(1), F.size(parts) - 1)
+    name = F.element_at(parts, -1)
+    hidden = F.exists(folders, lambda x: x.isin(*VAULT_EXCLUDED) | x.startswith(".")) | name.startswith(".") | F.col("relative").startswith(VAULT_EXCLUDED_PREFIX)
+    wanted = files.filter(~hidden & F.lower(F.regexp_extract(name, r"[^.]\.([^.]+)$", 1)).isin(*NOTE_SUFFIXES))
+    inside = F.col("resolved").startswith(F.concat(F.rtrim("root", F.lit("/")), F.lit("/")))
+    return wanted.filter(inside), wanted.filter(~inside).select("root", "relative")
+
+
+def ocr_lines(payloads: DataFrame) -> DataFrame:
+    """document_id, page, line_no, text, confidence, box of recognisers' JSON (document_id, page, payload).
+
+    An object holds lists of texts, scores and boxes; a list holds (box, text, confidence) or (box, text) for each line, and may itself
+    stand first in a list with the time taken. Blank texts are left out; a score that is no finite number is null.
+    """
+    listed = F.from_json("payload", "txts array<string>, scores array<double>, boxes array<string>")
+    rows = F.from_json("payload", "array<array<string>>")
+    nested = F.from_json(F.get_json_object("payload", "$[0]"), "array<array<string>>")
+    from_object = F.transform(
+        listed["txts"], lambda t, i: F.struct(t.alias("text"), F.get(listed["scores"], i).alias("confidence"), F.get(listed["boxes"], i).alias("box"))
+    )
+    each = lambda items: F.transform(
+        F.filter(items, lambda x: F.size(x) >= 2),
+        lambda x: F.struct(F.get(x, F.lit(1)).alias("text"), F.get(x, F.lit(2)).try_cast("double").alias("confidence"), F.get(x, F.lit(0)).alias("box")),
+    )
+    # In a nested list the second element of the first item is a line, not a text.
+    within = F.get_json_object("payload", "$[0][0][1]").isNotNull() & ~F.coalesce(F.get_json_object("payload", "$[0][1]").rlike(r"^[^\[]"), F.lit(False))
+    lines = F.when(listed["txts"].isNotNull(), from_object).when(within, each(nested)).otherwise(each(rows))
+    score = F.col("x.confidence")
+    return payloads.select("document_id", "page", F.posexplode(lines).alias("line_no", "x")).select(
+        "document_id", "page", "line_no", F.trim("x.text").alias("text"), F.when(~F.isnan(score) & (F.abs(score) < float("inf")), F.round(score, 3)).alias("confidence"), F.col("x.box").alias("box"),
+    ).filter("text <> ''")
+
+
 def folder_state(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """relative, size, mtime of files, from their metadata alone."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)

@@ -37,6 +37,46 @@ def conversation_markdown(messages: DataFrame) -> DataFrame:
     return _in_order(messages, ["conv_id"], "turn", line, "\n\n", "markdown")
 
 
+#: Headings and labels of a correction's export (fixed values).
+CORRECTION = {
+    "title": " 深度精校稿", "speakers": "## 说话人", "speaker_table": "| 匿名 ID | 显示名称 | 名称来源 |\n|---|---|---|", "no_speaker": "| — | 未进行说话人区分 | — |", "unnamed": "未确认",
+    "terms": "## 术语校正表", "term_table": "| 原文 | 建议/校订 | 状态 | 理由 |\n|---|---|---|---|", "no_term": "| — | — | 无术语校正记录 | — |",
+    "body": "## 完整精校正文", "no_body": "无可导出的精校正文。", "audit": "## 审计摘要",
+    "counts": ("- 修改建议总数：", "- 待审核：", "- 已接受：", "- 已拒绝：", "- 状态审计事件：", "- 导出正文段落："),
+}
+
+
+def correction_markdown(runs: DataFrame, speakers: DataFrame, paragraphs: DataFrame, changes: DataFrame, counts: DataFrame) -> DataFrame:
+    """run_id, markdown of corrected transcripts.
+
+    runs: run_id, name; speakers: run_id, speaker_id, display_name, name_source; paragraphs: run_id, ordinal, speaker_id, start_ms,
+    end_ms, text (with rejected changes undone); changes: run_id, ordinal, change_type, before_text, after_text, status, reason;
+    counts: as ``audit_counts`` gives them.
+    """
+    c = CORRECTION
+    cell = lambda x: F.regexp_replace(F.regexp_replace(F.coalesce(x, F.lit("")), r"\|", r"\\|"), r"\s*\n\s*", " ")
+    row = lambda *cells: F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(x) for x in cells]), F.lit(" |"))
+    named = F.coalesce(T.blank_to_null(F.col("display_name")), F.lit(c["unnamed"]))
+    people = _in_order(speakers, ["run_id"], "speaker_id", row(F.col("speaker_id"), named, F.col("name_source")), "\n", "people")
+    terms = changes.filter("change_type = 'terminology'")
+    terms = _in_order(terms, ["run_id"], "ordinal", row(*[F.col(x) for x in ("before_text", "after_text", "status", "reason")]), "\n", "terms")
+    who = F.coalesce(T.blank_to_null(F.col("display_name")), "speaker_id", F.lit("speaker_unknown"))
+    spoken = paragraphs.join(speakers.select("run_id", "speaker_id", "display_name"), ["run_id", "speaker_id"], "left")
+    head = F.concat(F.lit("### ["), M.clock(F.col("start_ms") / 1000), F.lit(" → "), M.clock(F.col("end_ms") / 1000), F.lit("] "), who)
+    body = _in_order(spoken, ["run_id"], "ordinal", F.concat(head, F.lit("\n\n"), T.escape_markdown(F.col("text"))), "\n\n", "body")
+    n = paragraphs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_paragraphs"))
+    out = runs.select("run_id", "name")
+    for part in (people, terms, body, n, counts):
+        out = out.join(part, "run_id", "left")
+    sums = ("n_changes", "proposed", "accepted", "rejected", "n_events", "n_paragraphs")
+    audit = F.concat_ws("\n", *[F.concat(F.lit(label), F.coalesce(F.col(x), F.lit(0)).cast("string")) for label, x in zip(c["counts"], sums, strict=True)])
+    table = lambda heading, empty, rows: F.concat(F.lit(heading + "\n"), F.coalesce(F.col(rows), F.lit(empty)))
+    return out.select("run_id", F.concat_ws(
+        "\n\n", F.concat(F.lit("# "), T.escape_markdown(F.col("name")), F.lit(c["title"])), F.lit(c["speakers"]), table(c["speaker_table"], c["no_speaker"], "people"),
+        F.lit(c["terms"]), table(c["term_table"], c["no_term"], "terms"), F.lit(c["body"]), F.coalesce("body", F.lit(c["no_body"])), F.lit(c["audit"]), audit,
+    ).alias("markdown"))
+
+
 def wiki_pages(items: DataFrame, relations: DataFrame) -> DataFrame:
     """item_id, page: front matter, title, summary, body and links."""
     link = F.concat(F.lit("- "), "relation_type", F.lit(": [["), "target_id", F.lit("]]"))
