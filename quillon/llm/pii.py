@@ -7,6 +7,9 @@ not of its tokens. Dynamic programming over the island's token boundaries, with
 the boundaries and kinds of all entities together. Its weights are fitted by conditional likelihood on generated
 examples: shapes of each kind, and dates, prices, versions and serial numbers that are none.
 
+A candidate has at most 20 tokens and 256 characters and begins and ends where a word does, so the work is linear in the text,
+very long runs included.
+
 Spans of the rules always stay; spans of the model are added where they overlap none of them.
 
 Defined results: a null text counts as empty and has no spans; positions are code points, ends exclusive; spans of
@@ -17,9 +20,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -94,8 +98,10 @@ def rule_spans(text: str) -> list[Span]:
 
 _AT = r"(?:[\[({]\s?at\s?[\])}])"
 _DOT = r"(?:[\[({]\s?dot\s?[\])}])"
-_TELLING = rf"(?:[^\s]*[0-9@][^\s]*|{_AT}|{_DOT})"
-_ISLAND = re.compile(rf"(?:[A-Za-z0-9._%+-]+ ?(?={_AT}))?{_TELLING}(?:[  ]{_TELLING}|(?<=[\])}}]) ?[A-Za-z0-9.-]+)*")
+_SIGN = re.compile(rf"{_AT}|{_DOT}")
+_MARK = re.compile(rf"{_AT}|{_DOT}|[0-9@]")
+_RUN = re.compile(r"\S+")
+_NAME = re.compile(r" ?[A-Za-z0-9.-]+")
 _TOKEN = re.compile(rf"{_AT}|{_DOT}|[0-9]+|[A-Za-z]+|\s|.", re.S)
 _GROUP = re.compile(r"[0-9]+")
 _ADDRESS = re.compile(rf"^[A-Za-z0-9._%+-]+ ?(?:@|{_AT}) ?[A-Za-z0-9-]+(?: ?(?:\.|{_DOT}) ?[A-Za-z0-9-]+)+$")
@@ -106,19 +112,63 @@ _CUES = {
     "card": re.compile(r"(?i)(?:card|visa|mastercard|amex|carte|karte|tarjeta)\W*$"),
     "phone": re.compile(r"(?i)(?:phone|tel|call|mobile|fax|cell|telefon)\W*$"),
 }
-N_FEATURES = 30
-
-
-def span_features(text: str, start: int, end: int) -> np.ndarray:
-    span = text[start:end]
+N_FEATURES = 32
+
+
+def islands(text: str) -> Iterator[tuple[int, int]]:
+    """Where entities may stand: words with a digit or an at sign and spelled-out signs, one space apart, with the names around signs.
+
+    Every step goes on from a mark, back to the end of the island before at most and forward over what the island takes, so
+    the time is linear in the text.
+    """
+    done, mark = 0, _MARK.search(text)
+    while mark:
+        start, end = mark.span()
+        if end - start > 1:  # a sign: the name before it
+            name = start - 1 if start > done and text[start - 1] == " " else start
+            while name > done and text[name - 1] in _LOCAL:
+                name -= 1
+            start = name if text[name : name + 1] in _LOCAL else start
+        else:
+            while start > done and not text[start - 1].isspace():
+                start -= 1
+            end = _RUN.match(text, start).end()
+        while end < len(text):
+            if text[end] in " \u00a0":
+                if sign := _SIGN.match(text, end + 1):
+                    end = sign.end()
+                    continue
+                run = _RUN.match(text, end + 1)
+                if run and _MARK.search(text, *run.span()):
+                    end = run.end()
+                    continue
+            elif sign := _SIGN.match(text, end):
+                end = sign.end()
+                continue
+            if text[end - 1] in "])}" and (name := _NAME.match(text, end)):
+                end = name.end()
+                continue
+            break
+        yield start, end
+        done = end
+        mark = _MARK.search(text, end)
+
+
+
+def span_features(text: str, start: int, end: int) -> tuple[float, ...]:
+    return _features(text[start:end], text[max(0, start - 16) : start], text[end : end + 2])
+
+
+@lru_cache(maxsize=65_536)
+def _features(span: str, left: str, right: str) -> tuple[float, ...]:
+    """Of a span, the 16 characters before it and the two after it."""
     groups = _GROUP.findall(span)
     sizes = tuple(len(g) for g in groups)
     digits = "".join(groups)
     n = len(digits)
     letters = sum(c.isalpha() for c in span)
     separators = {c for c in span if not c.isalnum()}
-    before, after = text[start - 1 : start], text[end : end + 1]
-    left = text[max(0, start - 16) : start]
+    before, after = left[-1:], right[:1]
     address = bool(_ADDRESS.match(span))
     quads = len(sizes) == 4 and span.count(".") == 3 and letters == 0
     f = [
@@ -147,13 +197,15 @@ def span_features(text: str, start: int, end: int) -> np.ndarray:
         bool(separators - set("()+-. ")) and not address,
         span.startswith("00"),
         before.isalnum() or (before != "" and before in "+.-/_@"),
-        after.isalnum() or (after != "" and after in "/_@" or (after in "-." and text[end + 1 : end + 2].isalnum())),
+        after.isalnum() or (after != "" and after in "/_@" or (after in "-." and right[1:].isalnum())),
+        before == " " and left[-2:-1].isdigit(),
+        after == " " and right[1:].isdigit(),
         bool(_CUES["email"].search(left)),
         bool(_CUES["ip"].search(left)),
         bool(_CUES["card"].search(left)),
         bool(_CUES["phone"].search(left)),
     ]
-    return np.array(f, dtype=np.float64)
+    return tuple(map(float, f))
 
 
 @dataclass
@@ -167,28 +219,36 @@ class Lattice:
     outside: np.ndarray  # for each token: (1, it holds a digit, an at sign)
 
 
+#: Characters that a candidate span has at most.
+WIDEST = 256
+
+
 def lattice(text: str, start: int, end: int, longest: int) -> Lattice:
+    """Candidates have at most ``longest`` tokens and ``WIDEST`` characters, and begin and end where a word does."""
     tokens = [m.span() for m in _TOKEN.finditer(text, start, end)]
     kinds = [text[a:b] for a, b in tokens]
-    telling = [t[0].isdigit() * len(t) for t in kinds]
-    signs = [t == "@" or (len(t) > 2 and t[0] in "[({") for t in kinds]
+    digits, signs = [0], [0]
+    for t in kinds:
+        digits.append(digits[-1] + t[0].isdigit() * len(t))
+        signs.append(signs[-1] + (t == "@" or (len(t) > 2 and t[0] in "[({")))
+    opens = [
+        (t[0].isalnum() and not (a > 0 and text[a - 1].isalnum())) or t[0] in "+(" for t, (a, _) in zip(kinds, tokens, strict=True)
+    ]
     edges, places, rows = [], [], []
     for j in range(1, len(tokens) + 1):
-        last = kinds[j - 1]
-        if not last[-1].isalnum():
+        b = tokens[j - 1][1]
+        if not kinds[j - 1][-1].isalnum() or (b < len(text) and text[b].isalnum()):
             continue
-        digits, sign = 0, False
         for i in range(j - 1, max(-1, j - 1 - longest), -1):
-            digits += telling[i]
-            sign = sign or signs[i]
-            first = kinds[i][0]
-            if (digits >= 7 or sign) and (first.isalnum() or first in "+("):
-                a, b = tokens[i][0], tokens[j - 1][1]
+            a = tokens[i][0]
+            if b - a > WIDEST:
+                break
+            if opens[i] and (digits[j] - digits[i] >= 7 or signs[j] > signs[i]):
                 edges.append((i, j))
                 places.append((a, b))
                 rows.append(span_features(text, a, b))
-    outside = np.array([(1.0, t > 0, s) for t, s in zip(telling, signs, strict=True)]).reshape(-1, 3)
-    return Lattice(len(tokens), edges, places, np.array(rows).reshape(-1, N_FEATURES), outside)
+    outside = np.array([(1.0, y > x, q > p) for x, y, p, q in zip(digits, digits[1:], signs, signs[1:], strict=False)], dtype=np.float64).reshape(-1, 3)
+    return Lattice(len(tokens), edges, places, np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES), outside)
 
 
 @dataclass(frozen=True)
@@ -326,8 +386,8 @@ def examples(options: PiiOptions) -> list[tuple[Lattice, dict[tuple[int, int], i
         cue = _CUE_WORDS[kind] + " " if kind and r.random() < 0.3 else "word "
         text = f"{cue}{piece}{r.choice([' end', '. End', ', end', ''])}"
         start = len(cue)
-        for m in _ISLAND.finditer(text):
-            x = lattice(text, *m.span(), options.longest)
+        for island in islands(text):
+            x = lattice(text, *island, options.longest)
             place = (start, start + len(piece))
             out.append((x, {place: KINDS.index(kind)} if kind and place in x.places else {}))
     return out
@@ -363,11 +423,18 @@ def all_spans(text: str, model: SemiCrf, longest: int) -> tuple[list[Span], list
     if not _HINT.search(text):
         return [], []
     base = rule_spans(text)
-    taken = sorted((a, b) for _, a, b in base)
+    taken: list[list[int]] = []  # what the rules cover, apart and in order
+    for _, a, b in sorted(base, key=lambda x: x[1:]):
+        if taken and a < taken[-1][1]:
+            taken[-1][1] = max(b, taken[-1][1])
+        else:
+            taken.append([a, b])
+    begins = [a for a, _ in taken]
     added = []
-    for m in _ISLAND.finditer(text):
-        for kind, a, b in model.decode(lattice(text, *m.span(), longest)):
-            if not any(x < b and a < y for x, y in taken):
+    for island in islands(text):
+        for kind, a, b in model.decode(lattice(text, *island, longest)):
+            i = bisect_left(begins, b)
+            if not i or taken[i - 1][1] <= a:
                 added.append((kind, a, b))
     return base, sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 

@@ -7,6 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from quillon.llm import pii
 from quillon.llm.pii import KINDS, fit, luhn, redact, rule_spans, span_report
 from quillon.llm.quality import drop_low_quality, score_quality
 from quillon.llm.toxicity import ToxicityOptions, toxicity
@@ -132,3 +133,57 @@ def test_model_adds_other_shapes_and_keeps_the_rules(spark):
 def test_fitting_is_repeatable():
     a, b = fit(), fit()
     assert (a.spans == b.spans).all() and (a.outside == b.outside).all()
+
+
+def test_whole_texts_take_linear_time():
+    import time
+
+    model = fit()
+    r = random.Random(1)
+    base64 = "".join(r.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(300_000))
+    for text in ("a" * 1_000_000 + "1", "1" * 1_000_000, "x" * 20_000 + "@", base64, "me@x.org " * 30_000, "(at) " * 50_000, "a (at) " * 50_000):
+        began = time.time()
+        pii.all_spans(text, model, 20)
+        assert time.time() - began < 20, text[:10]
+
+
+def test_decoding_is_the_best_of_all_segmentations():
+    model, r = fit(), random.Random(3)
+
+    def best(x, at):
+        """By trying every way to go on from a boundary."""
+        if at == x.n:
+            return 0.0
+        inside, outside = model.scores(x)
+        ways = [outside[at] + best(x, at + 1)]
+        ways += [inside[e].max() + best(x, j) for e, (i, j) in enumerate(x.edges) if i == at]
+        return max(ways)
+
+    for _ in range(40):
+        text = "".join(r.choice(["12", "345", "6789", "-", " ", ".", "(", ")", "+", "ab", "@"]) for _ in range(11))
+        for island in pii.islands(text):
+            x = pii.lattice(text, *island, 20)
+            if not x.edges:
+                continue
+            inside, outside = model.scores(x)
+            chosen = {(a, b): KINDS.index(k) for k, a, b in model.decode(x)}
+            covered, score = set(), 0.0
+            for e, place in enumerate(x.places):
+                if place in chosen:
+                    score += inside[e, chosen[place]]
+                    covered |= set(range(*x.edges[e]))
+            score += sum(outside[t] for t in range(x.n) if t not in covered)
+            assert score == pytest.approx(best(x, 0)), text
+
+
+def test_entities_drawn_anew():
+    """Entities and others drawn anew: how many are found whole, and how many others are left alone."""
+    model, r = fit(), random.Random(99)
+    found = {k: 0 for k in KINDS}
+    for k in KINDS:
+        for _ in range(200):
+            piece = pii._entity(r, k)
+            text = f"please see {piece} for more"
+            found[k] += (k, 11, 11 + len(piece)) in pii.all_spans(text, model, 20)[1]
+    left = sum(not pii.all_spans(f"please see {pii._other(r)} for more", model, 20)[1] for _ in range(600))
+    assert all(n >= 180 for n in found.values()) and left >= 570, (found, left)
