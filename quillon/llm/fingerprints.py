@@ -95,10 +95,13 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     here = F.struct(F.col("own").alias("bucket"), F.lit(False).alias("last"))
     before = F.struct(((F.col("own") + len(bounds) - 1) % len(bounds)).alias("bucket"), F.lit(True).alias("last"))
     opens = F.col("doc_id").isin(bounds) if len(bounds) <= 4096 else F.col("doc_id") == F.get(F.lit(bounds), "own")
+    opens = F.col("doc_id").isNull() | opens  # null ids come first of all: the last document's next is among them
     dealt = (
         rows.withColumns({"row_no": F.monotonically_increasing_id(), "own": _bucket(bounds)})
         .withColumn("to", F.explode(F.when(opens, F.array(here, before)).otherwise(F.array(here))))
-        .select("to.bucket", "to.last", "row_no", "doc_id", "text")
+        .select(F.col("to.bucket").cast("int").alias("bucket"), "to.last", "row_no", "doc_id", "text")
+        # A bucket is a partition: by hash, several would meet in one task.
+        .repartitionById(len(bounds), F.col("bucket").cast("int"))
     )
     return dealt.withColumn("next_text", F.lead("text").over(_along()))
 

@@ -182,3 +182,15 @@ def test_licence_phrases(spark):
         assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(","))) and 0 <= r.score <= 1
     assert got[23].labels == got[24].labels == "mit" and got[23].base_labels == "" and got[23].score == 1.0
     assert got[25].labels == "" and scan_licenses(empty(spark)).collect() == []
+
+
+def test_null_ids_come_first_and_follow_the_last(spark):
+    from quillon.llm.fingerprints import fingerprint_report
+
+    rows = [(3, "three little words here"), (None, "no id at all"), (1, "one"), (2, "two words"), (2, "two once more"), (None, None)]
+    got = fingerprint_report(documents(spark, rows)).collect()
+    alike = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 128
+    prints = {(r.doc_id, r.n_chars): r.fingerprint for r in got}
+    last = next(r for r in got if r.doc_id == 3)
+    assert len(got) == 6 and last.near_next == alike(last.fingerprint, prints[None, 12])
+    assert next(r for r in got if r.doc_id == 1).near_next == alike(prints[1, 3], prints[2, 9])
