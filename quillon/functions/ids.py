@@ -57,6 +57,11 @@ def proposal_fingerprint(*parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x00", *[F.coalesce(p, F.lit("")) for p in parts]), 256)
 
 
+def canonical_json(fields: Column) -> Column:
+    """A map as JSON with its keys in order, without white space: equal maps have equal texts."""
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(fields))))
+
+
 def content_hash(segments: Column) -> Column:
     """Of an array of structs (sequence, id, ...): ordered, without the ids, as canonical JSON."""
     ordered = F.array_sort(segments)

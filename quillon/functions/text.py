@@ -238,5 +238,31 @@ def numbers(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"([0-9]+(?:\.[0-9]+)?%?)"), 1)
 
 
+#: A number with its unit (fixed value).
+MEASURE = r"(?i)\d+(?:\.\d+)?\s*(?:%|％|倍|万|亿|GB|MB|ms|秒|分钟|小时|条|页)"
+
+
+def measures(text: Column) -> Column:
+    """Numbers with their units, as they are written."""
+    return F.regexp_extract_all(text, F.lit(MEASURE), F.lit(0))
+
+
+def bounded(text: Column, most: int) -> Column:
+    """empty, too_long or ok: what a question or title is, without the white space around it."""
+    inner = strip(F.coalesce(text, F.lit("")))
+    return F.when(inner == "", "empty").when(F.length(inner) > most, "too_long").otherwise("ok")
+
+
+def safe_url(url: Column) -> Column:
+    """An http or https address that may stand in a link, else null."""
+    return F.when(strip(url).rlike(r"(?i)^https?://[^\s<>\"']+$"), strip(url))
+
+
+def diagram_label(text: Column, most: int = 80) -> Column:
+    """A label of a diagram's node: one line, without quotes and brackets."""
+    plain = collapse(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\"\[\]{}|<>`]", " "))
+    return F.substring(plain, 1, most)
+
+
 def acronyms(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\b([A-Z][A-Z0-9]{1,})\b"), 1)

@@ -102,6 +102,23 @@ def page(rows: DataFrame, order: Sequence[Column], limit: int = 50, offset: int
     return rows.orderBy(*order).offset(max(0, offset)).limit(max(1, min(limit, most)))
 
 
+def newest(rows: DataFrame, by: Sequence[str], order: Sequence[Column], most: int) -> DataFrame:
+    """At most so many rows of each key, in order, with their rank: events, artifacts, annotations of one thing."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+def matching(rows: DataFrame, **wanted: object) -> DataFrame:
+    """Rows whose columns have the wanted values: one, or any of a list; None restricts nothing. Runs, jobs, edits and proposals
+    are listed by such filters and ``page``."""
+    for name, value in wanted.items():
+        if isinstance(value, (list, tuple, set)):
+            rows = rows.filter(F.col(name).isin(*value))
+        elif value is not None:
+            rows = rows.filter(F.col(name) == value)
+    return rows
+
+
 def public_url(url: Column) -> Column:
     """http or https, without credentials, not at a private or local address."""
     host = F.lower(F.regexp_extract(url, r"^https?://([^/:?#@]+)(?:[:/?#]|$)", 1))

@@ -111,6 +111,16 @@ def streaks(rows: DataFrame, by: list[str], order: list[str], key: str) -> DataF
     return begun.withColumn("streak", F.row_number().over(Window.partitionBy(*by, "__run").orderBy(*order))).drop("__begins", "__run")
 
 
+def order_errors(rows: DataFrame, by: list[str], seq: str = "seq") -> DataFrame:
+    """by, code, n of rows (by, seq, ordinal, start, end) whose ordinals don't grow by one, whose times go back, or that end before they begin."""
+    w = Window.partitionBy(*by).orderBy(seq)
+    found = F.array(
+        F.when(F.col("ordinal") != F.col("__before.ordinal") + 1, "ordinal"), F.when(F.col("start") < F.col("__before.start"), "time"), F.when(F.col("end") < F.col("start"), "length")
+    )
+    codes = rows.withColumn("__before", F.lag(F.struct("ordinal", "start")).over(w)).select(*by, F.explode(F.filter(found, lambda x: x.isNotNull())).alias("code"))
+    return codes.groupBy(*by, "code").agg(F.count(F.lit(1)).alias("n"))
+
+
 def timeline_checks(rows: DataFrame, by: list[str], order: list[str], jitter: float = 0.05, gap: float = 30.0) -> DataFrame:
     """Adds reversed, overlap_by (over 1) and gap_by (over `gap`) against the rows before; invalid rows have none."""
     valid = F.coalesce((F.col("start") >= 0) & (F.col("end") > F.col("start")), F.lit(False))

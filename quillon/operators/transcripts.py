@@ -175,12 +175,20 @@ def relevant_hit(query: Column, title: Column, snippet: Column) -> Column:
     """A hit shares an exact word of the query: three letters or more, not a generic one."""
     words = F.filter(F.regexp_extract_all(F.lower(query), F.lit(r"([a-z0-9][a-z0-9.+_-]{2,})"), 1), lambda x: ~x.isin(*GENERIC_WORDS))
     found = F.lower(F.concat_ws("\n", title, snippet))
-    return F.exists(words, lambda x: found.contains(x))
+    # Chinese words have no bounds: a part of the longest run must stand there, the whole of a short one.
+    runs = F.regexp_extract_all(query, F.lit(rf"([{T.CJK}]{{2,}})"), 1)
+    size = F.least(F.lit(4), F.greatest(F.lit(2), F.array_max(F.transform(runs, lambda r: F.length(r)))))
+    parts = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - size + 1, F.lit(1))), lambda i: F.substring(r, i, size))))
+    shared = F.exists(parts, lambda x: found.contains(x))
+    return F.when(F.size(words) > 0, F.exists(words, lambda x: found.contains(x))).otherwise(F.coalesce(shared, F.lit(False)))
 
 
 def ocr_summary(lines: DataFrame, low: float = 0.65) -> DataFrame:
-    """document_id, n_pages, n_lines, mean_confidence, min_confidence, n_low of OCR lines (document_id, page, text, confidence)."""
+    """document_id, n_pages, n_lines, mean_confidence, min_confidence, n_low of OCR lines (document_id, page, text, confidence), and the
+    distinct reasons for another reading, in order, where lines have a column reason."""
+    reasons = [F.sort_array(F.collect_set("reason")).alias("reasons")] if "reason" in lines.columns else []
     return lines.groupBy("document_id").agg(
+        *reasons,
         F.countDistinct("page").alias("n_pages"), F.count(F.lit(1)).alias("n_lines"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),
         F.round(F.min("confidence"), 6).alias("min_confidence"), F.count_if(F.col("confidence") < low).alias("n_low"),
     )
@@ -201,6 +209,17 @@ def complex_layout(lines: DataFrame) -> DataFrame:
     return rows.groupBy(*by).agg((F.bool_or(F.col("text").rlike(LAYOUT_SIGNS)) | both).alias("complex"))
 
 
+def reading_route(pages: DataFrame, layouts: DataFrame, low: float = 0.65) -> DataFrame:
+    """document_id, page, reader, reasons of pages (document_id, page, n_lines, confidence): the baseline reading stays unless it is empty, unsure,
+    or the layout (document_id, page, complex) is too much for it."""
+    rows = pages.join(layouts, ["document_id", "page"], "left")
+    doubts = F.array(
+        F.when(F.coalesce("n_lines", F.lit(0)) == 0, "no_text"), F.when(F.col("confidence") < low, "low_confidence"), F.when(F.coalesce("complex", F.lit(False)), "complex_layout")
+    )
+    reasons = F.filter(doubts, lambda x: x.isNotNull())
+    return rows.select("document_id", "page", F.when(F.size(reasons) > 0, "escalated").otherwise("baseline").alias("reader"), F.array_join(reasons, ",").alias("reasons"))
+
+
 def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.dropDuplicates(["document_id", "page", "text", "left", "right", "top", "bottom"])
 

@@ -246,3 +246,53 @@ def hot_words(values: Column, most: int = 200, longest: int = 128) -> Column:
     lows = F.transform(filled, lambda v: F.lower(v))
     first = F.filter(F.arrays_zip(filled.alias("v"), F.transform(lows, lambda v, i: F.array_position(lows, v) == i + 1).alias("f")), lambda x: x["f"])
     return F.slice(F.transform(first, lambda x: x["v"]), 1, most)
+
+
+def list_chunks(chunks: DataFrame, references: DataFrame, documents: DataFrame) -> DataFrame:
+    """document_id, ordinal, chunk_id, title, page_number, text_start of chunks, in the document's order, with their reference where there is one."""
+    titled = chunks.join(documents.select("document_id", "title"), "document_id")
+    return titled.join(references.select("chunk_id", "page_number", "text_start"), "chunk_id", "left").select("document_id", "ordinal", "chunk_id", "title", "page_number", "text_start")
+
+
+def integrity(documents: DataFrame, chunks: DataFrame, references: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row: how many documents and chunks there are, chunks of no document, without a reference or a vector, vectors of no chunk,
+    and documents without chunks."""
+    n = lambda df, name: df.agg(F.count(F.lit(1)).alias(name))
+    parts = [
+        n(documents, "n_documents"), n(chunks, "n_chunks"), n(chunks.join(documents, "document_id", "left_anti"), "orphan_chunks"),
+        n(chunks.join(references, "chunk_id", "left_anti"), "missing_references"), n(chunks.join(vectors, "chunk_id", "left_anti"), "missing_vectors"),
+        n(vectors.join(chunks, "chunk_id", "left_anti"), "orphan_vectors"), n(documents.join(chunks, "document_id", "left_anti"), "empty_documents"),
+    ]
+    out = parts[0]
+    for one in parts[1:]:
+        out = out.crossJoin(one)  # one row each
+    return out
+
+
+def issue_chunks(issues: DataFrame, cores: DataFrame) -> DataFrame:
+    """run_id, issue_id, ordinal: the correction cores whose context (run_id, ordinal, context_first, context_last) holds an issue's row
+    (run_id, issue_id, position). Contexts are unnested, so the join is by equality."""
+    held = cores.select("run_id", "ordinal", F.explode(F.sequence("context_first", "context_last")).alias("position"))
+    return issues.join(held, ["run_id", "position"]).select("run_id", "issue_id", "ordinal")
+
+
+def upsert_documents(documents: DataFrame, incoming: DataFrame, items: DataFrame, assessments: DataFrame) -> Tables:
+    """documents, items and assessments after an upsert of incoming (document_id, title, summary, score).
+
+    A null summary keeps the stored one. A new document gets a managed source item and an assessment whose score, out of 100, is
+    clamped to 0 to 1; an item written by hand, and an older assessment, stay.
+    """
+    a, b = documents.alias("a"), incoming.alias("b")
+    merged = a.join(b, F.col("a.document_id") == F.col("b.document_id"), "full_outer").select(
+        F.coalesce("a.document_id", "b.document_id").alias("document_id"), F.coalesce("b.title", "a.title").alias("title"), F.coalesce("b.summary", "a.summary").alias("summary")
+    )
+    managed = incoming.select(
+        F.concat(F.lit("kg:document:"), "document_id").alias("item_id"), "document_id", F.lit("source").alias("item_type"), "title", F.lit("documents").alias("managed_from")
+    )
+    known = items.filter("managed_from = 'documents'").select("document_id")
+    fresh = managed.join(known, "document_id", "left_anti").select(items.columns)
+    renamed = rename({"items": items.filter("managed_from = 'documents'")}, incoming.select("document_id", "title"))["items"]
+    kept = items.filter("coalesce(managed_from, '') <> 'documents'")
+    rated = incoming.filter("score IS NOT NULL").select("document_id", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("score") / 100)).alias("completeness"))
+    new = rated.join(assessments.select("document_id"), "document_id", "left_anti")
+    return {"documents": merged, "items": kept.unionByName(renamed).unionByName(fresh), "assessments": assessments.unionByName(new.select(assessments.columns))}

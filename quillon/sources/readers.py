@@ -265,6 +265,60 @@ def golden_cases(read: DataFrame) -> DataFrame:
     )
 
 
+def package_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """package_id, title, updated_at, path of the manifests below a folder, the newest first."""
+    read = spark.read.schema("package_id string, title string, updated_at string").option("multiLine", True).json(f"{path}/*/manifest.json")
+    return read.withColumn("path", F.input_file_name()).orderBy(F.desc("updated_at"), "package_id")
+
+
+#: Which reader takes a file, by suffix (fixed values); other files are text.
+READERS = {"vtt": "subtitles", "srt": "subtitles", "html": "web", "htm": "web", "md": "notes", "markdown": "notes"}
+
+
+def load_documents(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+    """document_id, title, media_type, text of the files below a folder, each read as its suffix says."""
+    files = text_files(spark, path, glob)
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    reader = F.lit("text")
+    for name, kind in READERS.items():
+        reader = F.when(suffix == name, kind).otherwise(reader)
+    files = files.withColumn("reader", reader)
+    name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    plain = files.filter("reader = 'text'").select("path", name.alias("title"), F.lit("text").alias("media_type"), "text")
+    pages = web_pages(files.filter("reader = 'web'").select(F.col("path").alias("page_id"), F.col("path").alias("url"), F.col("text").alias("html")))
+    pages = pages.select(F.col("url").alias("path"), F.coalesce(T.blank_to_null(F.col("title")), F.regexp_extract("url", r"([^/]+?)(?:\.[^./]*)?$", 1)).alias("title"), F.lit("web").alias("media_type"), "text")
+    written = notes(files.filter("reader = 'notes'").select(F.lit(path).alias("root"), F.col("path").alias("relative"), "text"))
+    written = written.select(F.col("relative").alias("path"), "title", F.lit("text").alias("media_type"), F.col("body").alias("text"))
+    cues = subtitle_cues(files.filter("reader = 'subtitles'").select(F.col("path").alias("file_id"), "text")).groupBy("file_id").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "text"))), lambda x: x["text"]), "\n").alias("text")
+    )
+    cues = cues.select(F.col("file_id").alias("path"), F.regexp_extract("file_id", r"([^/]+?)(?:\.[^./]*)?$", 1).alias("title"), F.lit("transcript").alias("media_type"), "text")
+    rows = plain.unionByName(pages).unionByName(written).unionByName(cues)
+    return rows.select(ids.document_id(ids.file_source_id(F.col("path"))).alias("document_id"), "title", "media_type", "text", "path")
+
+
+#: Signs of a page that asks for a proof instead of showing its content (fixed values).
+CHALLENGES = ("captcha", "verify you are human", "access denied", "环境异常", "完成验证")
+
+
+def decoded_pages(raw: DataFrame) -> DataFrame:
+    """page_id, url, html of downloads (page_id, url, content, content_type): decoded by the charset that the header or the page names, at
+    most 15 MB; pages that are a challenge are left out."""
+    named = F.lower(F.regexp_extract(F.coalesce("content_type", F.lit("")), r"(?i)charset=[\"']?([A-Za-z0-9_-]+)", 1))
+    head = F.decode(F.substring("content", 1, 2048), "ISO-8859-1")
+    inside = F.lower(F.regexp_extract(head, r"(?i)charset=[\"']?([A-Za-z0-9_-]+)", 1))
+    charset = F.coalesce(T.blank_to_null(named), T.blank_to_null(inside), F.lit("utf-8"))
+    known = {"iso-8859-1": "ISO-8859-1", "latin-1": "ISO-8859-1", "windows-1252": "ISO-8859-1", "us-ascii": "US-ASCII", "utf-16": "UTF-16", "utf-16le": "UTF-16LE", "utf-16be": "UTF-16BE"}
+    html = F.try_validate_utf8(F.col("content").cast("string"))
+    for name, charset_name in known.items():
+        html = F.when(charset == name, F.decode("content", charset_name)).otherwise(html)
+    rows = raw.filter(F.octet_length("content") <= 15 << 20).select("page_id", "url", F.coalesce(html, F.decode("content", "ISO-8859-1")).alias("html"))
+    asks = F.lit(False)
+    for sign in CHALLENGES:
+        asks = asks | F.lower("html").contains(sign)
+    return rows.filter(~(asks & (F.length("html") < 20_000)))
+
+
 def packages(files: DataFrame) -> DataFrame:
     """package_id, stem, members of files that belong together by their normalised name."""
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]*)?$", 1)

@@ -32,6 +32,18 @@ def transcript_markdown(segments: DataFrame, by: list[str]) -> DataFrame:
     return _in_order(segments, by, "ordinal", line, "\n\n", "markdown")
 
 
+def transcript_text(segments: DataFrame, by: list[str]) -> DataFrame:
+    """by, text: a line for each segment, with its speaker where one is known."""
+    who = T.blank_to_null(F.col("speaker_id"))
+    return _in_order(segments, by, "ordinal", F.concat_ws(": ", who, "text"), "\n", "text")
+
+
+def transcript_json(segments: DataFrame, by: list[str]) -> DataFrame:
+    """by, json: the segments as an array, in order."""
+    rows = F.array_sort(F.collect_list(F.struct("ordinal", "start_ms", "end_ms", "speaker_id", "text")))
+    return segments.groupBy(*by).agg(F.to_json(rows).alias("json"))
+
+
 def conversation_markdown(messages: DataFrame) -> DataFrame:
     line = F.concat(F.lit("## "), F.initcap("role"), F.lit("\n\n"), F.trim("text"))
     return _in_order(messages, ["conv_id"], "turn", line, "\n\n", "markdown")
