@@ -392,8 +392,7 @@ PRIVATE_SQL = r"""p AS (SELECT path, regexp_matches(content, '(^|[^A-Z0-9])(AKIA
 
 @query("rul_06_share_status", f"WITH {DOCS}, {PRIVATE_SQL} SELECT path, CASE WHEN hit THEN 'blocked' ELSE 'clean' END AS status FROM p")
 def share_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = documents(spark, sf_dir).select("path", F.col("content").alias("text"))
-    return rules.share_status(files, rules.private_findings(files))
+    return rules.text_status(documents(spark, sf_dir).select("path", F.col("content").alias("text")))
 
 
 @query(
