@@ -6,14 +6,14 @@ of passage_words + window - 1 words or more share a chosen run of it, wherever i
 128-bit digest over the whole table: a digest's first place, by (doc_id, byte), is the original. Chosen runs that follow
 each other in a text and stand elsewhere too are joined to passages; those places that aren't originals can be cut out.
 Words are compared as they are written, whatever white space separates them. A passage may reach up to window - 1 words
-further on either side than what is reported.
+further on either side than what is reported. Passages shorter than a run, such as a line of a license, are never reported.
 
 A digest's places are only counted and compared for the smallest, never gathered, so a passage that very many
 documents share costs no more than as many different ones.
 
 Defined results: a null text counts as empty; texts of fewer words than a run have no passages; a run that repeats within one text
 counts as repeated; rows that repeat a doc_id with the same text are one document and keep it, with different texts
-they are told apart by a hash of the text; an empty table gives an empty result; ``repeated_passages`` ignores other columns, ``cut_repeats`` carries them.
+they are told apart by a 64-bit hash of the text; an empty table gives an empty result; ``repeated_passages`` ignores other columns, ``cut_repeats`` carries them.
 """
 
 from __future__ import annotations
@@ -35,8 +35,8 @@ class ChunkOptions:
     shortest: int = 24  # bytes
     longest: int = 160
     mask_bits: int = 5  # a chunk's expected length is shortest + 2 ** mask_bits
-    passage_words: int = 20  # that a run has
-    window: int = 20  # at most passage_words: neighbouring runs touch
+    passage_words: int = 36  # that a run has: shorter passages are never reported
+    window: int = 15  # at most passage_words: neighbouring runs touch; passages of 36 + 15 - 1 = 50 words are always found
 
 
 _GEAR = (constants(256, 41) >> np.uint64(48)).astype(np.uint16)
@@ -98,7 +98,7 @@ _PLACES = constants(128, 43).reshape(2, 64)
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, *range(0x09, 0x0E)]] = True
 
-CHUNKS = "doc_id long, tag int, nth int, start int, size int, word int, again boolean, d1 long, d2 long"
+CHUNKS = "doc_id long, tag long, nth int, start int, size int, word int, again boolean, d1 long, d2 long"
 
 
 def chunks(rows: DataFrame, options: ChunkOptions) -> DataFrame:
@@ -143,7 +143,7 @@ def chunks(rows: DataFrame, options: ChunkOptions) -> DataFrame:
 
 #: Tells texts apart that share a doc_id.
 def _tag(column: str = "text") -> Column:
-    return F.pmod(F.xxhash64(text_of(column)), F.lit(1 << 16)).cast("int")
+    return F.xxhash64(text_of(column))
 
 
 def repeated_passages(docs: DataFrame, options: ChunkOptions = ChunkOptions()) -> DataFrame:

@@ -104,6 +104,4 @@ WITH d AS (
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
-    "op5_license_scan": "",
 }
-ORACLE_SQL = {k: v for k, v in ORACLE_SQL.items() if v}

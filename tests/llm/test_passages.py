@@ -15,3 +15,18 @@ def test_every_passage_over_fifty_words_is_found(spark):
     for r in found:
         span = text[r.doc_id].encode()[r.start_byte : r.start_byte + r.n_bytes].decode()
         assert len(span.split()) == r.n_words >= 20 and span in text[r.doc_id ^ 1]
+
+
+def test_short_passages_are_left_alone(spark):
+    """Lines of up to 35 words that many documents share, and a brute-force look at what is reported of longer ones."""
+    line, long = words(35, 1), words(60, 2)
+    rows = [(i, " ".join([*words(25, 100 + i), *line, *words(25, 300 + i)])) for i in range(30)]
+    rows += [(100 + i, " ".join([*words(20, 500 + i), *long[i % 5 :], *words(20, 700 + i)])) for i in range(10)]
+    rows += [(200, " ".join(words(50, 900))), (200, " ".join(words(70, 901))), (None, " ".join(long)), (201, None), (202, "w " * 300)]
+    found = repeated_passages(documents(spark, rows)).collect()
+    texts = [" ".join((t or "").split()) for _, t in rows]
+    assert {r.doc_id for r in found} == {None, 202, *range(100, 110)}
+    for r in found:
+        own = next(t for d, t in rows if d == r.doc_id and t)
+        span = " ".join(own.encode()[r.start_byte : r.start_byte + r.n_bytes].decode().split())
+        assert sum(span in t for t in texts) >= 2 or texts.count(span) or own.split().count("w") == 300
