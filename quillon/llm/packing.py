@@ -38,6 +38,7 @@ class PackOptions:
     length: int = 4096
     open_bins: int = 512
     shard_sequences: int = 8192
+    shard_rows: int = 500_000
 
 
 #: Spellings whose ids a worker remembers in each of two generations; when the younger is full, it becomes the older.
@@ -173,8 +174,9 @@ def best_fit(lengths: list[int], capacity: int, open_bins: int) -> list[tuple[in
 def pack(docs: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:
     """Every piece with sequence_id and offset."""
     cut = materialise(pieces(docs, options), "pieces")
-    total = cut.agg(F.sum("length")).first()[0] or 0
-    shards = max(1, -(-total // (options.length * options.shard_sequences)))
+    total, rows = cut.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count(F.lit(1))).first()
+    # A shard is bounded by its tokens and, where documents are tiny, by its rows.
+    shards = max(1, -(-total // (options.length * options.shard_sequences)), -(-rows // options.shard_rows))
     capacity, open_bins = options.length, options.open_bins
 
     def fill(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -186,7 +188,8 @@ def pack(docs: DataFrame, options: PackOptions = PackOptions()) -> DataFrame:
         group["offset"] = where[:, 1]
         return group.drop(columns=["shard", "mixed"])
 
-    mixed = F.xxhash64(F.col("doc_id"), F.col("piece"))
+    # The row's number in the written table sets rows apart that repeat a doc_id.
+    mixed = F.xxhash64(F.col("doc_id"), F.col("piece"), F.monotonically_increasing_id())
     return (
         cut.withColumn("mixed", mixed)
         .withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "mixed"), F.lit(shards)))
