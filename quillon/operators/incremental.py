@@ -21,6 +21,32 @@ def classify(old: DataFrame, new: DataFrame, keys: Sequence[str], compare: Seque
     return a.join(b, list(keys), "full_outer").select(*keys, status.alias("status"))
 
 
+def folder_diff(old: DataFrame, new: DataFrame) -> DataFrame:
+    """relative, status of files (relative, size, mtime): changed (new ones, too), removed or unchanged."""
+    found = classify(old, new, ["relative"], ["size", "mtime"])
+    names = F.when(F.col("status") == "deleted", "removed").when(F.col("status") == "unchanged", "unchanged").otherwise("changed")
+    return found.select("relative", names.alias("status"))
+
+
+def same_state(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], scalars: Sequence[str], facets: Sequence[str]) -> DataFrame:
+    """keys, same: whether all scalars are equal, nulls included, and all facets (arrays) hold the same values in any order."""
+    plain = lambda df: df.select(*keys, *scalars, *[F.array_sort(F.array_distinct(F.coalesce(F.col(f), F.array().cast("array<string>")))).alias(f) for f in facets])
+    found = classify(plain(stored), plain(incoming), keys, [*scalars, *facets])
+    return found.select(*keys, (F.col("status") == "unchanged").alias("same"))
+
+
+def vault_plan(stored: DataFrame, scanned: DataFrame, errors: DataFrame) -> DataFrame:
+    """relative, action of notes (relative, content_hash): create, update, keep or delete. After a scan with errors nothing is deleted: what it
+    didn't see may still be there."""
+    broken = errors.agg((F.count(F.lit(1)) > 0).alias("broken"))
+    found = classify(stored, scanned, ["relative"], ["content_hash"]).crossJoin(broken)
+    action = (
+        F.when(F.col("status") == "deleted", F.when(F.col("broken"), "keep").otherwise("delete")).when(F.col("status") == "created", "create")
+        .when(F.col("status") == "updated", "update").otherwise("keep")
+    )
+    return found.select("relative", action.alias("action"))
+
+
 def index_report(changes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts by status; created and updated chunks need embedding."""
     n = lambda *s: F.count_if(F.col("status").isin(*s))

@@ -105,15 +105,33 @@ def supporting_edges(decided: DataFrame, sources: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class AnswerContract:
-    """Fields that an answer and its corrections have, no more and no fewer (fixed values)."""
+    """Version, and fields that an answer and its corrections have, no more and no fewer (fixed values)."""
 
-    version: str = "1.0"
-    fields: tuple[str, ...] = ("chapters", "chunk_id", "corrections", "entities", "knowledge_cards", "reviewed_segment_ids", "schema_version")
-    correction: tuple[str, ...] = ("confidence", "corrected_text", "evidence", "segment_id")
+    version: str = "deep-correction-response-v2"
+    fields: tuple[str, ...] = ("schema_version", "chunk_id", "reviewed_segment_ids", "corrections", "chapters", "knowledge_cards", "entities")
+    correction: tuple[str, ...] = ("segment_id", "corrected_text", "reason", "confidence", "uncertain", "evidence")
 
 
-CORRECTION = "struct<segment_id:string,corrected_text:string,confidence:double,evidence:array<struct<type:string,quote:string>>>"
+#: Quotes that stand for a whole text (fixed values).
+WHOLE_SEGMENT, WHOLE_RERECOGNITION = "__FULL_SEGMENT__", "__FULL_RERECOGNITION__"
+EVIDENCE = "struct<kind:string,segment_id:string,evidence_id:string,url:string,quote:string>"
+CORRECTION = f"struct<segment_id:string,corrected_text:string,reason:string,confidence:double,uncertain:boolean,evidence:array<{EVIDENCE}>>"
 ANSWER = f"schema_version string, chunk_id string, reviewed_segment_ids array<string>, corrections array<{CORRECTION}>"
+#: Columns that answers may lack, and what counts for them.
+OPTIONAL = {
+    "context_ids": "array<string>", "rerecognition": "string", "glossary": "array<string>", "web": "array<struct<evidence_id:string,url:string,snippet:string>>",
+}
+
+
+def _read(answers: DataFrame) -> DataFrame:
+    """answers with `a`, the answer as it is read, and `own`, its corrections without those of segments that only overlap."""
+    for name, kind in OPTIONAL.items():
+        if name not in answers.columns:
+            answers = answers.withColumn(name, F.lit(None).cast(kind))
+    read = answers.withColumn("a", F.from_json("payload", ANSWER))
+    corrections = F.coalesce("a.corrections", F.array().cast(f"array<{CORRECTION}>"))
+    overlap = F.array_except(F.coalesce("context_ids", F.array().cast("array<string>")), "core_ids")
+    return read.withColumn("own", F.filter(corrections, lambda c: ~F.coalesce(F.array_contains(overlap, c["segment_id"]), F.lit(False))))
 
 
 def _same(keys: Column, wanted: tuple[str, ...]) -> Column:
@@ -124,18 +142,32 @@ def answer_errors(answers: DataFrame, contract: AnswerContract = AnswerContract(
     """answer_id, code of answers (answer_id, payload, chunk_id, core_ids, source_text: map of segment id to text).
 
     An answer without errors may be applied: exact fields, all core segments reviewed in order, corrections of core segments
-    only, none twice, confidence from 0 to 1, and every quote verbatim in its segment.
+    only, none twice, confidence from 0 to 1, and evidence for each: quotes verbatim in the segment, the second recognition or
+    the glossary, or a snippet of the web that was given under that id and address. Corrections of segments that only overlap
+    (context_ids) aren't applied and aren't errors. Optional columns: context_ids, rerecognition, glossary, web.
     """
     raw = F.col("payload")
     item_keys = F.transform(F.from_json(F.get_json_object(raw, "$.corrections"), "array<string>"), lambda x: F.json_object_keys(x))
-    read = answers.withColumns({"a": F.from_json(raw, ANSWER), "keys": F.json_object_keys(raw), "item_keys": item_keys})
-    corrections = F.coalesce("a.corrections", F.array().cast(f"array<{CORRECTION}>"))
+    read = _read(answers).withColumns({"keys": F.json_object_keys(raw), "item_keys": item_keys})
+    corrections = F.col("own")
     touched = F.transform(corrections, lambda c: c["segment_id"])
     number = F.size(corrections)
 
+    def proven(c: Column, e: Column) -> Column:
+        quote = e["quote"]
+        text = F.col("source_text")[F.coalesce(e["segment_id"], c["segment_id"])]
+        held = lambda whole, inside: (quote == whole) | inside.contains(quote)
+        low = F.transform("glossary", lambda g: F.lower(g))
+        return F.coalesce(F.trim(quote) != "", F.lit(False)) & F.coalesce(
+            F.when(e["kind"].isin("source", "context"), held(WHOLE_SEGMENT, text) & text.isNotNull())
+            .when(e["kind"] == "rerecognition", held(WHOLE_RERECOGNITION, F.col("rerecognition")) & (e["segment_id"] == c["segment_id"]) & F.col("rerecognition").isNotNull())
+            .when(e["kind"] == "glossary", F.array_contains(low, F.lower(quote)))
+            .when(e["kind"] == "web", F.exists("web", lambda w: (w["evidence_id"] == e["evidence_id"]) & (w["url"] == e["url"]) & w["snippet"].contains(quote))),
+            F.lit(False),
+        )
+
     def quoted(c: Column) -> Column:
-        text = F.col("source_text")[c["segment_id"]]
-        return (F.size(c["evidence"]) > 0) & F.forall(c["evidence"], lambda e: text.contains(e["quote"]) & (F.trim(e["quote"]) != ""))
+        return (F.size(c["evidence"]) > 0) & F.forall(c["evidence"], lambda e: proven(c, e))
 
     ok = lambda c: F.coalesce(c, F.lit(False))
     readable = F.col("keys").isNotNull() & ~raw.contains("```")
@@ -147,10 +179,17 @@ def answer_errors(answers: DataFrame, contract: AnswerContract = AnswerContract(
             Rule("wrong_fields", "error", readable & ~ok(_same(F.col("keys"), contract.fields))),
             Rule("wrong_chunk", "error", readable & ~ok((F.col("a.schema_version") == contract.version) & (F.col("a.chunk_id") == F.col("chunk_id")))),
             Rule("not_all_reviewed", "error", readable & ~ok(F.col("a.reviewed_segment_ids") == F.col("core_ids"))),
-            Rule("wrong_correction_fields", "error", readable & (number > 0) & ~ok(F.forall("item_keys", lambda k: _same(k, contract.correction)))),
+            Rule("wrong_correction_fields", "error", readable & (F.size("item_keys") > 0) & ~ok(F.forall("item_keys", lambda k: _same(k, contract.correction)))),
             Rule("unknown_segment", "error", readable & ~ok(F.size(F.array_except(touched, "core_ids")) == 0)),
             Rule("corrected_twice", "error", readable & (F.size(F.array_distinct(touched)) < number)),
             Rule("confidence_out_of_range", "error", readable & ~ok(F.forall(corrections, lambda c: c["confidence"].between(0.0, 1.0)))),
             Rule("quote_not_verbatim", "error", readable & ~ok(F.forall(corrections, quoted))),
         ],
     ).select("answer_id", "code")
+
+
+def usable_corrections(answers: DataFrame, contract: AnswerContract = AnswerContract()) -> DataFrame:
+    """answer_id, segment_id, corrected_text, confidence, uncertain of the corrections of answers without errors."""
+    sound = answers.join(answer_errors(answers, contract).select("answer_id").distinct(), "answer_id", "left_anti")
+    each = _read(sound).select("answer_id", F.explode("own").alias("c"))
+    return each.select("answer_id", "c.segment_id", "c.corrected_text", "c.confidence", "c.uncertain")

@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from quillon.functions import ids
 from quillon.functions import moments as M
 from quillon.functions import text as T
-from quillon.operators import filters, grouping, intervals, proposals, qa, retrieval, rules, transcripts, upkeep
+from quillon.operators import filters, grouping, incremental, intervals, proposals, qa, retrieval, rules, transcripts, upkeep
 from quillon.plans.catalog import query
 from quillon.plans.tables import DOCS, EVENTS, documents, events, messages, table
-from quillon.plans.timeline import _fold_sql, _segments
+from quillon.plans.timeline import JOBS, _fold_sql, _segments, _states
 from quillon.sources import readers, sinks
+from quillon.streaming import jobs
 
 
 @query("str_03_safe_stems", r"SELECT doc_id, trim(regexp_replace(source || ' / ' || lang || '?' || doc_id || '..', '[^\p{L}\p{N}_.-]+', '-', 'g'), '-._ ') AS stem FROM documents")
@@ -387,3 +388,71 @@ def finding_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(i == 0, "one\npassword:\nlongsecret1 x\nsecret = abcdefgh9").when(i == 1, "a\nmail me@mail.org").otherwise("nothing")
     found = rules.private_findings(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), text.alias("text")))
     return found.select("path", "category", "n", F.array_join(F.transform("lines", lambda x: x.cast("string")), ",").alias("lines"))
+
+
+@query(
+    "rul_14_lifecycle",
+    f"""WITH {JOBS} SELECT job_id, ordinal, CASE WHEN job_id % 3 = 0 AND status IN ('queued', 'running') THEN 'cancelled' WHEN job_id % 3 = 1 AND status IN ('queued', 'running') THEN 'queued'
+      WHEN job_id % 3 = 1 AND status IN ('failed', 'cancelled') THEN 'queued' ELSE status END AS status FROM j""",
+)
+def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the jobs is cancelled; another third fails and is reset."""
+    states = _states(spark, sf_dir)
+    of = lambda k: states.filter(F.col("job_id") % 3 == k).select("job_id")
+    return jobs.reset(jobs.fail(jobs.cancel(states, of(0)), of(1)), of(1)).select("job_id", "ordinal", "status")
+
+
+FILES = """o AS (SELECT doc_id, length(text) AS size, doc_id % 7 AS mtime FROM documents WHERE doc_id % 4 <> 0),
+n AS (SELECT doc_id, length(text) AS size, doc_id % 7 + (doc_id % 5 = 0)::INT AS mtime FROM documents WHERE doc_id % 6 <> 0)"""
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents")
+    row = lambda more: [F.col("doc_id").alias("relative"), F.length("text").alias("size"), (F.col("doc_id") % 7 + more).alias("mtime")]
+    return d.filter("doc_id % 4 <> 0").select(*row(0)), d.filter("doc_id % 6 <> 0").select(*row((F.col("doc_id") % 5 == 0).cast("int")))
+
+
+@query(
+    "inc_05_folder_diff",
+    f"""WITH {FILES} SELECT coalesce(o.doc_id, n.doc_id) AS relative, CASE WHEN n.doc_id IS NULL THEN 'removed' WHEN o.size = n.size AND o.mtime = n.mtime THEN 'unchanged' ELSE 'changed' END AS status
+    FROM o FULL JOIN n USING (doc_id)""",
+)
+def folder_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incremental.folder_diff(*_files(spark, sf_dir))
+
+
+@query(
+    "inc_06_vault_plan",
+    f"""WITH {FILES}, a AS (SELECT coalesce(o.doc_id, n.doc_id) AS relative, o.doc_id AS x, n.doc_id AS y, o.mtime = n.mtime AS same FROM o FULL JOIN n USING (doc_id))
+    SELECT k AS complete, relative, CASE WHEN y IS NULL THEN CASE WHEN k THEN 'delete' ELSE 'keep' END WHEN x IS NULL THEN 'create' WHEN same THEN 'keep' ELSE 'update' END AS action
+    FROM a, (VALUES (true), (false)) AS v(k)""",
+)
+def vault_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Once after a complete scan, once after one with an error."""
+    old, new = (df.select("relative", F.col("mtime").alias("content_hash")) for df in _files(spark, sf_dir))
+    errors = spark.range(1)
+    whole = incremental.vault_plan(old, new, errors.limit(0)).withColumn("complete", F.lit(True))
+    return whole.unionByName(incremental.vault_plan(old, new, errors).withColumn("complete", F.lit(False)))
+
+
+@query(
+    "inc_04_same_state",
+    "SELECT doc_id, doc_id % 3 <> 0 AND doc_id % 5 <> 0 AS same FROM documents",
+)
+def same_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets in another order are the same; a third lose one, a fifth have another title."""
+    i = F.col("doc_id")
+    d = table(spark, sf_dir, "documents")
+    stored = d.select("doc_id", F.col("source").alias("title"), F.array(F.lit("b"), F.lit("a")).alias("tags"), F.lit(None).cast("string").alias("summary"))
+    tags = F.when(i % 3 == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("a")))
+    incoming = d.select("doc_id", F.when(i % 5 == 0, "other").otherwise(F.col("source")).alias("title"), tags.alias("tags"), F.lit(None).cast("string").alias("summary"))
+    return incremental.same_state(stored, incoming, ["doc_id"], ["title", "summary"], ["tags"])
+
+
+@query(
+    "inc_11_checkpoint_identity",
+    """SELECT sha256(string_agg(k || '=' || h, chr(10) ORDER BY k || '=' || h) || chr(0) || 'a=1' || chr(10) || 'b=2') AS identity FROM (SELECT 'p' || doc_id AS k, sha256(text) AS h FROM documents)""",
+)
+def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
+    return sinks.checkpoint_identity(files, {"b": "2", "a": "1"})

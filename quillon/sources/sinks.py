@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from quillon.functions import moments as M
 from quillon.functions import text as T
@@ -130,18 +131,47 @@ def manifest_errors(expected: DataFrame, found: DataFrame) -> DataFrame:
     return a.join(found.select("path", "sha256"), "path", "full_outer").select("path", error.alias("error")).filter("error IS NOT NULL")
 
 
+def checkpoint_identity(files: DataFrame, configuration: dict[str, str]) -> DataFrame:
+    """One row: identity of a checkpoint, from what its files (path, sha256) hold and from the configuration, whatever their order."""
+    settings = "\n".join(f"{k}={v}" for k, v in sorted(configuration.items()))
+    held = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "path", "sha256"))), "\n")
+    return files.agg(F.sha2(F.concat_ws("\x00", held, F.lit(settings)), 256).alias("identity"))
+
+
+def _point(spark: SparkSession, root: str, version: str) -> None:
+    """The pointer is a row with the next number: two versions of one moment don't tie."""
+    number = 1 + max((r["number"] for r in _pointers(spark, root)), default=0)
+    spark.range(1).select(F.lit(version).alias("version"), F.lit(number).cast("long").alias("number")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+
+
+def _pointers(spark: SparkSession, root: str) -> list:
+    try:
+        return spark.read.parquet(f"{root}/pointer").orderBy("number").collect()
+    except AnalysisException:
+        return []
+
+
+def roll_back_version(spark: SparkSession, root: str) -> str:
+    """Put the version before the current one in force again; its files were never changed."""
+    order = [r["version"] for r in _pointers(spark, root)]
+    earlier = [v for v in order if v != order[-1]]
+    if not earlier:
+        raise ValueError("there is no earlier version")
+    _point(spark, root, earlier[-1])
+    return earlier[-1]
+
+
 def commit_version(tables: dict[str, DataFrame], root: str) -> str:
     """Write tables as one version: all of them first, then the pointer. A failure before leaves the old version in force."""
     spark: SparkSession = next(iter(tables.values())).sparkSession
     version = uuid.uuid4().hex
     for name, df in tables.items():
         df.write.parquet(f"{root}/versions/{version}/{name}")
-    previous = spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at"))
-    previous.coalesce(1).write.mode("append").parquet(f"{root}/pointer")
+    _point(spark, root, version)
     return version
 
 
 def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the version that was committed last."""
-    version = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("at")).first()["version"]
+    version = _pointers(spark, root)[-1]["version"]
     return spark.read.parquet(f"{root}/versions/{version}/{name}")

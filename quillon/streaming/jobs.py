@@ -45,6 +45,36 @@ def recover(states: DataFrame) -> DataFrame:
     return states.withColumn("status", F.when(F.col("status") == "running", "queued").otherwise(F.col("status")))
 
 
+def finalize(states: DataFrame) -> DataFrame:
+    """job_id, status of jobs whose work is over: failed where an item failed, cancelled where one was, else completed; open items keep a
+    job running."""
+    return job_status(states, ["job_id"]).select("job_id", "status")
+
+
+def fail(states: DataFrame, jobs: DataFrame) -> DataFrame:
+    """states after these jobs (job_id) failed: what was open failed, too."""
+    return _moved(states, jobs, ("queued", "running"), "failed")
+
+
+def cancel(states: DataFrame, jobs: DataFrame) -> DataFrame:
+    """states after these jobs were cancelled: what is done stays done."""
+    return _moved(states, jobs, ("queued", "running"), "cancelled")
+
+
+def reset(states: DataFrame, jobs: DataFrame) -> DataFrame:
+    """states after these jobs are to be tried again: failed and cancelled items wait, from the beginning."""
+    return _moved(states, jobs, ("failed", "cancelled"), "queued", 0.0)
+
+
+def _moved(states: DataFrame, jobs: DataFrame, of: tuple[str, ...], to: str, percent: float | None = None) -> DataFrame:
+    marked = states.join(jobs.select("job_id").distinct().withColumn("__hit", F.lit(True)), "job_id", "left")
+    takes = F.col("__hit") & F.col("status").isin(*of)
+    out = marked.withColumn("__takes", F.coalesce(takes, F.lit(False))).withColumn("status", F.when(F.col("__takes"), to).otherwise(F.col("status")))
+    if percent is not None:
+        out = out.withColumn("percent", F.when(F.col("__takes"), F.lit(percent).cast(states.schema["percent"].dataType)).otherwise(F.col("percent")))
+    return out.select(states.columns)
+
+
 def sessions(events: DataFrame, by: str, at: str = "ts", gap: str = "8 seconds", late: str = "10 minutes") -> DataFrame:
     """Groups of events (by, at) that no gap divides; works on streams and on tables."""
     return (

@@ -26,12 +26,12 @@ def test_cards_become_items(spark):
 
 
 def test_answers_must_keep_the_contract(spark):
-    good = {"schema_version": "1.0", "chunk_id": "k", "reviewed_segment_ids": ["s1", "s2"], "chapters": [], "knowledge_cards": [], "entities": [],
-            "corrections": [{"segment_id": "s1", "corrected_text": "x", "confidence": 0.9, "evidence": [{"type": "source", "quote": "hello"}]}]}
+    good = {"schema_version": "deep-correction-response-v2", "chunk_id": "k", "reviewed_segment_ids": ["s1", "s2"], "chapters": [], "knowledge_cards": [], "entities": [],
+            "corrections": [{"segment_id": "s1", "corrected_text": "x", "reason": "r", "confidence": 0.9, "uncertain": False, "evidence": [{"kind": "source", "segment_id": "s1", "quote": "hello"}]}]}
     c = good["corrections"][0]
     cases = {
         "fine": good, "fields": good | {"more": 1}, "chunk": good | {"chunk_id": "z"}, "reviewed": good | {"reviewed_segment_ids": ["s2", "s1"]},
-        "twice": good | {"corrections": [c, c]}, "range": good | {"corrections": [c | {"confidence": 1.5}]}, "quote": good | {"corrections": [c | {"evidence": [{"type": "source", "quote": "bye"}]}]},
+        "twice": good | {"corrections": [c, c]}, "range": good | {"corrections": [c | {"confidence": 1.5}]}, "quote": good | {"corrections": [c | {"evidence": [{"kind": "source", "segment_id": "s1", "quote": "bye"}]}]},
         "none": good | {"corrections": [c | {"evidence": []}]}, "other": good | {"corrections": [c | {"segment_id": "s7"}]}, "extra": good | {"corrections": [c | {"note": "n"}]},
     }
     texts = {"s1": "hello there", "s2": "more"}
@@ -44,3 +44,19 @@ def test_answers_must_keep_the_contract(spark):
     want = {"fields": "wrong_fields", "chunk": "wrong_chunk", "reviewed": "not_all_reviewed", "twice": "corrected_twice", "range": "confidence_out_of_range",
             "quote": "quote_not_verbatim", "none": "quote_not_verbatim", "other": "unknown_segment", "extra": "wrong_correction_fields", "json": "not_json"}
     assert all(code in found[k] for k, code in want.items()), found
+
+
+def test_evidence_of_every_kind_and_overlapping_segments(spark):
+    evidence = {
+        "whole": {"kind": "source", "segment_id": "s1", "quote": "__FULL_SEGMENT__"}, "second": {"kind": "rerecognition", "segment_id": "s1", "quote": "again"},
+        "other": {"kind": "rerecognition", "segment_id": "s2", "quote": "again"}, "term": {"kind": "glossary", "segment_id": "s1", "quote": "LIDAR"},
+        "web": {"kind": "web", "evidence_id": "e1", "url": "https://x.org", "quote": "found"}, "wrong": {"kind": "web", "evidence_id": "e1", "url": "https://y.org", "quote": "found"},
+    }
+    one = lambda e, s="s1": {"segment_id": s, "corrected_text": "x", "reason": "r", "confidence": 0.9, "uncertain": False, "evidence": [e]}
+    data = []
+    for name, e in evidence.items():
+        answer = {"schema_version": "deep-correction-response-v2", "chunk_id": "k", "reviewed_segment_ids": ["s1", "s2"], "corrections": [one(e), one(e, "s9")], "chapters": [], "knowledge_cards": [], "entities": []}
+        data.append((name, json.dumps(answer), "k", ["s1", "s2"], {"s1": "hello there", "s2": "more"}, ["s1", "s2", "s9"], "once again", ["lidar"], [("e1", "https://x.org", "it was found")]))
+    schema = "answer_id string, payload string, chunk_id string, core_ids array<string>, source_text map<string,string>, context_ids array<string>, rerecognition string, glossary array<string>, web array<struct<evidence_id:string,url:string,snippet:string>>"
+    got = P.usable_corrections(spark.createDataFrame(data, schema)).collect()
+    assert {(r.answer_id, r.segment_id) for r in got} == {(k, "s1") for k in ("whole", "second", "term", "web")}
