@@ -183,7 +183,7 @@ def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "src_11_keyframes",
+    "src_11b_keyframes",
     f"""WITH {EVENTS}, k AS (SELECT run, "start", row_number() OVER (PARTITION BY run, floor("start" / 3600) ORDER BY "start", seq) AS n FROM e),
     f AS (SELECT run, "start", row_number() OVER (PARTITION BY run ORDER BY "start") AS seq FROM k WHERE n = 1) SELECT run AS run_id, "start" AS moment, seq::INT AS seq FROM f WHERE seq <= 8""",
 )
