@@ -118,8 +118,9 @@ class TextIndex:
 
     def compare(self, chunks: DataFrame) -> DataFrame:
         """chunk_id, state: ``orphan`` in the index only, ``missing`` from it, ``changed`` since (chunk_id, content_hash)."""
-        held = self.entries().select("chunk_id", F.col("content_hash").alias("held"))
-        both = chunks.select("chunk_id", F.col("content_hash").alias("own")).join(held, "chunk_id", "full")
+        some = F.coalesce("content_hash", F.lit(""))  # a chunk without a hash is there, too
+        held = self.entries().select("chunk_id", some.alias("held"))
+        both = chunks.select("chunk_id", some.alias("own")).join(held, "chunk_id", "full")
         state = F.when(F.col("held").isNull(), "missing").when(F.col("own").isNull(), "orphan").when(F.col("held") != F.col("own"), "changed")
         return both.select("chunk_id", state.alias("state")).filter("state IS NOT NULL")
 

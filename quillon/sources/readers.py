@@ -23,7 +23,7 @@ TEXT_SUFFIXES = ("md", "markdown", "txt", "rst", "csv", "tsv", "json", "jsonl",
 def text_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """path, text of whole files."""
     return (
-        spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+        spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path, wholetext=True)
         .select(F.input_file_name().alias("path"), F.col("value").alias("text"))
     )
 
