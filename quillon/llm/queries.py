@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.chunk_dedup import repeated_passages
 from quillon.llm.common import documents, labels
 from quillon.llm.exact_dedup import exact_groups
+from quillon.llm.feature_history import point_in_time
 from quillon.llm.fingerprints import fingerprint_report
 from quillon.llm.license_scan import scan_licenses
 from quillon.llm.mixing import mix
@@ -59,6 +60,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op13_feature_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales, clicks, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sales", "clicks", "sale_lines"))
+    return point_in_time(sales, clicks, lines)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_minhash_near_dedup": op2_minhash_near_dedup,
@@ -70,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op13_feature_history": op13_feature_history,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +111,37 @@ WITH d AS (
 SELECT doc_id, min(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        doc_id = min(doc_id) OVER g AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)""",
+    "op13_feature_history": """
+WITH bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+           lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+s AS (
+  SELECT row_number() OVER () AS no, sale_id, client_id, epoch_us(sold_at) AS sold, epoch_us(arrived_at) + 14400000000 AS ready,
+         CASE WHEN isfinite(total) THEN floor(100 * total + 0.5)::BIGINT ELSE 0 END AS cents,
+         epoch_us(sold_at) + 1000000 * (xor(list_reduce(
+           list_prepend(4294967295, list_transform(string_split(sale_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+           lambda c, b: xor(c >> 8, tab[xor(c, b) % 256 + 1])), 4294967295) % 259200) AS t
+  FROM sales, bits WHERE client_id IS NOT NULL AND sold_at IS NOT NULL),
+p AS (SELECT no, sale_id, client_id, t, d, t - d * 86400000000 AS since FROM s, (VALUES (2), (14)) w(d)),
+c AS (
+  SELECT client_id, click_id, epoch_us(ts) AS ts, epoch_us(arrived_at) + 14400000000 AS ready, kind,
+         CASE WHEN isfinite(value) THEN floor(100 * value + 0.5)::BIGINT ELSE 0 END AS cents
+  FROM (SELECT DISTINCT * FROM clicks)),
+clicked AS (
+  SELECT no, d, count(*) AS n_clicks, count(*) FILTER (kind = 'purchase') AS n_purchases, sum(cents)::BIGINT AS click_cents,
+         max((c.ts, click_id))[2] AS last_click_id
+  FROM p JOIN c ON c.client_id = p.client_id AND c.ts > since AND c.ts <= t AND c.ready <= t GROUP BY ALL),
+sold AS (
+  SELECT p.no, d, p.t, s.sale_id, s.cents FROM p JOIN s ON s.client_id = p.client_id AND s.sold > since AND s.sold <= p.t AND s.ready <= p.t),
+bought AS (SELECT no, d, count(*) AS n_sales, sum(cents)::BIGINT AS sale_cents FROM sold GROUP BY ALL),
+lined AS (
+  SELECT no, d, count(*) AS n_lines, count(DISTINCT item_id) AS n_items,
+         sum(CASE WHEN isfinite(amount) THEN floor(100 * amount + 0.5)::BIGINT ELSE 0 END)::BIGINT AS line_cents
+  FROM sold JOIN sale_lines l ON l.sale_id = sold.sale_id AND epoch_us(shipped_at) <= t GROUP BY ALL),
+labelled AS (SELECT DISTINCT p.no FROM s AS p JOIN s ON s.client_id = p.client_id AND s.sold > p.t AND s.sold <= p.t + 604800000000)
+SELECT sale_id, d, t AS t_us, labelled.no IS NOT NULL AS label,
+       coalesce(n_clicks, 0) AS n_clicks, coalesce(n_purchases, 0) AS n_purchases, coalesce(click_cents, 0) AS click_cents, last_click_id,
+       coalesce(n_sales, 0) AS n_sales, coalesce(sale_cents, 0) AS sale_cents, coalesce(n_lines, 0) AS n_lines,
+       coalesce(n_items, 0) AS n_items, coalesce(line_cents, 0) AS line_cents
+FROM p LEFT JOIN clicked USING (no, d) LEFT JOIN bought USING (no, d) LEFT JOIN lined USING (no, d) LEFT JOIN labelled USING (no)""",
 }
