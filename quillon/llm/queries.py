@@ -11,12 +11,14 @@ from quillon.llm.common import documents, labels
 from quillon.llm.exact_dedup import exact_groups
 from quillon.llm.feature_history import point_in_time
 from quillon.llm.fingerprints import fingerprint_report
+from quillon.llm.language_model import language_scores
 from quillon.llm.license_scan import scan_licenses
 from quillon.llm.mixing import mix
 from quillon.llm.near_dedup import near_groups
 from quillon.llm.packing import pack
 from quillon.llm.pii import span_report
 from quillon.llm.quality import score_quality
+from quillon.llm.token_alignment import align
 from quillon.llm.toxicity import toxicity
 
 
@@ -60,6 +62,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir))
 
 
+def op11_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(documents(spark, sf_dir))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align(documents(spark, sf_dir))
+
+
 def op13_feature_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     sales, clicks, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sales", "clicks", "sale_lines"))
     return point_in_time(sales, clicks, lines)
@@ -76,6 +86,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_toxicity": op9_toxicity,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_lm_scores": op11_lm_scores,
+    "op12_token_alignment": op12_token_alignment,
     "op13_feature_history": op13_feature_history,
 }
 
