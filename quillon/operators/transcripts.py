@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
+from quillon.operators.phrases import find_phrases
 from quillon.operators.rules import Rule, findings
 
-#: Suffixes of external queries, words that prove nothing, and signs of a complex layout (fixed values).
-QUERY_SUFFIX = {"short": " 官方 文档", "long": " 来源"}
+#: Words that prove nothing, and signs of a complex layout (fixed values).
 GENERIC_WORDS = ("the", "and", "for", "with", "official", "docs", "documentation")
 LAYOUT_SIGNS = r"[∑√≈≠≤≥|＝]"
 
@@ -100,13 +100,10 @@ def changed_facts(stored: DataFrame, again: DataFrame) -> DataFrame:
 
 
 def glossary_hits(segments: DataFrame, glossary: DataFrame) -> DataFrame:
-    """segment_id, canonical, variant, n: how often variants (canonical, variant) of glossary terms stand in texts, whatever their case."""
-    pairs = glossary.filter(F.lower("variant") != F.lower("canonical"))
-    # A variant's first word leads to the texts that may hold it.
-    lead = lambda c: F.get(T.index_terms(F.col(c)), F.lit(0))
-    terms = segments.select("segment_id", "text", F.explode(F.array_distinct(T.index_terms(F.col("text")))).alias("lead"))
-    n = F.size(F.split(F.lower("text"), F.concat(F.lit(r"\Q"), F.lower("variant"), F.lit(r"\E")), -1)) - 1
-    return terms.join(pairs.withColumn("lead", lead("variant")), "lead").select("segment_id", "canonical", "variant", n.cast("long").alias("n")).filter("n > 0")
+    """segment_id, variant, canonical, start, end, found: where variants (variant, canonical) of glossary terms stand in texts, whatever
+    their case and whatever stands around them. A variant that is its term in another case proposes nothing."""
+    told = glossary.filter(T.fold(F.trim("variant")) != T.fold(F.trim("canonical")))
+    return find_phrases(segments, "segment_id", "text", told)
 
 
 def apply_spans(texts: DataFrame, spans: DataFrame) -> DataFrame:
@@ -161,16 +158,6 @@ def auto_accept(changes: DataFrame, evidence: DataFrame, sure: float = 0.9) -> D
     return changes.filter((F.col("status") == "proposed") & (F.col("confidence") >= sure)).join(proven, "change_id", "left_semi").select("change_id")
 
 
-def external_queries(texts: DataFrame, most: int = 12) -> DataFrame:
-    """run_id, rank, query: the most frequent acronyms and terms of a recording, as bounded queries."""
-    words = texts.select("run_id", F.explode(T.acronyms(F.col("text"))).alias("term")).filter(F.length("term") >= 2)
-    counted = words.groupBy("run_id", F.lower("term").alias("folded")).agg(F.count(F.lit(1)).alias("n"), F.min("term").alias("term"))
-    w = Window.partitionBy("run_id").orderBy(F.desc("n"), "folded")
-    suffix = F.when(F.length("term") <= 36, QUERY_SUFFIX["short"]).otherwise(QUERY_SUFFIX["long"])
-    ranked = counted.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
-    return ranked.select("run_id", "rank", F.substring(F.concat("term", suffix), 1, 160).alias("query"))
-
-
 def relevant_hit(query: Column, title: Column, snippet: Column) -> Column:
     """A hit shares an exact word of the query: three letters or more, not a generic one."""
     words = F.filter(F.regexp_extract_all(F.lower(query), F.lit(r"([a-z0-9][a-z0-9.+_-]{2,})"), 1), lambda x: ~x.isin(*GENERIC_WORDS))

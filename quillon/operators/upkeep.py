@@ -192,30 +192,6 @@ def attempts(requests: DataFrame, providers: DataFrame) -> DataFrame:
     return pairs.filter(wanted).select("request_id", F.row_number().over(w).alias("nth"), F.col("candidate").alias("provider"))
 
 
-def normalized_terms(texts: DataFrame, glossary: DataFrame) -> DataFrame:
-    """id, text, changes of texts (id, text) with glossary variants (variant, canonical) replaced, the longest first, whatever their case.
-
-    A variant of ASCII letters, digits and their marks stands between other characters than letters and digits. Variants of one
-    character, and those that are the canonical term in lower case, are left alone. The glossary is one row for each scope's
-    terms: it meets every text as an array.
-    """
-    usable = glossary.filter((F.length("variant") >= 2) & (F.col("variant") != F.lower("canonical"))).dropDuplicates(["variant"])
-    item = F.struct((-F.length("variant")).alias("o"), "variant", "canonical")
-    held = usable.agg(F.array_sort(F.collect_list(item)).alias("terms"))
-    begin = F.struct(F.col("text").alias("text"), F.array().cast("array<string>").alias("changes"))
-
-    def step(acc: Column, t: Column) -> Column:
-        quoted = F.concat(F.lit(r"\Q"), t["variant"], F.lit(r"\E"))
-        plain = t["variant"].rlike(r"^[A-Za-z0-9.+_-]+$")
-        pattern = F.when(plain, F.concat(F.lit(r"(?iu)(?<![A-Za-z0-9])"), quoted, F.lit(r"(?![A-Za-z0-9])"))).otherwise(F.concat(F.lit("(?iu)"), quoted))
-        literal = F.replace(F.replace(t["canonical"], F.lit("\\"), F.lit("\\\\")), F.lit("$"), F.lit("\\$"))
-        after = F.regexp_replace(acc["text"], pattern, literal)
-        note = F.concat(acc["changes"], F.array(F.concat(t["variant"], F.lit("->"), t["canonical"])))
-        return F.struct(after.alias("text"), F.when(after != acc["text"], note).otherwise(acc["changes"]).alias("changes"))
-
-    return texts.crossJoin(held).select("id", F.aggregate("terms", begin, step).alias("f")).select("id", "f.text", "f.changes")
-
-
 def audit_counts(changes: DataFrame, evidence: DataFrame, events: DataFrame) -> DataFrame:
     """run_id, n_changes, proposed, accepted, rejected, n_events, n_evidence of corrections.
 

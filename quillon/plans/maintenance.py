@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import ids
 from quillon.functions import text as T
-from quillon.operators import filters, index, rules, transcripts, upkeep
+from quillon.operators import filters, index, phrases, rules, transcripts, upkeep
 from quillon.plans.catalog import query
 from quillon.plans.tables import DOCS, ITEMS, documents, items, messages, table
 from quillon.plans.timeline import JOBS, _states
@@ -229,17 +229,24 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", upkeep.short_claim(F.col("text"), F.instr("text", F.col("hit")), F.length("hit")).alias("claim"))
 
 
+TERMS = [("license", "§"), ("x", "y"), ("licen", "no such word"), ("le mit", "the~mit"), ("mit", "MASSACHUSETTS"), ("ré", "r~"), ("~mit", "!")]
+
+
 @query(
     "str_10_normalized_terms",
-    r"""WITH a AS (SELECT doc_id, text, regexp_replace(text, '(?i)(^|[^A-Za-z0-9])license($|[^A-Za-z0-9])', '\1\1LICENCE\2\2', 'g') AS x FROM documents)
-    SELECT doc_id, len(regexp_extract_all(' ' || regexp_replace(text, '[^A-Za-z0-9]', '  ', 'g') || ' ', '(?i) license '))::BIGINT AS n FROM a""",
+    r"""WITH a AS (SELECT doc_id, regexp_replace(replace(text, '§', ''), '(^|[^A-Za-z0-9])license($|[^A-Za-z0-9])', '\1§\2', 'gi') AS t FROM documents),
+    b AS (SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z0-9])license($|[^A-Za-z0-9])', '\1§\2', 'gi') AS t FROM a),
+    c AS (SELECT doc_id, regexp_replace(t, 'le mit', 'the~mit', 'gi') AS t FROM b),
+    d AS (SELECT doc_id, replace(t, '~mit', '!') AS t FROM c),
+    e AS (SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z0-9])mit($|[^A-Za-z0-9])', '\1MASSACHUSETTS\2', 'gi') AS t FROM d),
+    f AS (SELECT doc_id, regexp_replace(t, '(^|[^A-Za-z0-9])mit($|[^A-Za-z0-9])', '\1MASSACHUSETTS\2', 'gi') AS t FROM e)
+    SELECT doc_id, md5(replace(replace(t, 'ré', 'r~'), 'RÉ', 'r~')) AS digest FROM (SELECT doc_id, replace(replace(t, 'Ré', 'r~'), 'rÉ', 'r~') AS t FROM f)""",
 )
 def normalized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often a term was put in its canonical form."""
+    """Whole texts with terms in their canonical form; a replacement may bring about the next."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.replace("text", F.lit("§"), F.lit("")).alias("text"))
-    glossary = spark.createDataFrame([("license", "§"), ("x", "y"), ("licen", "no such word")], "variant string, canonical string")
-    out = upkeep.normalized_terms(d, glossary)
-    return out.select(F.col("id").alias("doc_id"), F.regexp_count("text", F.lit("§")).cast("long").alias("n"))
+    out = phrases.normalized_terms(d, spark.createDataFrame(TERMS, "variant string, canonical string"))
+    return out.select(F.col("id").alias("doc_id"), F.md5("text").alias("digest"))
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators import filters, incremental, intervals, qa, rules, transcripts
+from quillon.operators import external, filters, incremental, intervals, qa, rules, transcripts
 from quillon.plans.catalog import query
 from quillon.plans.tables import DOCS, EVENTS, documents, events, messages, table
 from quillon.sources import readers
@@ -192,15 +192,30 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evidence.select("doc_id", F.length(qa.evidence_line()).cast("long").alias("n"))
 
 
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A glossary from the texts: what documents begin with, whatever stands around it elsewhere."""
+    first = F.get(T.index_terms(F.col("text")), F.lit(0))
+    words = table(spark, sf_dir, "documents").groupBy(first.alias("variant")).agg(F.min("doc_id").alias("position"))
+    return words.filter("length(variant) > 5").withColumn("canonical", F.concat("variant", F.lit(" (term)")))
+
+
 @query("rul_09_external_queries")
-def external(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.upper("text").alias("text"))
-    return transcripts.external_queries(texts)
+def external_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    segments = table(spark, sf_dir, "documents").select(F.col("source").alias("run_id"), F.col("doc_id").alias("ordinal"), F.upper("text").alias("text"))
+    return external.external_queries(segments, _names(spark, sf_dir))
 
 
-@query("str_09_glossary_hits")
+@query(
+    "str_09_glossary_hits",
+    r"""WITH d AS (SELECT doc_id, lower(text) AS t FROM documents),
+    v AS (SELECT DISTINCT regexp_extract(strip_accents(t), '([\p{L}\p{N}]+)', 1) AS v FROM d), w AS (SELECT v FROM v WHERE length(v) > 5),
+    p AS (SELECT doc_id, v, list_transform(string_split(t, v), lambda x: length(x)) AS sizes FROM d JOIN w ON contains(t, v)),
+    s AS (SELECT doc_id, v, unnest(list_transform(range(1, len(sizes)), lambda i: list_sum(sizes[1:i])::BIGINT + (i - 1) * length(v))) AS place FROM p)
+    SELECT doc_id, v AS variant, count(*)::BIGINT AS n, min(place)::BIGINT AS first, sum(place)::BIGINT AS places FROM s GROUP BY doc_id, v""",
+)
 def glossary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
-    first = F.get(T.index_terms(F.col("text")), F.lit(0))
-    names = d.select(first.alias("variant")).filter("length(variant) > 9").distinct().withColumn("canonical", F.concat("variant", F.lit(" (term)")))
-    return transcripts.glossary_hits(d.select(F.col("doc_id").alias("segment_id"), "text"), names)
+    segments = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("segment_id"), "text")
+    hits = transcripts.glossary_hits(segments, _names(spark, sf_dir))
+    return hits.groupBy(F.col("segment_id").alias("doc_id"), "variant").agg(
+        F.count(F.lit(1)).alias("n"), F.min("start").alias("first"), F.sum("start").alias("places")
+    )
