@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import prefix
+
 
 def classify(old: DataFrame, new: DataFrame, keys: Sequence[str], compare: Sequence[str]) -> DataFrame:
     """keys, status: created, deleted, updated or unchanged, by null-safe comparison."""
@@ -149,7 +151,17 @@ def missing(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame
 
 
 def next_ordinals(new: DataFrame, existing: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """new with ordinals that continue each key's."""
+    """new with ordinals that continue each key's; a key's rows are numbered in ranges, however many they are."""
     last = existing.groupBy(*by).agg(F.max("ordinal").alias("__last"))
-    number = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return new.join(last, list(by), "left").withColumn("ordinal", F.coalesce("__last", F.lit(0)) + number).drop("__last")
+    blocks = prefix.dealt(new, [*by, *order], label="ordinals")
+    numbered = prefix.running_totals(blocks, list(by), list(order), {"__number": F.lit(1).cast("long")}).drop(prefix.BLOCK)
+    return numbered.join(last, list(by), "left").withColumn("ordinal", F.coalesce("__last", F.lit(0)) + F.col("__number")).drop("__last", "__number")
+
+
+def size_cap(files: DataFrame, order: Sequence[str], most: int) -> DataFrame:
+    """files and the total of their sizes in order up to each, itself included, and whether that fits; a null size counts as 0.
+
+    The order runs over all files: ranges of it are summed by themselves, and each begins with the sum of those before it.
+    """
+    blocks = prefix.dealt(files, list(order), label="files")
+    return prefix.running_totals(blocks, [], list(order), {"total": F.col("size").cast("long")}).drop(prefix.BLOCK).withColumn("fits", F.col("total") <= most)

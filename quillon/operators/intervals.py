@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import prefix
+from quillon.sources.storage import written
+
 
 def _bucketed(df: DataFrame, start: str, end: str, width: float, name: str) -> DataFrame:
     first, last = F.floor(F.col(start) / width), F.floor(F.greatest(F.col(start), F.col(end)) / width)
@@ -140,36 +143,60 @@ def timeline_checks(rows: DataFrame, by: list[str], order: list[str], jitter: fl
     return checked.unionByName(bad)
 
 
+def quiet_limits(frames: DataFrame, by: list[str], least: float = 220.0, times: float = 3.0) -> DataFrame:
+    """by, total, limit: from what energy on a frame is loud, by the median of the lowest fifth, which a histogram finds."""
+    totals = frames.groupBy(*by).agg(F.count(F.lit(1)).alias("total"))
+    fifth = F.greatest(F.lit(1), F.floor(F.col("total") / 5)).cast("long")
+    middle = totals.select(*by, F.explode(F.array_distinct(F.array(F.floor((fifth + 1) / 2), F.floor(fifth / 2) + 1))).alias("rank"))
+    medians = prefix.order_statistics(frames, by, "energy", middle).groupBy(*by).agg(F.avg("energy").alias("median"))
+    return totals.join(medians, by).select(*by, "total", F.greatest(F.lit(least), F.col("median") * times).alias("limit"))
+
+
 def voice_spans(
-    frames: DataFrame, by: list[str], frame: float = 0.03, speech: float = 0.24, silence: float = 0.42, pad: float = 0.18
+    frames: DataFrame, by: list[str], frame: float = 0.03, speech: float = 0.24, silence: float = 0.42, pad: float = 0.18, block: int = 20_000
 ) -> DataFrame:
     """(by, start, end, mean_energy) of speech in frames (by, n, energy): loud frames, short pauses bridged, short bursts
-    dropped, padded and joined."""
-    whole = Window.partitionBy(*by)
-    ranked = frames.withColumns(
-        {"rank": F.row_number().over(whole.orderBy("energy", "n")), "total": F.count(F.lit(1)).over(whole)}
-    )
-    quiet = ranked.filter(F.col("rank") <= F.greatest(F.lit(1), F.floor(F.col("total") / 5)))
-    limits = quiet.groupBy(*by).agg(F.greatest(F.lit(220.0), F.median("energy") * 3).alias("limit"))
+    dropped, padded and joined.
+
+    A recording is worked on in blocks of frames. What crosses a block's border, the last loud frame, the number of bursts and
+    the last span, is carried over from one row for each block.
+    """
     bridge, least = max(1, int(silence / frame + 1e-9)), max(1, int(speech / frame + 1e-9))
-    loud = ranked.join(limits, by).withColumn("loud", F.col("energy") >= F.col("limit"))
-    spoken = loud.filter("loud").withColumn("gap", F.col("n") - F.lag("n").over(whole.orderBy("n")) - 1)
-    runs = spoken.withColumn("burst", F.sum(F.when(F.col("gap") > bridge, 1).otherwise(0)).over(whole.orderBy("n")))
-    bounds = runs.groupBy(*by, "burst").agg(F.min("n").alias("a"), F.max("n").alias("z"))
-    lasting = bounds.filter(F.col("z") - F.col("a") + 1 >= least)
-    # The mean covers the bridged frames, too.
-    inside = loud.select(*by, "n", "energy", "total").join(lasting, by).filter("n BETWEEN a AND z")
-    spans = inside.groupBy(*by, "burst", "total").agg(
-        F.greatest(F.lit(0.0), F.min("n") * frame - pad).alias("start"),
-        F.least(F.max("total") * frame, (F.max("n") + 1) * frame + pad).alias("end"),
-        F.round(F.avg("energy"), 2).alias("mean_energy"),
+    blocks = frames.withColumn(prefix.BLOCK, F.floor(F.col("n") / block).cast("int")).join(quiet_limits(frames, by), by)
+    loud = blocks.withColumn("spoken", F.when(F.col("energy") >= F.col("limit"), F.col("n"))).drop("limit")
+    gaps = prefix.carried(loud, by, ["n"], "before", F.col("spoken"))
+    opens = F.col("spoken").isNotNull() & F.coalesce(F.col("spoken") - F.col("before") - 1 > bridge, F.lit(True))
+    numbered = written(prefix.running_totals(gaps, by, ["n"], {"burst": opens.cast("long")}).filter("burst > 0"), "bursts")
+    # A burst ends with its last loud frame; the bridged ones before that count in its mean, those after it don't.
+    inside = Window.partitionBy(*by, prefix.BLOCK, "burst").orderBy("n").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    parts = (
+        numbered.withColumn("within", F.max("spoken").over(inside).isNotNull())
+        .groupBy(*by, "burst", prefix.BLOCK, "total")
+        .agg(
+            F.min("spoken").alias("a"), F.max("spoken").alias("z"), F.count(F.lit(1)).alias("frames"), F.sum("energy").alias("energy"),
+            F.count_if("within").alias("frames_within"), F.sum(F.when(F.col("within"), F.col("energy"))).alias("energy_within"),
+        )
+    )
+    last = Window.partitionBy(*by, "burst")
+    ended = parts.withColumn("end_block", F.max(F.when(F.col("z").isNotNull(), F.col(prefix.BLOCK))).over(last)).filter(F.col(prefix.BLOCK) <= F.col("end_block"))
+    final = F.col(prefix.BLOCK) == F.col("end_block")
+    bursts = ended.groupBy(*by, "burst", "total").agg(
+        F.min("a").alias("a"), F.max("z").alias("z"), F.sum(F.when(final, F.col("energy_within")).otherwise(F.col("energy"))).alias("energy"),
+        F.sum(F.when(final, F.col("frames_within")).otherwise(F.col("frames"))).alias("frames"),
+    )
+    spans = bursts.filter(F.col("z") - F.col("a") + 1 >= least).select(
+        *by,
+        F.floor(F.col("a") / block).cast("int").alias(prefix.BLOCK),
+        F.greatest(F.lit(0.0), F.col("a") * frame - pad).alias("start"),
+        F.least(F.col("total") * frame, (F.col("z") + 1) * frame + pad).alias("end"),
+        F.round(F.col("energy") / F.col("frames"), 2).alias("mean_energy"),
     )
-    w = whole.orderBy("start", "end")
-    opens = F.col("so_far").isNull() | (F.col("start") > F.col("so_far"))
+    # Spans end in the order in which they start, so the one before decides whether a new island begins.
+    follows = prefix.carried(spans, by, ["start", "end"], "so_far", F.col("end"))
+    begins = F.col("so_far").isNull() | (F.col("start") > F.col("so_far"))
+    islands = prefix.running_totals(follows, by, ["start", "end"], {"island": begins.cast("long")})
     return (
-        spans.withColumn("so_far", running_end(by, ["start", "end"]))
-        .withColumn("island", F.sum(opens.cast("int")).over(w))
-        .groupBy(*by, "island")
+        islands.groupBy(*by, "island")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("mean_energy").alias("mean_energy"))
         .drop("island")
     )

@@ -254,21 +254,21 @@ def same_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "win_18_size_cap",
-    f"WITH {DOCS} SELECT document_id FROM (SELECT document_id, sum(n_chars) OVER (PARTITION BY source ORDER BY path ROWS UNBOUNDED PRECEDING) AS total FROM d) WHERE total <= 40000",
+    f"WITH {DOCS}, t AS (SELECT document_id, path, sum(coalesce(n_chars, 0)) OVER (ORDER BY path, document_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM d) SELECT document_id, total, total <= 1000000 AS fits FROM t",
 )
 def size_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = Window.partitionBy("source").orderBy("path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return documents(spark, sf_dir).withColumn("total", F.sum("n_chars").over(w)).filter("total <= 40000").select("document_id")
+    files = documents(spark, sf_dir).select("document_id", "path", F.col("n_chars").alias("size"))
+    return incremental.size_cap(files, ["path", "document_id"], 1_000_000).select("document_id", "total", "fits")
 
 
 @query(
     "win_10_next_ordinals",
-    """SELECT doc_id, source, 100 + row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal FROM documents WHERE doc_id % 2 = 1""",
+    """SELECT doc_id, source, 100 + row_number() OVER (PARTITION BY source ORDER BY doc_id) AS ordinal FROM documents""",
 )
 def ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     existing = d.select("source", F.lit(100).cast("long").alias("ordinal")).distinct()
-    return incremental.next_ordinals(d.filter("doc_id % 2 = 1").select("doc_id", "source"), existing, ["source"], ["doc_id"])
+    return incremental.next_ordinals(d.select("doc_id", "source"), existing, ["source"], ["doc_id"])
 
 
 # --- Chunks, gate, assessments ---------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions import moments as M
-from quillon.operators import grouping, intervals, rules
+from quillon.operators import grouping, intervals, prefix, rules
 from quillon.plans.catalog import query
 from quillon.plans.tables import EVENTS, events, table
 from quillon.sources import sinks
@@ -310,12 +310,11 @@ u AS (SELECT *, sum(CASE WHEN m IS NULL OR a > m THEN 1 ELSE 0 END) OVER (PARTIT
 
 @query("chk_15_voice_activity", f"WITH {VAD} SELECT run, round(min(a), 4) AS \"start\", round(max(z), 4) AS \"end\" FROM u GROUP BY run, i")
 def voice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events")
-    number = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")) - 1
+    """A kind of events as a recording of frames, which any number of tasks share."""
+    e = prefix.dealt(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type", "event_id"], label="frames")
+    e = prefix.running_totals(e, ["event_type"], ["event_id"], {"n": F.lit(1).cast("long")}).withColumn("n", F.col("n") - 1)
     energy = F.when(F.floor(F.col("event_id") / 40) % 3 == 0, 10).otherwise(400) + F.col("value")
-    frames = e.select(F.col("event_type").alias("run"), number.alias("n"), energy.alias("energy"))
+    frames = e.select(F.col("event_type").alias("run"), "n", energy.alias("energy"))
     out = intervals.voice_spans(frames, ["run"])
     return out.select("run", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
 
