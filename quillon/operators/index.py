@@ -1,20 +1,22 @@
-"""A persisted inverted index that is maintained, not rebuilt.
-
-An index is a folder with two Parquet tables. ``postings`` has a row for each term of a chunk, with the places where the term
-stands; ``entries`` has a row for each chunk that an epoch wrote or deleted. Each upsert or deletion is a new epoch, and a
-posting counts where its epoch is its chunk's last one, so nothing is rewritten until ``compact``. An epoch begins to exist
-with its entries, which are written last: a job that dies leaves postings that nothing refers to.
-
-Postings are dealt to folders by their term's hash, and within a folder to several files by their chunk's, so a question
-reads the folders of its terms only and a very common term isn't one task's. One writer at a time, as for any table
-without transactions.
+"""A persisted inverted index that is maintained, not rebuilt, and grows with what it holds.
+
+An index is a folder of Parquet tables. Each upsert or deletion is an epoch, and of a chunk the rows of its last epoch count, so nothing
+is rewritten until ``compacted``. ``entries`` has a row for each chunk that an epoch wrote or deleted. The chunks of an epoch are dealt
+to small groups by their hash. ``blocks`` has a row for each term and group: how often the term stands in the group's chunks, with the
+most occurrences and the shortest chunk among them, which bound every score in the block, beside the lists that are read only
+where the bound lets a chunk into the best. ``positions`` has the places of each term in each chunk, for phrases. ``epochs`` has
+one row for an epoch, with the sums that scores need; it is written last, and an epoch without it isn't there: a job that dies
+leaves files that nothing reads and the next attempt replaces.
+
+Blocks and positions lie in files by ranges of terms and groups, as many as their rows need: a frequent term spreads over several files,
+and a question's terms lie between the least and greatest of few. One writer at a time; ``commits`` has several tables change as one.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -56,65 +58,97 @@ class LiveIndex:
 class TextIndex:
     spark: SparkSession
     path: str
-    buckets: int = 16  # folders by term
-    spread: int = 4  # files of a folder, by chunk
+    group: int = 128  # chunks of a group, about
+    file_rows: int = 4_000_000  # occurrences of terms of a file, about
 
-    def _read(self, name: str) -> DataFrame | None:
+    def _read(self, name: str, epochs: list[int]) -> DataFrame:
+        # Files of an epoch that never came to be are left aside.
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/epoch={e}" for e in epochs])
+
+    def epochs(self) -> list[Row]:
+        """epoch, n_chunks, n_terms, dead, wrote: a row for each epoch, in order: what the index holds after it, entries that later
+        ones have replaced, and whether it has postings."""
         try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
+            rows = self.spark.read.schema(EPOCHS).parquet(f"{self.path}/epochs").collect()
         except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error) or "UNABLE_TO_INFER_SCHEMA" in str(error):
-                return None
+            if "PATH_NOT_FOUND" in str(error):
+                return []
             raise
+        return sorted(rows, key=lambda r: r["epoch"])
 
-    def epochs(self) -> list[int]:
-        entries = self._read("entries")
-        return [] if entries is None else sorted(r["epoch"] for r in entries.select("epoch").distinct().collect())
-
-    def _next(self) -> int:
-        return max(self.epochs(), default=0) + 1
+    def _commit(self, epoch: int, before: list[Row], touched: DataFrame, n: int, terms: int, wrote: bool) -> None:
+        old = before[-1] if before else None
+        gone, gone_terms = 0, 0
+        if old:
+            gone, gone_terms = self._entries(before).join(touched.select("chunk_id"), "chunk_id", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+        row = (epoch, (old["n_chunks"] if old else 0) - gone + n, (old["n_terms"] if old else 0) - gone_terms + terms, (old["dead"] if old else 0) + gone, wrote)
+        self.spark.createDataFrame([row], EPOCHS).coalesce(1).write.mode("append").parquet(f"{self.path}/epochs")
 
     def upsert(self, chunks: DataFrame) -> None:
         """Index chunks (chunk_id, title, content[, content_hash]); chunks that are known already are replaced."""
-        epoch = self._next()
-        spots = terms_in_place(chunks).withColumns({"bucket": self._bucket(), "part": F.pmod(F.xxhash64(F.lit(3), "chunk_id"), F.lit(self.spread))})
-        # Dealt by bucket and part, the groups below need no other shuffle.
-        dealt = spots.repartition(self.buckets * self.spread, "bucket", "part")
-        rows = _grouped(dealt, ["bucket", "part"]).drop("part").sortWithinPartitions("bucket", "term")
-        rows.write.partitionBy("bucket").parquet(f"{self.path}/postings/epoch={epoch}")
+        before = self.epochs()
+        epoch = (before[-1]["epoch"] if before else 0) + 1
         size = F.size(T.index_terms(F.coalesce("title", F.lit("")))) + F.size(T.index_terms(F.coalesce("content", F.lit(""))))
         own = F.col("content_hash") if "content_hash" in chunks.columns else F.sha2(F.concat_ws("\x00", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))), 256)
-        chunks.select("chunk_id", size.alias("n_terms"), own.alias("content_hash"), F.lit(False).alias("deleted")).write.parquet(f"{self.path}/entries/epoch={epoch}")
+        entries = chunks.select("chunk_id", size.alias("n_terms"), own.alias("content_hash"), F.lit(False).alias("deleted"))
+        entries.write.mode("overwrite").parquet(f"{self.path}/entries/epoch={epoch}")
+        self._write(epoch, before, _grouped(terms_in_place(chunks), []))
+
+    def _write(self, epoch: int, before: list[Row], postings: DataFrame) -> None:
+        """Postings (term, chunk_id, n_terms, in_title, in_content) of the epoch's entries as blocks and positions, then the epoch itself."""
+        entries = self.spark.read.parquet(f"{self.path}/entries/epoch={epoch}")
+        n, terms = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
+        groups, files = max(1, -(-n // self.group)), max(1, -(-terms // self.file_rows))
+        number = F.pmod(F.xxhash64(F.lit(4), "chunk_id"), F.lit(groups)).cast("int")
+        order = ["term", "group"]
+        dealt = postings.withColumn("group", number).repartitionByRange(files, *order).sortWithinPartitions(*order)
+        dealt.write.mode("overwrite").parquet(f"{self.path}/positions/epoch={epoch}")
+        counts = self.spark.read.parquet(f"{self.path}/positions/epoch={epoch}").select(*order, "chunk_id", "n_terms", F.size("in_title").alias("in_title"), F.size("in_content").alias("in_content"))
+        # Ranges keep a term's group together, so grouping needs no other shuffle.
+        most = lambda c: F.max(c).alias(f"max_{c.removeprefix('in_')}")
+        blocks = counts.repartitionByRange(files, *order).groupBy(*order).agg(
+            F.count(F.lit(1)).alias("n"), most("in_title"), most("in_content"), F.min("n_terms").alias("min_terms"),
+            F.collect_list(F.struct("chunk_id", "n_terms", "in_title", "in_content")).alias("held"),
+        )
+        blocks.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/blocks/epoch={epoch}")
+        self._commit(epoch, before, entries, n, terms, True)
 
     def delete(self, chunk_ids: DataFrame) -> None:
         """Forget chunks (chunk_id)."""
+        before = self.epochs()
+        epoch = (before[-1]["epoch"] if before else 0) + 1
         gone = chunk_ids.select("chunk_id", F.lit(0).alias("n_terms"), F.lit(None).cast("string").alias("content_hash"), F.lit(True).alias("deleted"))
-        gone.write.parquet(f"{self.path}/entries/epoch={self._next()}")
+        gone.write.mode("overwrite").parquet(f"{self.path}/entries/epoch={epoch}")
+        self._commit(epoch, before, self.spark.read.parquet(f"{self.path}/entries/epoch={epoch}"), 0, 0, False)
 
-    def _bucket(self) -> Column:
-        return F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int")
+    def _entries(self, epochs: list[Row]) -> DataFrame:
+        last = F.max_by(F.struct("epoch", "n_terms", "content_hash", "deleted"), "epoch").alias("last")
+        entries = self._read("entries", [r["epoch"] for r in epochs])
+        return entries.groupBy("chunk_id").agg(last).select("chunk_id", "last.*").filter("NOT deleted").drop("deleted")
 
     def entries(self) -> DataFrame:
         """chunk_id, epoch, n_terms, content_hash of the chunks that the index holds."""
-        entries = self._read("entries")
-        if entries is None:
-            return self.spark.createDataFrame([], "chunk_id string, epoch int, n_terms int, content_hash string")
-        last = F.max_by(F.struct("epoch", "n_terms", "content_hash", "deleted"), "epoch").alias("last")
-        return entries.groupBy("chunk_id").agg(last).select("chunk_id", "last.*").filter("NOT deleted").drop("deleted")
+        epochs = self.epochs()
+        return self._entries(epochs) if epochs else self.spark.createDataFrame([], "chunk_id string, epoch int, n_terms int, content_hash string")
+
+    def view(self) -> IndexView | None:
+        """The index as it is now, for a search; None while it is empty."""
+        epochs = self.epochs()
+        return IndexView(self, epochs) if any(r["wrote"] for r in epochs) else None
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:
-        rows = self._read("postings")
-        if rows is None:
+        """term, chunk_id, n_terms, in_title, in_content; only of the terms (term), if any are given."""
+        view = self.view()
+        if view is None:
             none = "array<int>"
             return self.spark.createDataFrame([], f"term string, chunk_id string, n_terms int, in_title {none}, in_content {none}")
-        if terms is not None:
-            rows = rows.join(terms.select("term", self._bucket().alias("bucket")).distinct(), ["bucket", "term"], "left_semi")
-        if self.epochs() != [1] or rows.select("epoch").distinct().count() != 1:
-            rows = rows.join(self.entries().select("chunk_id", "epoch"), ["chunk_id", "epoch"], "left_semi")
-        return rows.select("term", "chunk_id", "n_terms", "in_title", "in_content")
+        return view.postings(terms).select("term", "chunk_id", "n_terms", "in_title", "in_content")
 
     def statistics(self) -> DataFrame:
-        return self.entries().agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("n_terms").alias("mean_terms"))
+        """One row: n_chunks, mean_terms."""
+        epochs = self.epochs()
+        n, terms = (epochs[-1]["n_chunks"], epochs[-1]["n_terms"]) if epochs else (0, 0)
+        return self.spark.createDataFrame([(n, terms / n if n else None)], "n_chunks long, mean_terms double")
 
     def compare(self, chunks: DataFrame) -> DataFrame:
         """chunk_id, state: ``orphan`` in the index only, ``missing`` from it, ``changed`` since (chunk_id, content_hash)."""
@@ -136,24 +170,69 @@ class TextIndex:
 
     def compacted(self, path: str) -> TextIndex:
         """The same index in another folder, without what later epochs have replaced."""
-        other = TextIndex(self.spark, path, self.buckets, self.spread)
-        dealt = self.postings().withColumns({"bucket": other._bucket(), "part": F.pmod(F.xxhash64(F.lit(3), "chunk_id"), F.lit(self.spread))})
-        rows = dealt.repartition(self.buckets * self.spread, "bucket", "part").drop("part").sortWithinPartitions("bucket", "term")
-        rows.write.partitionBy("bucket").parquet(f"{path}/postings/epoch=1")
-        self.entries().drop("epoch").withColumn("deleted", F.lit(False)).write.parquet(f"{path}/entries/epoch=1")
+        other = TextIndex(self.spark, path, self.group, self.file_rows)
+        self.entries().drop("epoch").withColumn("deleted", F.lit(False)).write.mode("overwrite").parquet(f"{path}/entries/epoch=1")
+        other._write(1, [], self.postings())
         return other
 
 
+EPOCHS = "epoch int, n_chunks long, n_terms long, dead long, wrote boolean"
+
+
+@dataclass(frozen=True)
+class IndexView:
+    """An index at one epoch: what one search reads."""
+
+    index: TextIndex
+    at: list[Row]
+
+    @property
+    def n_chunks(self) -> int:
+        return self.at[-1]["n_chunks"]
+
+    @property
+    def mean_terms(self) -> float:
+        return self.at[-1]["n_terms"] / self.n_chunks if self.n_chunks else 0.0
+
+    @property
+    def whole(self) -> bool:
+        """No posting is replaced or deleted."""
+        return not self.at[-1]["dead"]
+
+    def living(self, rows: DataFrame) -> DataFrame:
+        """rows (chunk_id, epoch, ...) of chunks whose last epoch that is."""
+        return rows if self.whole else rows.join(self.index._entries(self.at).select("chunk_id", "epoch"), ["chunk_id", "epoch"], "left_semi")
+
+    def _of(self, name: str, terms: DataFrame | None) -> DataFrame:
+        rows = self.index._read(name, [r["epoch"] for r in self.at if r["wrote"]])
+        return rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
+
+    def postings(self, terms: DataFrame | None = None) -> DataFrame:
+        """term, chunk_id, epoch, group, n_terms, in_title, in_content (places)."""
+        return self.living(self._of("positions", terms))
+
+    def blocks(self, terms: DataFrame) -> DataFrame:
+        """term, epoch, group, n, max_title, max_content, min_terms, held of the blocks of terms, with replaced postings."""
+        return self._of("blocks", terms)
+
+
 def kept_index(files: DataFrame, chunks: DataFrame, path: str) -> TextIndex:
     """The index of chunks (chunk_id, title, content, content_hash) in the folder, brought up to date where the files that the
     chunks come from (relative, size, mtime) aren't those that it was last brought up to."""
     index = TextIndex(chunks.sparkSession, path)
     row = F.concat_ws("|", "relative", "size", "mtime")
-    now = files.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(row)), ","), 256).alias("digest"))
-    seen = index._read("state")
-    digest = now.first()["digest"]
-    if seen is None or seen.agg(F.max_by("digest", "epoch")).first()[0] != digest:
+    # Sums of hashes don't depend on an order, so any number of tasks makes them.
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), row).cast("decimal(38,0)"))
+    digest = str(tuple(files.agg(F.count(F.lit(1)), total(1), total(2)).first()))
+    state = f"{path}/state"
+    try:
+        seen = {r["digest"]: r["epoch"] for r in chunks.sparkSession.read.schema("epoch int, digest string").parquet(state).collect()}
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        seen = {}
+    if not seen or digest != max(seen, key=lambda d: seen[d]):
         index.sync(chunks)
-        epoch = max(index.epochs(), default=0)
-        now.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{path}/state")
+        last = (index.epochs() or [Row(epoch=0)])[-1]["epoch"]
+        chunks.sparkSession.createDataFrame([(last, digest)], "epoch int, digest string").coalesce(1).write.mode("append").parquet(state)
     return index

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as T
-from quillon.operators.index import LiveIndex, TextIndex
+from quillon.operators.index import IndexView, LiveIndex, TextIndex
 from quillon.sources.storage import written
 
 #: Sums of doubles depend on their order, which a cluster doesn't fix. Scores are rounded far below what matters before
@@ -72,7 +72,7 @@ def bm25_score(idf: Column, f: Column, terms: Column, mean: Column, o: Bm25Optio
     return idf * f * (o.k1 + 1) / (f + o.k1 * (1 - o.b + o.b * terms / mean))
 
 
-def phrase_places(index: Index, phrases: DataFrame) -> DataFrame:
+def phrase_places(index: Index | IndexView, phrases: DataFrame) -> DataFrame:
     """phrase, chunk_id, n_terms, in_title, in_content: how often each phrase (phrase, terms) stands in a chunk's columns.
 
     A phrase of one term stands where the term does. Of a longer one each hit of term number k votes for the place where the
@@ -80,40 +80,57 @@ def phrase_places(index: Index, phrases: DataFrame) -> DataFrame:
     """
     asked = phrases.select("phrase", "terms").distinct().withColumn("k", F.size("terms"))
     parts = asked.select("phrase", "k", F.posexplode("terms").alias("at", "term"))
+    source = index if isinstance(index, IndexView) else _index(index)
     # Postings of the asked terms only, written once: single terms and phrases both read them.
-    found = written(_index(index).postings(parts.select("term").distinct()), "asked-postings")
-    hits = found.join(parts, "term")
-    single = hits.filter("k = 1").select("phrase", "chunk_id", "n_terms", F.size("in_title").alias("in_title"), F.size("in_content").alias("in_content"))
+    found = written(source.postings(parts.select("term").distinct()), "asked-postings")
+    chunk = [c for c in ("chunk_id", "epoch", "group", "n_terms") if c in found.columns]
+    single = found.join(parts.filter("k = 1"), "term").select("phrase", *chunk, F.size("in_title").alias("in_title"), F.size("in_content").alias("in_content"))
+    # A chunk that holds a phrase holds its rarest term, so only such chunks' places of the other terms are looked at.
+    holding = found.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.filter("k > 1").join(holding, "term").groupBy("phrase").agg(F.min_by("term", F.struct("n", "term")).alias("term"))
+    likely = found.select("term", "chunk_id").join(rarest, "term").select("phrase", "chunk_id").join(parts, "phrase")
     spots = lambda c: F.transform(f"in_{c}", lambda p: F.struct(F.lit(c).alias("col"), (p - F.col("at")).alias("start")))
     longer = (
-        hits.filter("k > 1")
-        .select("phrase", "k", "chunk_id", "n_terms", F.explode(F.concat(spots("title"), spots("content"))).alias("s"))
-        .groupBy("phrase", "k", "chunk_id", "n_terms", "s")
+        found.join(likely, ["term", "chunk_id"])
+        .select("phrase", "k", *chunk, F.explode(F.concat(spots("title"), spots("content"))).alias("s"))
+        .groupBy("phrase", "k", *chunk, "s")
         .agg(F.count(F.lit(1)).alias("votes"))
         .filter("votes = k")
-        .groupBy("phrase", "chunk_id", "n_terms")
+        .groupBy("phrase", *chunk)
         .agg(F.count_if(F.col("s.col") == "title").cast("int").alias("in_title"), F.count_if(F.col("s.col") == "content").cast("int").alias("in_content"))
     )
     return single.unionAll(longer)
 
 
+def _asked(queries: DataFrame) -> DataFrame:
+    """query_id, phrase, terms that a question (query_id, question) asks for, each once."""
+    parts = queries.select("query_id", F.explode(F.array_distinct(T.query_phrases(F.col("question")))).alias("text"))
+    terms = parts.select("query_id", T.index_terms(F.col("text")).alias("terms")).filter(F.size("terms") > 0)
+    return terms.select("query_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
+
+
+def _weights(holding: DataFrame, n_chunks: Column, options: Bm25Options) -> DataFrame:
+    """phrase, idf from how many chunks hold each phrase (phrase, n_holding)."""
+    idf = F.log((n_chunks - F.col("n_holding") + 0.5) / (F.col("n_holding") + 0.5))
+    return holding.withColumn("idf", F.when(idf <= 0, F.lit(options.least_idf)).otherwise(idf))
+
+
 def bm25(index: Index, queries: DataFrame, options: Bm25Options = Bm25Options(), allowed: DataFrame | None = None) -> DataFrame:
     """query_id, chunk_id, keyword_score, keyword_rank of the best chunks for each query (query_id, question).
 
     A question asks for phrases: what it joins by hyphens or underscores must stand together. A phrase has its own inverse
-    document frequency. Only postings of asked terms are read. allowed: chunk_ids that may be returned; statistics are
-    those of the whole index either way. Questions are the small side of each join; Spark broadcasts them while their size allows.
+    document frequency. Only postings of asked terms are read, of a kept index only the blocks that can still hold one of the best.
+    allowed: chunk_ids that may be returned; statistics are those of the whole index either way. Questions are the small side of
+    each join; Spark broadcasts them while their size allows.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(T.query_phrases(F.col("question")))).alias("text")).select(
-        "query_id", T.index_terms(F.col("text")).alias("terms")
-    )
-    asked = asked.filter(F.size("terms") > 0).select("query_id", F.array_join("terms", " ").alias("phrase"), "terms").distinct()
+    if isinstance(index, TextIndex):
+        view = index.view()
+        if view is not None:
+            return PrunedSearch(view, queries, options, allowed).best()
+    asked = _asked(queries)
     used = phrase_places(index, asked)
     holding = used.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_holding"))
-    idf = F.log((F.col("n_chunks") - F.col("n_holding") + 0.5) / (F.col("n_holding") + 0.5))
-    weights = holding.crossJoin(F.broadcast(_index(index).statistics())).select(
-        "phrase", "mean_terms", F.when(idf <= 0, F.lit(options.least_idf)).otherwise(idf).alias("idf")
-    )
+    weights = _weights(holding.crossJoin(F.broadcast(_index(index).statistics())), F.col("n_chunks"), options).select("phrase", "mean_terms", "idf")
     score = bm25_score(F.col("idf"), _weighted(F.col("in_title"), F.col("in_content"), options), F.col("n_terms"), F.col("mean_terms"), options)
     hits = used.join(weights, "phrase").join(asked.select("query_id", "phrase"), "phrase").groupBy("query_id", "chunk_id").agg(F.round(F.sum(score), DIGITS).alias("keyword_score"))
     if allowed is not None:
@@ -121,6 +138,89 @@ def bm25(index: Index, queries: DataFrame, options: Bm25Options = Bm25Options(),
     return best(hits, ["query_id"], [F.desc("keyword_score"), F.col("chunk_id")], options.keep, "keyword_rank")
 
 
+class PrunedSearch:
+    """The best chunks of a kept index, exactly, from few of its blocks.
+
+    A block's most occurrences and shortest chunk bound what its term adds to a score, and a group's bounds add up to one for all its
+    chunks. The groups with the highest bounds, as many as surely hold enough chunks, are scored first; the last of the best
+    among them is a score that others must reach. Only groups whose bound does are scored then, so none that could matter is left out.
+    """
+
+    def __init__(self, view: IndexView, queries: DataFrame, options: Bm25Options, allowed: DataFrame | None = None):
+        self.view, self.options, self.allowed = view, options, allowed
+        self.asked = written(_asked(queries), "asked")
+        single = self.asked.filter(F.size("terms") == 1).select("query_id", "phrase")
+        longer = self.asked.filter(F.size("terms") > 1)
+        terms = single.select(F.col("phrase").alias("term")).distinct()
+        head = ["epoch", "group", "n", "max_title", "max_content", "min_terms"]
+        heads = view.blocks(terms).select(F.col("term").alias("phrase"), *head)
+        self.places = None
+        if not longer.isEmpty():
+            self.places = written(phrase_places(view, longer).filter("in_title + in_content > 0"), "phrase-places")
+            own = self.places.groupBy("phrase", "epoch", "group").agg(
+                F.count(F.lit(1)).alias("n"), F.max("in_title").alias("max_title"), F.max("in_content").alias("max_content"), F.min("n_terms").alias("min_terms")
+            )
+            heads = heads.unionByName(own)
+        heads = written(heads, "block-heads")
+        counted = heads
+        if not view.whole:
+            # Replaced postings still stand in blocks; what holds a phrase now is counted from the lists.
+            living = view.living(self._listed(view.blocks(terms))).select("phrase", F.lit(1).alias("n"))
+            counted = living if self.places is None else living.unionByName(self.places.select("phrase", F.lit(1).alias("n")))
+        holding = counted.groupBy("phrase").agg(F.sum("n").alias("n_holding"))
+        self.weights = written(_weights(holding, F.lit(view.n_chunks), options).select("phrase", "idf"), "phrase-weights")
+        bound = self._score("max_title", "max_content", "min_terms")
+        self.groups = written(
+            heads.join(self.weights, "phrase").join(self.asked.select("query_id", "phrase"), "phrase")
+            .groupBy("query_id", "epoch", "group").agg(F.sum(bound).alias("bound"), F.max_by("n", bound).alias("sure")),
+            "group-bounds",
+        )
+
+    def _score(self, title: str, content: str, terms: str) -> Column:
+        o = self.options
+        return bm25_score(F.col("idf"), _weighted(F.col(title), F.col(content), o), F.col(terms), F.lit(self.view.mean_terms), o)
+
+    def _listed(self, blocks: DataFrame) -> DataFrame:
+        return blocks.select(F.col("term").alias("phrase"), "epoch", "group", F.inline("held"))
+
+    def read(self, groups: DataFrame) -> DataFrame:
+        """The blocks of groups (query_id, epoch, group) that a search opens."""
+        wanted = groups.join(self.asked.filter(F.size("terms") == 1), "query_id").select(F.col("phrase").alias("term"), "epoch", "group").distinct()
+        return self.view.blocks(wanted.select("term")).join(wanted, ["term", "epoch", "group"], "left_semi")
+
+    def scored(self, groups: DataFrame) -> DataFrame:
+        """query_id, chunk_id, keyword_score of all chunks of groups (query_id, epoch, group)."""
+        lists = self.view.living(self._listed(self.read(groups)))
+        if self.places is not None:
+            lists = lists.unionByName(self.places.select(*lists.columns))
+        hits = lists.join(self.asked.select("query_id", "phrase"), "phrase").join(groups.select("query_id", "epoch", "group"), ["query_id", "epoch", "group"], "left_semi")
+        scores = hits.join(self.weights, "phrase").groupBy("query_id", "chunk_id").agg(F.round(F.sum(self._score("in_title", "in_content", "n_terms")), DIGITS).alias("keyword_score"))
+        return scores if self.allowed is None else scores.join(self.allowed, "chunk_id", "left_semi")
+
+    def first(self) -> DataFrame:
+        """The groups with the highest bounds: as few as hold enough chunks with the phrase that counts most in them."""
+        keep = self.options.keep
+        order = [F.desc("bound"), F.col("epoch"), F.col("group")]
+        top = best(self.groups, ["query_id"], order, keep, "nth")
+        before = Window.partitionBy("query_id").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+        return top.withColumn("so_far", F.coalesce(F.sum("sure").over(before), F.lit(0))).filter(F.col("so_far") < keep).select("query_id", "epoch", "group")
+
+    def rest(self, first: DataFrame, found: DataFrame) -> DataFrame:
+        """The other groups whose bound reaches the last of the best so far."""
+        keep = self.options.keep
+        top = best(found, ["query_id"], [F.desc("keyword_score"), F.col("chunk_id")], keep)
+        least = top.filter(F.col("rank") == keep).select("query_id", F.col("keyword_score").alias("least"))
+        others = self.groups.join(first, ["query_id", "epoch", "group"], "left_anti").join(least, "query_id", "left")
+        slack = 10.0 ** (1 - DIGITS)
+        return others.filter(F.col("bound") * (1 + slack) + slack >= F.coalesce("least", F.lit(0.0))).select("query_id", "epoch", "group")
+
+    def best(self) -> DataFrame:
+        first = written(self.first(), "first-groups")
+        found = written(self.scored(first), "first-scores")
+        more = self.scored(written(self.rest(first, found), "other-groups"))
+        return best(found.unionByName(more), ["query_id"], [F.desc("keyword_score"), F.col("chunk_id")], self.options.keep, "keyword_rank")
+
+
 def phrase_hits(index: Index, phrases: DataFrame) -> DataFrame:
     """query_id, phrase, chunk_id, n: how often each phrase (query_id, phrase) stands in a chunk, term after term."""
     asked = phrases.select("query_id", "phrase", T.index_terms(F.col("phrase")).alias("terms")).withColumn("key", F.array_join("terms", " "))
