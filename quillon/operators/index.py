@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from quillon.functions import text as T
+from quillon.sources.commits import Transaction
 from quillon.sources.storage import written
 
 
@@ -54,27 +55,67 @@ class LiveIndex:
         return self.chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg(size).alias("mean_terms"))
 
 
+class Folders:
+    """An index's tables as folders of one path."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def read(self, name: str, epochs: list[int]) -> DataFrame:
+        # Files of an epoch that never came to be are left aside.
+        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/epoch={e}" for e in epochs])
+
+    def write(self, name: str, epoch: int, rows: DataFrame) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.path}/{name}/epoch={epoch}")
+
+    def epochs(self) -> list[Row]:
+        try:
+            return self.spark.read.schema(EPOCHS).parquet(f"{self.path}/epochs").collect()
+        except AnalysisException as error:
+            if "PATH_NOT_FOUND" in str(error):
+                return []
+            raise
+
+    def commit(self, row: DataFrame) -> None:
+        row.write.mode("append").parquet(f"{self.path}/epochs")
+
+
+class InTransaction:
+    """An index's tables among those of a transaction: an epoch comes to be with the commit."""
+
+    def __init__(self, transaction: Transaction, prefix: str = "index"):
+        self.transaction, self.prefix = transaction, prefix
+
+    def read(self, name: str, epochs: list[int]) -> DataFrame:
+        return self.transaction.read(f"{self.prefix}_{name}").filter(F.col("epoch").isin(epochs))
+
+    def write(self, name: str, epoch: int, rows: DataFrame) -> None:
+        self.transaction.append(f"{self.prefix}_{name}", rows.withColumn("epoch", F.lit(epoch)))
+
+    def epochs(self) -> list[Row]:
+        name = f"{self.prefix}_epochs"
+        return self.transaction.read(name).collect() if self.transaction.has(name) else []
+
+    def commit(self, row: DataFrame) -> None:
+        self.transaction.append(f"{self.prefix}_epochs", row)
+
+
 @dataclass(frozen=True)
 class TextIndex:
     spark: SparkSession
     path: str
     group: int = 128  # chunks of a group, about
     file_rows: int = 4_000_000  # occurrences of terms of a file, about
+    store: InTransaction | None = None  # instead of the path
 
-    def _read(self, name: str, epochs: list[int]) -> DataFrame:
-        # Files of an epoch that never came to be are left aside.
-        return self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*[f"{self.path}/{name}/epoch={e}" for e in epochs])
+    @property
+    def _store(self) -> Folders | InTransaction:
+        return self.store or Folders(self.spark, self.path)
 
     def epochs(self) -> list[Row]:
         """epoch, n_chunks, n_terms, dead, wrote: a row for each epoch, in order: what the index holds after it, entries that later
         ones have replaced, and whether it has postings."""
-        try:
-            rows = self.spark.read.schema(EPOCHS).parquet(f"{self.path}/epochs").collect()
-        except AnalysisException as error:
-            if "PATH_NOT_FOUND" in str(error):
-                return []
-            raise
-        return sorted(rows, key=lambda r: r["epoch"])
+        return sorted(self._store.epochs(), key=lambda r: r["epoch"])
 
     def _commit(self, epoch: int, before: list[Row], touched: DataFrame, n: int, terms: int, wrote: bool) -> None:
         old = before[-1] if before else None
@@ -82,7 +123,7 @@ class TextIndex:
         if old:
             gone, gone_terms = self._entries(before).join(touched.select("chunk_id"), "chunk_id", "left_semi").agg(F.count(F.lit(1)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
         row = (epoch, (old["n_chunks"] if old else 0) - gone + n, (old["n_terms"] if old else 0) - gone_terms + terms, (old["dead"] if old else 0) + gone, wrote)
-        self.spark.createDataFrame([row], EPOCHS).coalesce(1).write.mode("append").parquet(f"{self.path}/epochs")
+        self._store.commit(self.spark.createDataFrame([row], EPOCHS).coalesce(1))
 
     def upsert(self, chunks: DataFrame) -> None:
         """Index chunks (chunk_id, title, content[, content_hash]); chunks that are known already are replaced."""
@@ -91,26 +132,26 @@ class TextIndex:
         size = F.size(T.index_terms(F.coalesce("title", F.lit("")))) + F.size(T.index_terms(F.coalesce("content", F.lit(""))))
         own = F.col("content_hash") if "content_hash" in chunks.columns else F.sha2(F.concat_ws("\x00", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit(""))), 256)
         entries = chunks.select("chunk_id", size.alias("n_terms"), own.alias("content_hash"), F.lit(False).alias("deleted"))
-        entries.write.mode("overwrite").parquet(f"{self.path}/entries/epoch={epoch}")
+        self._store.write("entries", epoch, entries)
         self._write(epoch, before, _grouped(terms_in_place(chunks), []))
 
     def _write(self, epoch: int, before: list[Row], postings: DataFrame) -> None:
         """Postings (term, chunk_id, n_terms, in_title, in_content) of the epoch's entries as blocks and positions, then the epoch itself."""
-        entries = self.spark.read.parquet(f"{self.path}/entries/epoch={epoch}")
+        entries = self._store.read("entries", [epoch])
         n, terms = entries.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
         groups, files = max(1, -(-n // self.group)), max(1, -(-terms // self.file_rows))
         number = F.pmod(F.xxhash64(F.lit(4), "chunk_id"), F.lit(groups)).cast("int")
         order = ["term", "group"]
         dealt = postings.withColumn("group", number).repartitionByRange(files, *order).sortWithinPartitions(*order)
-        dealt.write.mode("overwrite").parquet(f"{self.path}/positions/epoch={epoch}")
-        counts = self.spark.read.parquet(f"{self.path}/positions/epoch={epoch}").select(*order, "chunk_id", "n_terms", F.size("in_title").alias("in_title"), F.size("in_content").alias("in_content"))
+        self._store.write("positions", epoch, dealt)
+        counts = self._store.read("positions", [epoch]).select(*order, "chunk_id", "n_terms", F.size("in_title").alias("in_title"), F.size("in_content").alias("in_content"))
         # Ranges keep a term's group together, so grouping needs no other shuffle.
         most = lambda c: F.max(c).alias(f"max_{c.removeprefix('in_')}")
         blocks = counts.repartitionByRange(files, *order).groupBy(*order).agg(
             F.count(F.lit(1)).alias("n"), most("in_title"), most("in_content"), F.min("n_terms").alias("min_terms"),
             F.collect_list(F.struct("chunk_id", "n_terms", "in_title", "in_content")).alias("held"),
         )
-        blocks.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{self.path}/blocks/epoch={epoch}")
+        self._store.write("blocks", epoch, blocks.sortWithinPartitions(*order))
         self._commit(epoch, before, entries, n, terms, True)
 
     def delete(self, chunk_ids: DataFrame) -> None:
@@ -118,12 +159,12 @@ class TextIndex:
         before = self.epochs()
         epoch = (before[-1]["epoch"] if before else 0) + 1
         gone = chunk_ids.select("chunk_id", F.lit(0).alias("n_terms"), F.lit(None).cast("string").alias("content_hash"), F.lit(True).alias("deleted"))
-        gone.write.mode("overwrite").parquet(f"{self.path}/entries/epoch={epoch}")
-        self._commit(epoch, before, self.spark.read.parquet(f"{self.path}/entries/epoch={epoch}"), 0, 0, False)
+        self._store.write("entries", epoch, gone)
+        self._commit(epoch, before, self._store.read("entries", [epoch]), 0, 0, False)
 
     def _entries(self, epochs: list[Row]) -> DataFrame:
         last = F.max_by(F.struct("epoch", "n_terms", "content_hash", "deleted"), "epoch").alias("last")
-        entries = self._read("entries", [r["epoch"] for r in epochs])
+        entries = self._store.read("entries", [r["epoch"] for r in epochs])
         return entries.groupBy("chunk_id").agg(last).select("chunk_id", "last.*").filter("NOT deleted").drop("deleted")
 
     def entries(self) -> DataFrame:
@@ -204,7 +245,7 @@ class IndexView:
         return rows if self.whole else rows.join(self.index._entries(self.at).select("chunk_id", "epoch"), ["chunk_id", "epoch"], "left_semi")
 
     def _of(self, name: str, terms: DataFrame | None) -> DataFrame:
-        rows = self.index._read(name, [r["epoch"] for r in self.at if r["wrote"]])
+        rows = self.index._store.read(name, [r["epoch"] for r in self.at if r["wrote"]])
         return rows if terms is None else rows.join(terms.select("term").distinct(), "term", "left_semi")
 
     def postings(self, terms: DataFrame | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-MODULES = ("search", "timeline", "corpus", "governance", "recordings", "maintenance", "forms")
+MODULES = ("search", "timeline", "corpus", "governance", "recordings", "maintenance", "forms", "changes")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
