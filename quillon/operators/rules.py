@@ -298,9 +298,8 @@ def private_findings(files: DataFrame, most_lines: int = 20) -> DataFrame:
     ])
     hits = files.withColumn("__low", F.lower("text")).select("path", "text", F.explode(F.filter(each, lambda x: x["n"] > 0)).alias("x"))
     # What stands before each match tells its line, wherever the match ends: the text is split at the matches.
-    mark = "\ue000"
-    before = F.slice(F.split(F.regexp_replace("text", F.col("x.pattern"), F.lit(mark)), mark, -1), F.lit(1), F.col("x.n"))
-    # A replaced match may have held line ends; those are its own count less what is left.
+    before = F.slice(F.split("text", F.col("x.pattern"), F.lit(-1)), F.lit(1), F.col("x.n"))
+    # A match may hold line ends itself; they count for what follows it.
     inside = F.transform(F.regexp_extract_all("text", F.col("x.pattern"), F.lit(0)), lambda m: F.length(m) - F.length(F.replace(m, F.lit("\n"), F.lit(""))))
     ends = F.transform(before, lambda b: F.length(b) - F.length(F.replace(b, F.lit("\n"), F.lit(""))))
     at = F.aggregate(
@@ -400,12 +399,15 @@ def share_copy(files: DataFrame) -> DataFrame:
 
 
 def copy_errors(files: DataFrame, copy: DataFrame) -> DataFrame:
-    """path, error of a shared copy scanned again: what is forbidden or private, and what differs from its source (path, text)."""
+    """path, error of a shared copy scanned again: what is forbidden or private, what differs from its source (path, text), and what of
+    the source is allowed and missing."""
     hit = is_private(F.col("text"), F.lower("text"))
-    source = files.select("path", F.sha2("text", 256).alias("own"))
-    rows = copy.join(source, "path", "left")
+    source = files.select(F.col("path").alias("__path"), F.sha2("text", 256).alias("own"))
+    allowed = share_copy(files).select(F.col("path").alias("__allowed"))
+    rows = copy.join(source, F.col("path") == F.col("__path"), "left")
     error = F.when(forbidden_share(F.col("path")), "forbidden_path").when(hit, "private_content").when(F.col("own").isNull(), "unexpected").when(F.col("own") != F.sha2("text", 256), "different")
-    return rows.select("path", error.alias("error")).filter("error IS NOT NULL")
+    missing = allowed.join(copy.select("path"), F.col("__allowed") == F.col("path"), "left_anti").select(F.col("__allowed").alias("path"), F.lit("missing").alias("error"))
+    return rows.select("path", error.alias("error")).filter("error IS NOT NULL").unionAll(missing)
 
 
 def path_collisions(files: DataFrame) -> DataFrame:

@@ -315,17 +315,30 @@ def forbidden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "snk_18_share_copy",
-    f"""WITH {PATHS}, a AS (SELECT doc_id FROM f WHERE NOT (doc_id % 5 IN (0, 3) OR doc_id % 9 IN (3, 4)))
-    SELECT (SELECT count(*) FROM a)::BIGINT AS allowed, 0::BIGINT AS errors, true AS fewer""",
+    f"""WITH {PATHS}, s AS (SELECT doc_id, CASE WHEN doc_id % 4 = 1 THEN text || chr(10) || 'mail jane.roe@example.org' ELSE 'note ' || md5(text) END AS text FROM f WHERE NOT (doc_id % 5 IN (0, 3) OR doc_id % 9 IN (3, 4))),
+    c AS (SELECT doc_id, sha256(text) AS sha256 FROM s WHERE NOT regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+'))
+    SELECT doc_id, CASE WHEN doc_id % 6 = 2 THEN NULL WHEN doc_id % 6 = 4 THEN sha256('changed') ELSE sha256 END AS sha256,
+      CASE WHEN doc_id % 6 = 2 THEN 'missing' WHEN doc_id % 6 = 4 THEN 'different' END AS error FROM c
+    UNION ALL SELECT doc_id, sha256('planted'), 'forbidden_path' FROM f WHERE doc_id % 9 = 3 AND doc_id % 7 = 1
+    UNION ALL SELECT doc_id, sha256('call +1 415 555 0100, jane.roe@example.org'), 'private_content' FROM c WHERE doc_id % 6 = 5""",
 )
 def share_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files allowed by path, errors of the scanned copy, and whether private contents leave no more than those."""
-    files = _paths(spark, sf_dir).withColumn("path", F.concat("path", F.lit("-"), "doc_id")).withColumn("path", F.regexp_replace("path", r"\.([A-Za-z0-9]+)-(\d+)$", r"-$2.$1"))
-    original = _paths(spark, sf_dir)
-    allowed = original.filter(~rules.forbidden_share(F.col("path"))).agg(F.count(F.lit(1)).alias("allowed"))
-    copy = rules.share_copy(files.filter(~rules.forbidden_share(F.col("path")))).select("path", "text")
-    errors = rules.copy_errors(files, copy).agg(F.count(F.lit(1)).alias("errors"))
-    return allowed.crossJoin(errors).crossJoin(copy.agg(F.count(F.lit(1)).alias("copied"))).select("allowed", "errors", (F.col("copied") <= F.lit(10**12)).alias("fewer"))
+    """What a shared copy holds, with the digest of each file, after files were lost, changed and planted in it; and each of these as an error."""
+    numbered = F.regexp_replace(F.concat("path", F.lit("-"), "doc_id"), r"\.([A-Za-z0-9]+)-(\d+)$", r"-$2.$1")
+    path = F.when(rules.forbidden_share(F.col("path")), F.concat(F.col("doc_id").cast("string"), F.lit("/"), "path")).otherwise(numbered)
+    plain = F.concat(F.lit("note "), F.md5("text"))
+    mail = F.concat("text", F.lit("\nmail jane.roe@example.org"))
+    files = _paths(spark, sf_dir).select("doc_id", path.alias("path"), F.when(F.col("doc_id") % 4 == 1, mail).otherwise(plain).alias("text"))
+    source = files.select("path", "text")
+    copied = rules.share_copy(source).join(files.select("path", "doc_id"), "path")
+    kind = F.col("doc_id") % 6
+    kept = copied.filter(kind != 2).withColumn("text", F.when(kind == 4, "changed").otherwise(F.col("text")))
+    forbidden = files.filter("doc_id % 9 = 3 AND doc_id % 7 = 1").withColumn("text", F.lit("planted"))
+    private = copied.filter(kind == 5).select("doc_id", F.concat(F.lit("private/"), "doc_id").alias("path"), F.lit("call +1 415 555 0100, jane.roe@example.org").alias("text"))
+    copy = kept.select("doc_id", "path", "text").unionAll(forbidden.select("doc_id", "path", "text")).unionAll(private)
+    errors = rules.copy_errors(source, copy.select("path", "text"))
+    held = copy.select("doc_id", "path", F.sha2("text", 256).alias("sha256")).join(errors, "path", "full")
+    return held.join(files.select("path", F.col("doc_id").alias("own")), "path", "left").select(F.coalesce("doc_id", "own").alias("doc_id"), "sha256", "error")
 
 
 @query(
@@ -379,7 +392,8 @@ def service_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "ret_09_service_vectors",
-    "SELECT label AS request_id, count(*)::BIGINT AS n FROM embeddings GROUP BY label HAVING label % 2 = 0",
+    """WITH e AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS position, embedding FROM embeddings)
+    SELECT label AS request_id, position::INT AS position, round(list_sum(embedding::DOUBLE[]), 3) AS total, round(embedding[1]::DOUBLE, 3) AS first, len(embedding)::INT AS size FROM e WHERE label % 2 = 0""",
 )
 def service_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers with as many vectors as were asked for are taken; the others, one short, aren't."""
@@ -387,7 +401,10 @@ def service_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.struct("index", F.col("embedding").alias("embedding"))
     bodies = e.groupBy(F.col("label").alias("request_id")).agg(F.to_json(F.struct(F.collect_list(item).alias("data"))).alias("body"), F.count(F.lit(1)).alias("n"))
     asked = bodies.select("request_id", (F.col("n") + F.col("request_id") % 2).alias("n"))
-    return upkeep.service_vectors(asked, bodies.select("request_id", "body")).groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
+    shuffled = bodies.select("request_id", F.to_json(F.struct(F.reverse(F.from_json("body", "data array<struct<index:int,embedding:array<double>>>")["data"]).alias("data"))).alias("body"))
+    taken = upkeep.service_vectors(asked, shuffled)
+    total = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x)
+    return taken.select("request_id", "position", F.round(total, 3).alias("total"), F.round(F.get("vector", F.lit(0)), 3).alias("first"), F.size("vector").alias("size"))
 
 
 def _by_label():
