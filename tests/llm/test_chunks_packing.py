@@ -7,31 +7,31 @@ import zlib
 import numpy as np
 import pytest
 
-from quillon.llm.chunk_dedup import ChunkOptions, cut_points, cut_repeats, gear, repeated_passages
+from quillon.llm.chunk_dedup import ChunkOptions, cut_points, cut_repeats, repeated_passages, seeds
 from quillon.llm.packing import PackOptions, _ids, best_fit, pack, token_ids
+from quillon.llm.wordhash import word_hashes
 from tests.llm.helpers import AWKWARD, documents, empty, words
 
 
-def test_gear_depends_on_sixteen_bytes():
-    r = np.random.default_rng(1)
-    a, b = r.integers(0, 256, 300, dtype=np.uint8), r.integers(0, 256, 300, dtype=np.uint8)
-    b[200:] = a[200:]
-    assert (gear(a)[215:] == gear(b)[215:]).all() and not (gear(a)[200:214] == gear(b)[200:214]).all()
-
-
-def test_chunks_cover_texts_and_resist_shifts():
+def test_cuts_depend_on_the_last_words_alone():
     options = ChunkOptions()
-    text = " ".join(words(600, 5)).encode()
+    codes = lambda text: word_hashes([text.encode()])[0]
+    passage = words(80, 5)
+    a, b = codes(" ".join(words(33, 6) + passage)), codes(" ".join(words(71, 7) + passage + words(9, 8)))
+    inner = lambda w, at: {int(x) - at for x in cut_points(w, options) if at + options.window <= x < at + 80}
+    assert inner(a, 33) == inner(b, 71) and len(inner(a, 33)) > 20
+    points = cut_points(a, options)
+    assert points[0] == 0 and points[-1] == len(a) and (np.diff(points) > 0).all()
 
-    def pieces(t):
-        ends = cut_points(np.frombuffer(t, dtype=np.uint8), options)
-        return [t[a:b] for a, b in zip([0, *ends], ends)]
 
-    assert b"".join(pieces(text)) == text and all(len(p) <= options.longest + 3 for p in pieces(text))
-    shifted = pieces(text[:1000] + b"INSERTED" + text[1000:])
-    assert len(set(pieces(text)) - set(shifted)) <= 4
-    for p in pieces(("é漢😀" * 400).encode()):
-        p.decode()
+def test_seeds_hold_the_fewest_chunks():
+    options = ChunkOptions()
+    w = word_hashes([" ".join(words(200, 9)).encode()])[0]
+    points = cut_points(w, options).tolist()
+    begins, ends, digests = seeds(w, options)
+    assert [(b, min(p for p in points if p >= b + options.seed_words)) for b in points if points[-1] - b >= options.seed_words] == list(zip(begins.tolist(), ends.tolist()))
+    shifted = seeds(np.concatenate((w[150:170], w)), options)
+    assert set(digests.tolist()[4:]) <= set(shifted[2].tolist()) and len(set(digests.tolist())) == len(digests)
 
 
 def test_passages_repeat_across_documents(spark):
