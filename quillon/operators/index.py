@@ -252,8 +252,8 @@ class IndexView:
         """term, chunk_id, epoch, group, n_terms, in_title, in_content (places)."""
         return self.living(self._of("positions", terms))
 
-    def blocks(self, terms: DataFrame) -> DataFrame:
-        """term, epoch, group, n, max_title, max_content, min_terms, held of the blocks of terms, with replaced postings."""
+    def blocks(self, terms: DataFrame | None = None) -> DataFrame:
+        """term, epoch, group, n, max_title, max_content, min_terms, held of the blocks of terms, or all; replaced postings are among them."""
         return self._of("blocks", terms)
 
 

@@ -158,14 +158,20 @@ def voice_spans(
     """(by, start, end, mean_energy) of speech in frames (by, n, energy): loud frames, short pauses bridged, short bursts
     dropped, padded and joined.
 
-    A recording is worked on in blocks of frames. What crosses a block's border, the last loud frame, the number of bursts and
-    the last span, is carried over from one row for each block.
+    A recording is worked on in blocks of frames. What crosses a block's border, the number of bursts and the last span, is carried over
+    from one row for each block.
     """
     bridge, least = max(1, int(silence / frame + 1e-9)), max(1, int(speech / frame + 1e-9))
-    blocks = frames.withColumn(prefix.BLOCK, F.floor(F.col("n") / block).cast("int")).join(quiet_limits(frames, by), by)
+    back = bridge + 1
+    size = max(block, back)
+    own = F.floor(F.col("n") / size).cast("int")
+    # A frame opens a burst where the frames just before it are quiet; the last ones of a block are seen from the next block, too.
+    seen = F.when(F.pmod(F.col("n"), F.lit(size)) >= size - back, F.array(own, own + 1)).otherwise(F.array(own))
+    blocks = frames.withColumn(prefix.BLOCK, F.explode(seen)).join(quiet_limits(frames, by), by)
     loud = blocks.withColumn("spoken", F.when(F.col("energy") >= F.col("limit"), F.col("n"))).drop("limit")
-    gaps = prefix.carried(loud, by, ["n"], "before", F.col("spoken"))
-    opens = F.col("spoken").isNotNull() & F.coalesce(F.col("spoken") - F.col("before") - 1 > bridge, F.lit(True))
+    just = Window.partitionBy(*by, prefix.BLOCK).orderBy("n").rangeBetween(-back, -1)
+    gaps = loud.withColumn("before", F.max("spoken").over(just)).filter(F.col(prefix.BLOCK) == own)
+    opens = F.col("spoken").isNotNull() & F.col("before").isNull()
     numbered = written(prefix.running_totals(gaps, by, ["n"], {"burst": opens.cast("long")}).filter("burst > 0"), "bursts")
     # A burst ends with its last loud frame; the bridged ones before that count in its mean, those after it don't.
     inside = Window.partitionBy(*by, prefix.BLOCK, "burst").orderBy("n").rowsBetween(Window.currentRow, Window.unboundedFollowing)
@@ -186,7 +192,7 @@ def voice_spans(
     )
     spans = bursts.filter(F.col("z") - F.col("a") + 1 >= least).select(
         *by,
-        F.floor(F.col("a") / block).cast("int").alias(prefix.BLOCK),
+        F.floor(F.col("a") / size).cast("int").alias(prefix.BLOCK),
         F.greatest(F.lit(0.0), F.col("a") * frame - pad).alias("start"),
         F.least(F.col("total") * frame, (F.col("z") + 1) * frame + pad).alias("end"),
         F.round(F.col("energy") / F.col("frames"), 2).alias("mean_energy"),

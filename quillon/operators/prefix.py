@@ -61,10 +61,10 @@ def running_totals(blocks: DataFrame, by: list[str], order: list[str], totals: d
 def carried(blocks: DataFrame, by: list[str], order: list[str], name: str, value: Column) -> DataFrame:
     """blocks and the last value that isn't null of a key's rows before each row."""
     valued = blocks.withColumn("__value", value)
-    last = valued.filter(F.col("__value").isNotNull()).groupBy(*by, BLOCK).agg(F.max_by("__value", F.struct(*order)).alias("__last"))
-    every = valued.select(*by, BLOCK).distinct()
+    # Rows without a value have no place in the order, so the greatest place is the last value's.
+    last = valued.groupBy(*by, BLOCK).agg(F.max_by("__value", F.when(F.col("__value").isNotNull(), F.struct(*order))).alias("__last"))
     earlier = Window.partitionBy(*by).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    held = _join(every, last, [*by, BLOCK]).select(*by, BLOCK, F.last("__last", ignorenulls=True).over(earlier).alias("__held"))
+    held = last.select(*by, BLOCK, F.last("__last", ignorenulls=True).over(earlier).alias("__held"))
     within = Window.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     inside = valued.withColumn(name, F.last("__value", ignorenulls=True).over(within)).drop("__value")
     return _join(inside, held, [*by, BLOCK]).withColumn(name, F.coalesce(name, "__held")).drop("__held")

@@ -161,20 +161,22 @@ class PrunedSearch:
                 F.count(F.lit(1)).alias("n"), F.max("in_title").alias("max_title"), F.max("in_content").alias("max_content"), F.min("n_terms").alias("min_terms")
             )
             heads = heads.unionByName(own)
-        heads = written(heads, "block-heads")
-        counted = heads
-        if not view.whole:
+        if view.whole:
+            # All postings of a phrase are in its blocks, so their sizes add up to the chunks that hold it.
+            counted = heads.withColumn("n_holding", F.sum("n").over(Window.partitionBy("phrase")))
+        else:
             # Replaced postings still stand in blocks; what holds a phrase now is counted from the lists.
             living = view.living(self._listed(view.blocks(terms))).select("phrase", F.lit(1).alias("n"))
-            counted = living if self.places is None else living.unionByName(self.places.select("phrase", F.lit(1).alias("n")))
-        holding = counted.groupBy("phrase").agg(F.sum("n").alias("n_holding"))
-        self.weights = written(_weights(holding, F.lit(view.n_chunks), options).select("phrase", "idf"), "phrase-weights")
+            every = living if self.places is None else living.unionByName(self.places.select("phrase", F.lit(1).alias("n")))
+            counted = heads.join(every.groupBy("phrase").agg(F.sum("n").alias("n_holding")), "phrase")
+        weighed = written(_weights(counted, F.lit(view.n_chunks), options), "block-heads")
+        self.weights = weighed.select("phrase", "idf").distinct()
         bound = self._score("max_title", "max_content", "min_terms")
-        self.groups = written(
-            heads.join(self.weights, "phrase").join(self.asked.select("query_id", "phrase"), "phrase")
-            .groupBy("query_id", "epoch", "group").agg(F.sum(bound).alias("bound"), F.max_by("n", bound).alias("sure")),
-            "group-bounds",
+        bounds = (
+            weighed.join(self.asked.select("query_id", "phrase"), "phrase")
+            .groupBy("query_id", "epoch", "group").agg(F.sum(bound).alias("bound"), F.max_by("n", bound).alias("sure"))
         )
+        self.groups = written(bounds, "group-bounds")
 
     def _score(self, title: str, content: str, terms: str) -> Column:
         o = self.options
@@ -186,7 +188,7 @@ class PrunedSearch:
     def read(self, groups: DataFrame) -> DataFrame:
         """The blocks of groups (query_id, epoch, group) that a search opens."""
         wanted = groups.join(self.asked.filter(F.size("terms") == 1), "query_id").select(F.col("phrase").alias("term"), "epoch", "group").distinct()
-        return self.view.blocks(wanted.select("term")).join(wanted, ["term", "epoch", "group"], "left_semi")
+        return self.view.blocks().join(wanted, ["term", "epoch", "group"], "left_semi")
 
     def scored(self, groups: DataFrame) -> DataFrame:
         """query_id, chunk_id, keyword_score of all chunks of groups (query_id, epoch, group)."""

@@ -11,7 +11,9 @@ from quillon.functions import text as T
 from quillon.operators.index import InTransaction, TextIndex
 from quillon.plans.catalog import query
 from quillon.plans.tables import EDGES, ITEMS, documents, items, messages, relations
+from quillon.plans.timeline import JOBS, job_events
 from quillon.sources import commits, storage
+from quillon.streaming import jobs
 
 
 def _log(spark: SparkSession) -> commits.CommitLog:
@@ -90,3 +92,15 @@ def restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     commits.restore_items(log, where("item_id = 'r1'"))
     aliases = log.read("aliases").select(F.col("item_id").alias("source_id"), F.col("alias").alias("target_id"), F.lit("alias").alias("relation_type"))
     return log.read("relations").select("source_id", "target_id", "relation_type").unionAll(aliases)
+
+
+@query("stm_02_streamed_states", f"WITH {JOBS} SELECT job_id, ordinal, status, percent FROM j")
+def streamed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Item states from a stream that is stopped twice and goes on from its checkpoint; each time older events arrive, too."""
+    root, log = f"{storage.shared_dir(spark)}/quillon-stream-{uuid.uuid4().hex}", _log(spark)
+    events = job_events(spark, sf_dir)
+    for part in range(3):
+        events.filter(F.col("event_ts") % 3 == part).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{root}/in")
+        jobs.keep_states(log, jobs.item_states(stream), f"{root}/checkpoint").awaitTermination()
+    return log.read("items").select("job_id", "ordinal", "status", "percent")

@@ -187,12 +187,15 @@ JOBS = """j AS (SELECT user_id % 50 AS job_id, user_id AS ordinal, arg_max(CASE
   arg_max((event_id % 101)::INT, event_id) AS percent FROM events GROUP BY ALL)"""
 
 
-def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_id") % 7 == 0, "running").otherwise("completed")
-    e = table(spark, sf_dir, "events").select(
+    return table(spark, sf_dir, "events").select(
         (F.col("user_id") % 50).alias("job_id"), F.col("user_id").alias("ordinal"), status.alias("status"), (F.col("event_id") % 101).cast("int").alias("percent"), F.col("event_id").alias("event_ts")
     )
-    return jobs.item_states(e)
+
+
+def _states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.item_states(job_events(spark, sf_dir))
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillon.operators.incremental import job_status
 from quillon.sources import schemas
+from quillon.sources.commits import CommitLog, Transaction
 
 
 def watch_folder(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -35,6 +36,21 @@ def item_states(events: DataFrame) -> DataFrame:
     return events.groupBy("job_id", "ordinal").agg(last).select("job_id", "ordinal", "last.status", "last.percent")
 
 
+def keep_states(log: CommitLog, states: DataFrame, checkpoint: str) -> StreamingQuery:
+    """Keep a table ``items`` at the latest state of each job item; a batch is one commit, and repeating it changes nothing."""
+
+    def apply(batch: DataFrame, _: int) -> None:
+        def change(t: Transaction) -> None:
+            if t.has("items"):
+                t.replace("items", t.read("items").join(batch, ["job_id", "ordinal"], "left_anti").unionByName(batch))
+            else:
+                t.append("items", batch)
+
+        log.run(change, "states")
+
+    return states.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def job_states(states: DataFrame) -> DataFrame:
     """Job counts from item states: recomputed, so that a replayed event changes nothing."""
     return job_status(states, ["job_id"])
