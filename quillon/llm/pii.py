@@ -24,6 +24,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache, lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -205,7 +206,7 @@ def _features(span: str, left: str, right: str) -> tuple[float, ...]:
         bool(_CUES["card"].search(left)),
         bool(_CUES["phone"].search(left)),
     ]
-    return tuple(map(float, f))
+    return tuple([1.0 if x else 0.0 for x in f])
 
 
 @dataclass
@@ -221,6 +222,8 @@ class Lattice:
 
 #: Characters that a candidate span has at most.
 WIDEST = 256
+#: Tokens whose candidates are scored at once.
+BATCH = 2_000
 
 
 def lattice(text: str, start: int, end: int, longest: int) -> Lattice:
@@ -284,6 +287,79 @@ class SemiCrf:
                 j = x.edges[back[j]][0]
         return out[::-1]
 
+    def decode_text(self, text: str, start: int, end: int, longest: int) -> list[tuple[str, int, int]]:
+        """What ``decode`` finds in an island, in memory that doesn't grow with it.
+
+        Tokens pass in batches: of what lies behind, only the last ``longest`` boundaries are kept, and the best way to each. Where
+        all these ways come from one boundary, what leads to that is settled and forgotten.
+        """
+        out: list[tuple[str, int, int]] = []
+        # By boundary, from `base` on: where a token begins there, digits and signs so far, whether a span may begin, score, and the way.
+        base, begin, digits, signs, opens = 0, [start], [0], [0], [False]
+        best, back, kinds = [0.0], [0], [-1]
+        tokens = _TOKEN.finditer(text, start, end)
+        while batch := [m.span() for m in islice(tokens, BATCH)]:
+            edges, rows, outside = [], [], []
+            first = base + len(begin) - 1
+            for a, b in batch:
+                token = text[a:b]
+                begin[-1] = a
+                opens[-1] = (token[0].isalnum() and not (a > 0 and text[a - 1].isalnum())) or token[0] in "+("
+                digits.append(digits[-1] + token[0].isdigit() * len(token))
+                signs.append(signs[-1] + (token == "@" or (len(token) > 2 and token[0] in "[({")))
+                begin.append(b)
+                opens.append(False)
+                outside.append((1.0, digits[-1] > digits[-2], signs[-1] > signs[-2]))
+                j = len(begin) - 1
+                if not token[-1].isalnum() or (b < len(text) and text[b].isalnum()):
+                    continue
+                for i in range(j - 1, max(-1, j - 1 - longest), -1):
+                    if b - begin[i] > WIDEST:
+                        break
+                    if opens[i] and (digits[j] - digits[i] >= 7 or signs[j] > signs[i]):
+                        edges.append((base + i, base + j))
+                        rows.append(span_features(text, begin[i], b))
+            inside = np.array(rows, dtype=np.float64).reshape(-1, N_FEATURES) @ self.spans.T
+            alone = (np.array(outside, dtype=np.float64) @ self.outside).tolist()
+            kind = inside.argmax(axis=1).tolist()
+            value = inside.max(axis=1).tolist() if len(rows) else []
+            e = 0
+            for j in range(first + 1, first + 1 + len(batch)):
+                score, way, of = best[-1] + alone[j - first - 1], j - 1, -1
+                while e < len(edges) and edges[e][1] == j:
+                    one = best[edges[e][0] - base] + value[e]
+                    if one > score:
+                        score, way, of = one, edges[e][0], kind[e]
+                    e += 1
+                best.append(score)
+                back.append(way)
+                kinds.append(of)
+            # The latest boundary that all ways to the last ones pass.
+            last = base + len(begin) - 1
+            alive = set(range(max(base, last - longest), last + 1))
+            while len(alive) > 1:
+                j = max(alive)
+                alive.discard(j)
+                alive.add(back[j - base] if j > base else base)
+            settled = alive.pop()
+            out += self._spans(base, settled, begin, back, kinds)
+            drop = settled - base
+            for column in (begin, digits, signs, opens, best, back, kinds):
+                del column[:drop]
+            base = settled
+        return out + self._spans(base, base + len(begin) - 1, begin, back, kinds)
+
+    @staticmethod
+    def _spans(base: int, j: int, begin: list[int], back: list[int], kinds: list[int]) -> list[tuple[str, int, int]]:
+        """The spans on the way from boundary `base` to j. A span ends where its last token does."""
+        out = []
+        while j > base:
+            i = back[j - base]
+            if kinds[j - base] >= 0:
+                out.append((KINDS[kinds[j - base]], begin[i - base], begin[j - base]))
+            j = i
+        return out[::-1]
+
     def gradient(self, x: Lattice, truth: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
         """Observed less expected features. truth: place -> kind."""
         inside, outside = self.scores(x)
@@ -432,7 +508,7 @@ def all_spans(text: str, model: SemiCrf, longest: int) -> tuple[list[Span], list
     begins = [a for a, _ in taken]
     added = []
     for island in islands(text):
-        for kind, a, b in model.decode(lattice(text, *island, longest)):
+        for kind, a, b in model.decode_text(text, *island, longest):
             i = bisect_left(begins, b)
             if not i or taken[i - 1][1] <= a:
                 added.append((kind, a, b))
