@@ -40,7 +40,7 @@ from quillon.llm.wordhash import grouped, mix, texts_of, word_hashes
 class ModelOptions:
     folds: int = 7
     held_out: int = 2
-    block_tokens: int = 3_000_000
+    block_tokens: int = 2_000_000
     range_keys: int = 2_000_000
 
 
