@@ -80,3 +80,8 @@ def test_coded_numbers_come_back():
         assert at[0] == 0 and at[-1] == len(keys) and all(int(k) * 5 >> 56 == i for i in range(5) for k in keys[at[i] : at[i + 1]])
     kinds, sums, places = summed([np.array([3, 5], dtype=np.uint64), np.array([5], dtype=np.uint64)], [np.array([1, 2]), np.array([4])])
     assert kinds.tolist() == [3, 5] and sums.tolist() == [1, 6] and [p.tolist() for p in places] == [[0, 1], [1]]
+
+
+def test_held_out_texts_are_likelier_than_by_their_words_alone(spark, sf):
+    held = [r for r in language_scores(spark.read.parquet(f"{sf}/documents.parquet")).collect() if r.held_out]
+    assert len(held) > 10 and sum(r.score for r in held) > sum(r.base_score for r in held)
