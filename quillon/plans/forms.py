@@ -451,7 +451,9 @@ def same_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "inc_11_checkpoint_identity",
-    """SELECT sha256(string_agg(k || '=' || h, chr(10) ORDER BY k || '=' || h) || chr(0) || 'a=1' || chr(10) || 'b=2') AS identity FROM (SELECT 'p' || doc_id AS k, sha256(text) AS h FROM documents)""",
+    f"""WITH h AS (SELECT sha256('p' || doc_id || '=' || sha256(text)) AS h FROM documents),
+    s AS (SELECT count(*)::VARCHAR AS n, {", ".join(f"coalesce(sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT), 0)::VARCHAR AS l{i}" for i in range(4))} FROM h)
+    SELECT sha256(concat_ws(chr(0), n, l0, l1, l2, l3, 'a=1' || chr(10) || 'b=2')) AS identity FROM s""",
 )
 def checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.concat(F.lit("p"), "doc_id").alias("path"), F.sha2("text", 256).alias("sha256"))
