@@ -40,7 +40,6 @@ from quillon.llm.wordhash import grouped, mix, texts_of, word_hashes
 
 @dataclass(frozen=True)
 class ToxicityOptions:
-    rare: int = 30  # has no effect any more: every expression counts
     discount: float = 0.75
     calibration_rows: int = 20_000  # labelled rows, about, on which the score is calibrated
     strongest: int = 3

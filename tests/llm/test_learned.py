@@ -52,7 +52,7 @@ def toxic_corpus(spark, n=900):
 
 def test_toxicity_on_the_held_out_fold(spark):
     docs, labels, truth = toxic_corpus(spark)
-    got = toxicity(docs, labels, ToxicityOptions(rare=10)).collect()
+    got = toxicity(docs, labels, ToxicityOptions()).collect()
     held = [r for r in got if r.held_out]
     assert {r.doc_id for r in held} == {d for d in truth if zlib.crc32(str(d).encode()) % 3 == 1}
     assert all(r.predicted == (r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
@@ -63,7 +63,7 @@ def test_toxicity_on_the_held_out_fold(spark):
 def test_held_out_labels_and_metadata_are_never_used(spark):
     docs, labels, _ = toxic_corpus(spark, 300)
     wrong = labels.withColumn("toxic", F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    options = ToxicityOptions(rare=10)
+    options = ToxicityOptions()
     scores = lambda d, y: [r.score for r in sorted(toxicity(d, y, options).collect(), key=lambda r: r.doc_id)]
     changed = docs.withColumns({"lang": F.lit("zz"), "source": F.col("doc_id").cast("string")})
     assert scores(docs, labels) == pytest.approx(scores(changed, wrong))
