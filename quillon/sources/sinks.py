@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from quillon.functions import moments as M
 from quillon.functions import text as T
+from quillon.sources.commits import CommitLog
 
 
 def _in_order(rows: DataFrame, by: list[str], order: str, line: Column, joiner: str, name: str) -> DataFrame:
@@ -141,40 +139,23 @@ def checkpoint_identity(files: DataFrame, configuration: dict[str, str]) -> Data
     return sums.select(F.sha2(F.concat_ws("\x00", "n", *(F.coalesce(f"lane{i}", F.lit("0")) for i in range(4)), F.lit(settings)), 256).alias("identity"))
 
 
-def _point(spark: SparkSession, root: str, version: str) -> None:
-    """The pointer is a row with the next number: two versions of one moment don't tie."""
-    number = 1 + max((r["number"] for r in _pointers(spark, root)), default=0)
-    spark.range(1).select(F.lit(version).alias("version"), F.lit(number).cast("long").alias("number")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-
-
-def _pointers(spark: SparkSession, root: str) -> list:
-    try:
-        return spark.read.parquet(f"{root}/pointer").orderBy("number").collect()
-    except AnalysisException:
-        return []
+def commit_version(tables: dict[str, DataFrame], root: str) -> int:
+    """Put tables in force as one version; of two writers that began with the same one, the second is refused."""
+    transaction = CommitLog(next(iter(tables.values())).sparkSession, root).begin()
+    for name, rows in tables.items():
+        transaction.replace(name, rows)
+    return transaction.commit("version")
 
 
-def roll_back_version(spark: SparkSession, root: str) -> str:
+def roll_back_version(spark: SparkSession, root: str) -> int:
     """Put the version before the current one in force again; its files were never changed."""
-    order = [r["version"] for r in _pointers(spark, root)]
-    earlier = [v for v in order if v != order[-1]]
-    if not earlier:
+    log = CommitLog(spark, root)
+    current = log.state().version
+    if current < 2:
         raise ValueError("there is no earlier version")
-    _point(spark, root, earlier[-1])
-    return earlier[-1]
-
-
-def commit_version(tables: dict[str, DataFrame], root: str) -> str:
-    """Write tables as one version: all of them first, then the pointer. A failure before leaves the old version in force."""
-    spark: SparkSession = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
-    for name, df in tables.items():
-        df.write.parquet(f"{root}/versions/{version}/{name}")
-    _point(spark, root, version)
-    return version
+    return log.roll_back(current - 1)
 
 
 def read_version(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the version that was committed last."""
-    version = _pointers(spark, root)[-1]["version"]
-    return spark.read.parquet(f"{root}/versions/{version}/{name}")
+    return CommitLog(spark, root).read(name)
