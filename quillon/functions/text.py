@@ -130,10 +130,11 @@ def keywords(text: Column, most: int = 16) -> Column:
     return F.slice(F.array_distinct(found), 1, most)
 
 
-def subjects(text: Column, last: int = 6) -> Column:
-    """Acronyms and hyphenated capitals, distinct in order of appearance, the last of them."""
+def subjects(text: Column, last: int = 6, inside: bool = False) -> Column:
+    """Acronyms and hyphenated capitals, distinct in order of appearance, the last of them; inside: acronyms that end a word, too (7CE1)."""
+    begins = "" if inside else r"\b"
     named = F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"\b((?:[A-Z][A-Z0-9]*)(?:-[A-Z0-9]+)+\b|[A-Z]{2,}[0-9]*\b)"), 1)
+        F.regexp_extract_all(text, F.lit(rf"(\b(?:[A-Z][A-Z0-9]*)(?:-[A-Z0-9]+)+\b|{begins}[A-Z]{{2,}}[0-9]*\b)"), 1)
     )
     return F.slice(named, F.greatest(F.size(named) - last + 1, F.lit(1)), F.lit(last))
 

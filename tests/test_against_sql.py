@@ -1,6 +1,7 @@
 """Queries on small tables of odd values against their SQL."""
 
 import duckdb
+import pytest
 
 from quillon.plans import catalog
 
@@ -22,3 +23,8 @@ def test_digits_of_a_digest_are_no_phone_number(spark, tmp_path):
     # Some of these digests hold eleven digits between letters that look like a number.
     rows = [(i, f"t{n}", "en", "src", 2) for n, i in zip(range(4000), (i for i in range(2, 10**6) if i % 4 != 1 and i % 5 not in (0, 3) and i % 9 not in (3, 4)))]
     assert differing(spark, tmp_path, "snk_18_share_copy", "documents", rows, DOCUMENTS)
+
+
+@pytest.mark.parametrize("text", ["7ce1 token", "a_bc of x-1 9ab-c", "befde251580 1thorth 2x", "on one-two"])
+def test_acronyms_within_words(spark, tmp_path, text):
+    assert differing(spark, tmp_path, "str_17_subjects", "documents", [(1, text, "en", "src", 9)], DOCUMENTS)
