@@ -215,15 +215,32 @@ def short_claim(text: Column, at: Column, size: Column, radius: int = 36) -> Col
 CLAIM_ENDS = " ，,。；;：:"
 
 
+def _hot_word(value: Column, longest: int) -> Column:
+    return F.substring(T.collapse(F.translate(F.coalesce(value, F.lit("")), "\x00", " ")), 1, longest)
+
+
 def hot_words(values: Column, most: int = 200, longest: int = 128) -> Column:
     """A list of words that a recogniser is told of: clean, bounded, each once whatever its case, the first spelling wins."""
-    clean = F.transform(values, lambda v: F.substring(T.collapse(F.translate(F.coalesce(v, F.lit("")), "\x00", " ")), 1, longest))
+    clean = F.transform(values, lambda v: _hot_word(v, longest))
     filled = F.filter(clean, lambda v: v != "")
     lows = F.transform(filled, lambda v: F.lower(v))
     first = F.filter(F.arrays_zip(filled.alias("v"), F.transform(lows, lambda v, i: F.array_position(lows, v) == i + 1).alias("f")), lambda x: x["f"])
     return F.slice(F.transform(first, lambda x: x["v"]), 1, most)
 
 
+def hot_word_lists(words: DataFrame, by: list[str], most: int = 200, longest: int = 128) -> DataFrame:
+    """by, words: ``hot_words`` of each group of words (by, place, word), in the order of their places, however many a group has.
+
+    Equal words are one before they are shuffled, and a group's list is made of the few that stay. A group without words has an empty list.
+    """
+    clean = words.select(*by, "place", _hot_word(F.col("word"), longest).alias("v"))
+    first = clean.groupBy(*by, F.lower("v").alias("low")).agg(F.min(F.struct("place", "v")).alias("first"))
+    order = [F.col("low") == "", F.col("first")]
+    kept = first.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("n") <= most)
+    listed = F.array_sort(F.collect_list(F.when(F.col("low") != "", F.struct("n", F.col("first.v").alias("v")))))
+    return kept.groupBy(*by).agg(F.transform(listed, lambda x: x["v"]).alias("words"))
+
+
 def list_chunks(chunks: DataFrame, references: DataFrame, documents: DataFrame) -> DataFrame:
     """document_id, ordinal, chunk_id, title, page_number, text_start of chunks, in the document's order, with their reference where there is one."""
     titled = chunks.join(documents.select("document_id", "title"), "document_id")

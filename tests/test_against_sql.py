@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from quillon.operators import upkeep
 from quillon.plans import catalog
 
 DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -33,3 +34,10 @@ def test_digits_of_a_digest_are_no_phone_number(spark, tmp_path):
 @pytest.mark.parametrize("text", ["7ce1 token", "a_bc of x-1 9ab-c", "befde251580 1thorth 2x", "on one-two"])
 def test_acronyms_within_words(spark, tmp_path, text):
     assert differing(spark, tmp_path, "str_17_subjects", "documents", [(1, text, "en", "src", 9)], DOCUMENTS)
+
+
+def test_hot_words_of_large_groups(spark):
+    rows = [("a", i, f" Word{i % 300} " if i % 2 else f"word{i % 300}") for i in range(3000)] + [("b", 1, " "), ("b", 2, None), ("c", 5, "x" * 200)]
+    words = spark.createDataFrame(rows, "run string, place long, word string")
+    found = {r.run: r.words for r in upkeep.hot_word_lists(words, ["run"]).collect()}
+    assert found == {"a": [f"Word{i}" if i % 2 else f"word{i}" for i in range(200)], "b": [], "c": ["x" * 128]}
