@@ -18,8 +18,7 @@ CLOSURE = f"""WITH RECURSIVE {EDGES}, c(item_id, ancestor_id) AS (SELECT target_
 
 @query("join_17_provenance", f"{CLOSURE} SELECT item_id, count(*)::BIGINT AS n_ancestors, min(ancestor_id) AS first_ancestor FROM c GROUP BY item_id")
 def provenance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = graph.ancestors(relations(spark, sf_dir))
-    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_ancestors"), F.min("ancestor_id").alias("first_ancestor"))
+    return graph.provenance(relations(spark, sf_dir))
 
 
 @query("set_03_sourced_items", f"{CLOSURE} SELECT DISTINCT item_id FROM c WHERE ancestor_id LIKE 's%'")
