@@ -79,6 +79,11 @@ def index_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), ACCENTED, PLAIN), F.lit(r"([\p{L}\p{N}]+)"), 1)
 
 
+def first_index_term(text: Column) -> Column:
+    """The first of a text's terms; '' where there is none."""
+    return F.regexp_extract(F.translate(F.lower(text), ACCENTED, PLAIN), r"([\p{L}\p{N}]+)", 1)
+
+
 def query_phrases(text: Column) -> Column:
     """The phrases that a question asks the index for; a phrase may hold several index terms."""
     return F.regexp_extract_all(text, F.lit(rf"([A-Za-z0-9_+-]+|[{CJK}]+)"), 1)

@@ -66,6 +66,11 @@ class Phrases:
                     yield i, start
 
 
+    def held(self, text: str) -> Iterator[list[int]]:
+        """The numbers of phrases that stand somewhere in text, those that end at a place together; the same ones may come again."""
+        return (numbers for _, numbers in self.automaton.iter(folded(text))) if self.some and text else iter(())
+
+
 _built: dict[int, Phrases] = {}
 
 
@@ -151,6 +156,33 @@ def find_phrases(texts: DataFrame, id_column: str, text_column: str, glossary: D
     return out
 
 
+def held_terms(texts: DataFrame, id_column: str, text_column: str, glossary: DataFrame, shard: int = SHARD) -> DataFrame:
+    """id, canonical: which terms of a glossary (variant, canonical) the texts of an id hold, each once, without their places."""
+    schema = f"{id_column} {texts.schema[id_column].dataType.simpleString()}, canonical string"
+    kinds = [to_arrow_type(texts.schema[id_column].dataType), pa.string()]
+    trimmed = lambda c: F.trim(F.col(c).cast("string"))
+    usable = glossary.select(trimmed("variant").alias("variant"), trimmed("canonical").alias("canonical")).filter("variant <> '' AND canonical IS NOT NULL")
+    narrow = texts.select(F.col(id_column), F.col(text_column).cast("string"))
+    out = None
+    for shared in _shards(usable.distinct(), ["variant", "canonical"], shard):
+
+        def find(batches: Iterator[pa.RecordBatch], shared: _Shared = shared) -> Iterator[pa.RecordBatch]:
+            phrases, rows = _phrases(shared, 0), shared.value
+            for batch in batches:
+                held: dict[object, set[int]] = {}
+                for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    numbers = held.setdefault(key, set())
+                    for same in phrases.held(text or ""):
+                        numbers.update(same)
+                pairs = {(key, rows[i][1]) for key, numbers in held.items() for i in numbers}
+                columns = zip(*pairs, strict=True) if pairs else [[]] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], names=[id_column, "canonical"])
+
+        found = narrow.mapInArrow(find, schema)
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
 #: A variant of these characters stands between other characters than letters and digits (a fixed value).
 PLAIN = re.compile(r"[A-Za-z0-9.+_-]+")
 

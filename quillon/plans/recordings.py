@@ -194,7 +194,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A glossary from the texts: what documents begin with, whatever stands around it elsewhere."""
-    first = F.get(T.index_terms(F.col("text")), F.lit(0))
+    first = T.first_index_term(F.col("text"))
     words = table(spark, sf_dir, "documents").groupBy(first.alias("variant")).agg(F.min("doc_id").alias("position"))
     return words.filter("length(variant) > 5").withColumn("canonical", F.concat("variant", F.lit(" (term)")))
 
