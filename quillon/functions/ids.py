@@ -6,7 +6,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -108,29 +109,35 @@ def profile_id(value: Column, known: tuple[str, ...]) -> Column:
     return F.when(name.isin(*known), name).otherwise(F.lit("custom"))
 
 
+#: Texts whose features are hashed at once.
+HASHED = 256
+
+
+def _hashed(rows: pa.ListArray, dimensions: int) -> np.ndarray:
+    """Vectors of lists of features, one after another; null features have no part in them."""
+    sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(rows)), sizes)
+    coded = rows.flatten().dictionary_encode()
+    values = np.array([int.from_bytes(hashlib.blake2b(f.encode(), digest_size=8).digest(), "big") for f in coded.dictionary.to_pylist()], np.uint64)
+    code = coded.indices.to_numpy(zero_copy_only=False)
+    at, sign = (values % np.uint64(dimensions)).astype(np.int64)[code], np.where(values >> np.uint64(63), 1.0, -1.0)[code]
+    vectors = np.bincount(row * dimensions + at, sign, len(rows) * dimensions).reshape(len(rows), dimensions)
+    norms = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+    return (vectors / np.where(norms > 0, norms, 1.0)).astype(np.float32).ravel()
+
+
 def hashed_vector(features: Column, dimensions: int = 384) -> Column:
     """Signed feature hashing with BLAKE2b, normalised to length 1; no features give the null vector.
 
-    No built-in computes BLAKE2b: an iterator pandas UDF hashes each distinct feature of a batch once.
+    No built-in computes BLAKE2b: tasks hash each distinct feature of a few texts once.
     """
     if dimensions < 32:
         raise ValueError("at least 32 dimensions")
 
-    @F.pandas_udf(ArrayType(FloatType()))
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(ArrayType(FloatType()))
+    def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            known: dict[str, tuple[int, float]] = {}
-            out = []
-            for row in batch:
-                vector = np.zeros(dimensions)
-                for feature in row if row is not None else ():
-                    if feature not in known:
-                        value = int.from_bytes(hashlib.blake2b(feature.encode(), digest_size=8).digest(), "big")
-                        known[feature] = value % dimensions, 1.0 if value >> 63 else -1.0
-                    at, sign = known[feature]
-                    vector[at] += sign
-                norm = float(np.sqrt(vector @ vector))
-                out.append((vector / norm if norm else vector).astype(np.float32).tolist())
-            yield pd.Series(out)
+            parts = [_hashed(batch.slice(at, HASHED), dimensions) for at in range(0, len(batch), HASHED)]
+            yield pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([np.zeros(0, np.float32), *parts])), dimensions).cast(pa.list_(pa.float32()))
 
     return embed(features)
