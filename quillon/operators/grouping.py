@@ -394,17 +394,26 @@ def text_chunks(documents: DataFrame, target: int = 320, most: int = 480) -> Dat
     )
 
 
+#: Texts whose blocks a task holds at once.
+HEADED = 64
+
+
 def heading_blocks(documents: DataFrame) -> DataFrame:
     """document_id, block_no, heading_path, body, text_start of Markdown texts (document_id, text)."""
 
-    @F.pandas_udf("array<struct<path:array<string>,body:string,start:long>>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for batch in batches:
-            yield pd.Series([[{"path": p, "body": b, "start": a} for p, b, a in heading_sections(text or "", [])] for text in batch])
+    schema = f"document_id {documents.schema['document_id'].dataType.simpleString()}, block_no long, heading_path array<string>, body string, text_start long"
+    kinds = [pa.int64(), pa.list_(pa.string()), pa.string(), pa.int64()]
 
-    return documents.select("document_id", F.posexplode(cut("text")).alias("block_no", "b")).select(
-        "document_id", F.col("block_no").cast("long").alias("block_no"), F.col("b.path").alias("heading_path"), F.col("b.body").alias("body"), F.col("b.start").alias("text_start")
-    )
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, HEADED):
+                piece = batch.slice(at, HEADED)
+                rows = [(i, n, p, b, a) for i, text in enumerate(piece.column(1)) for n, (p, b, a) in enumerate(heading_sections(text.as_py() or "", []))]
+                number, *columns = zip(*rows, strict=True) if rows else [[]] * 5
+                arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([piece.column(0).take(pa.array(number, pa.int64())), *arrays], names=["document_id", "block_no", "heading_path", "body", "text_start"])
+
+    return documents.select("document_id", F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
 def locator_chunks(segments: DataFrame, locator: str, glue: str = "\n") -> DataFrame:
