@@ -21,6 +21,8 @@ from quillon.operators import prefix
 
 #: Phrases of one automaton: what a task holds of a glossary.
 SHARD = 200_000
+#: Occurrences that a task holds before it hands them on.
+HITS = 20_000
 
 
 @lru_cache(maxsize=65_536)
@@ -140,6 +142,11 @@ def find_phrases(texts: DataFrame, id_column: str, text_column: str, glossary: D
             for batch in batches:
                 places: list[int] = []
                 columns: tuple[list, ...] = ([], [], [], [], [])
+
+                def told(batch: pa.RecordBatch = batch) -> pa.RecordBatch:
+                    arrays = [batch.column(0).take(pa.array(places, type=pa.int64())), *(pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))]
+                    return pa.RecordBatch.from_arrays([arrays[0].cast(arrow.field(0).type), *arrays[1:]], schema=arrow)
+
                 for i, value in enumerate(batch.column(1)):
                     text = value.as_py() or ""
                     for number, start in phrases.hits(text):
@@ -148,8 +155,11 @@ def find_phrases(texts: DataFrame, id_column: str, text_column: str, glossary: D
                         places.append(i)
                         for column, x in zip(columns, (variant, canonical, start, end, text[start:end]), strict=True):
                             column.append(x)
-                arrays = [batch.column(0).take(pa.array(places, type=pa.int64())), *(pa.array(c, type=f.type) for c, f in zip(columns, list(arrow)[1:], strict=True))]
-                yield pa.RecordBatch.from_arrays([arrays[0].cast(arrow.field(0).type), *arrays[1:]], schema=arrow)
+                        if len(places) >= HITS:
+                            yield told()
+                            for one in (places, *columns):
+                                one.clear()
+                yield told()
 
         found = narrow.mapInArrow(find, schema)
         out = found if out is None else out.unionByName(found)
