@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from quillon.llm.toxicity import Models, ToxicityOptions, learn, toxicity
@@ -59,3 +60,20 @@ def test_histories_are_counted_without_limit(spark):
     evidence, shares = learn(training, ToxicityOptions())
     models = Models.of(evidence.toArrow(), shares)
     assert models.more[0].max() == 1000 and shares.pairs == 2000
+
+
+def test_disk_holds_one_step_at_a_time(spark, tmp_path, monkeypatch):
+    """What is left beside the features of texts doesn't grow with words and pairs: they would take several times the texts."""
+    docs, labels, _ = toxic_corpus(spark, 240)
+    monkeypatch.setattr("quillon.llm.common.shared_dir", lambda spark: f"file://{tmp_path}")
+    n = len(toxicity(docs, labels).collect())
+    rows = {d.name: sum(pq.read_metadata(f).num_rows for f in d.glob("*.parquet")) for d in tmp_path.iterdir()}
+    left = [name for name, k in rows.items() if k]
+    assert len(rows) > 1 and len(left) == 1 and "features" in left[0] and rows[left[0]] >= n
+
+
+def test_blocks_of_any_size_give_the_same_scores(spark):
+    docs, labels, _ = toxic_corpus(spark, 120)
+    runs = [ToxicityOptions(), ToxicityOptions(block_words=50, range_bytes=500, turns=3), ToxicityOptions(block_words=700, reread=False)]
+    scores = [{r.doc_id: r.score for r in toxicity(docs, labels, o).collect()} for o in runs]
+    assert scores[1] == pytest.approx(scores[0]) and scores[2] == pytest.approx(scores[0])
