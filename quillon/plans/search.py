@@ -149,11 +149,12 @@ BOTH = VECTORS.replace("chunk_id % 25 = 0", "chunk_id IN (SELECT query_id FROM q
 )
 
 
-def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, their vectors, and questions with theirs. Texts aren't shuffled to meet vectors that only the search by vectors reads."""
     v, _ = _vectors(spark, sf_dir)
-    asked = questions(spark, sf_dir).join(v.withColumnRenamed("chunk_id", "query_id"), "query_id")
-    chunks = documents(spark, sf_dir).join(v, "chunk_id", "left")
-    return chunks, asked
+    asked = storage.written(questions(spark, sf_dir).join(v.withColumnRenamed("chunk_id", "query_id"), "query_id"), "hybrid-questions")
+    chunks = documents(spark, sf_dir)
+    return chunks, v.join(chunks.select("chunk_id"), "chunk_id", "left_semi"), asked
 
 
 @query(
@@ -163,10 +164,8 @@ def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     WHERE query_id IN (SELECT query_id FROM qv)""",
 )
 def fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, asked = _hybrid(spark, sf_dir)
-    fused = retrieval.fuse(
-        retrieval.bm25(_index(spark, sf_dir), asked), retrieval.vector_top(chunks.filter("vector IS NOT NULL"), asked)
-    )
+    _, vectors, asked = _hybrid(spark, sf_dir)
+    fused = retrieval.fuse(retrieval.bm25(_index(spark, sf_dir), asked), retrieval.vector_top(vectors, asked))
     return fused.select("query_id", "chunk_id", F.col("fused_rank").cast("long").alias("rank"), F.round("fused_score", 9).alias("fused"))
 
 
@@ -192,8 +191,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, fuse
     SELECT query_id, chunk_id, rank::BIGINT AS rank, round(sc, 6) AS score, round(lo, 6) AS overlap FROM rk WHERE query_id IN (SELECT query_id FROM qv)""",
 )
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, asked = _hybrid(spark, sf_dir)
-    found = retrieval.hybrid_search(chunks, asked, index=_index(spark, sf_dir))
+    chunks, vectors, asked = _hybrid(spark, sf_dir)
+    found = retrieval.hybrid_search(chunks, asked, index=_index(spark, sf_dir), vectors=vectors)
     return found.select("query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), F.round("rerank_score", 6).alias("score"), F.round("lexical_overlap", 6).alias("overlap"))
 
 
@@ -256,10 +255,11 @@ def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few rows for each question, written: what comes of them neither searches again nor shuffles the documents' texts."""
     top = retrieval.bm25(_index(spark, sf_dir), questions(spark, sf_dir), retrieval.Bm25Options(keep=8))
     d = documents(spark, sf_dir).select("chunk_id", "title", "content", F.col("path").alias("source_id"))
     wide = top.join(d, "chunk_id").join(questions(spark, sf_dir).select("query_id", "question"), "query_id")
-    return qa.number_evidence(wide.withColumn("score", F.round("keyword_score", 6)))
+    return storage.written(qa.number_evidence(wide.withColumn("score", F.round("keyword_score", 6))), "evidence")
 
 
 EVIDENCE = f"""{DOCS}, {QUESTIONS}, {BM25},

@@ -21,8 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="quillon-"))
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
+def written(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """df, written as Parquet and read back: a lost executor costs its running tasks, never what led to them."""
     path = f"{shared_dir(df.sparkSession)}/quillon-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
